@@ -33,14 +33,16 @@ def pattern_context(lc: str = "lc") -> str:
     return has_any(lc, N.PATTERN_CONTEXT_NEEDLES)
 
 
+RAW_STRING = r"""r["'].*["']"""
+NAMED_LIST = r"""["'][^"']+["']\s*:\s*\["""
+
+
 def is_pattern_definition(line: str, context: str = "pattern_context") -> str:
     low = f"lower({strip(line)})"
     return (
         f"(({has_any(low, N.PATTERN_LINE_NEEDLES)} AND {has_any(line, [':', '[', '('])})"
-        f" OR ({rlike(line, 'r[\"' + chr(39) + '].*[\"' + chr(39) + ']', '')}"
-        f" AND ({context} OR {has_any(low, ['pattern', 'regex'])}))"
-        f" OR ({rlike(line, '[\"' + chr(39) + '][^\"' + chr(39) + ']+[\"' + chr(39) + ']' + chr(92) + 's*:' + chr(92) + 's*' + chr(92) + '[', '')}"
-        f" AND {has_any(low, ['pattern', 'cipher', 'secret'])}))"
+        f" OR ({rlike(line, RAW_STRING, '')} AND ({context} OR {has_any(low, ['pattern', 'regex'])}))"
+        f" OR ({rlike(line, NAMED_LIST, '')} AND {has_any(low, ['pattern', 'cipher', 'secret'])}))"
     )
 
 
@@ -49,6 +51,10 @@ def has_secret_keyword(var: str) -> str:
     return f"({has_any(up, N.SECRET_KEYWORDS)} AND NOT {has_any(up, N.SECRET_KEYWORD_EXEMPT)})"
 
 
+ALNUM = r"^[\p{L}\p{N}]+\z"
+BASE64 = r"^[\p{L}\p{N}+/=]+\z"
+
+
 def looks_like_secret(value: str) -> str:
     return (
         f"CASE WHEN {value} = '' OR {has_any(f'upper({value})', N.SECRET_FALSE_POSITIVES)} THEN false"
@@ -56,8 +62,8 @@ def looks_like_secret(value: str) -> str:
         f" WHEN contains({value}, '-----BEGIN') AND contains({value}, 'PRIVATE KEY') THEN true"
         f" WHEN contains(lower({value}), 'password=') AND length({value}) > 20 THEN true"
         f" WHEN {rlike(value, '^' + N.UUID_REGEX)} THEN true"
-        f" WHEN length({value}) >= 20 AND {value} RLIKE {lit(chr(94) + '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+' + chr(92) + 'z')} THEN true"
-        f" WHEN length({value}) >= 16 AND {value} RLIKE {lit(chr(94) + '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}+/=]+' + chr(92) + 'z')} THEN true"
+        f" WHEN length({value}) >= 20 AND {value} RLIKE {lit(ALNUM)} THEN true"
+        f" WHEN length({value}) >= 16 AND {value} RLIKE {lit(BASE64)} THEN true"
         f" ELSE false END"
     )
 
@@ -91,7 +97,7 @@ def is_config_placeholder_line(line: str) -> str:
 
 
 def is_env_reference(value: str) -> str:
-    return f"(contains({value}, '${{') OR startswith({value}, '$'))"
+    return f"(contains({value}, {lit('${')}) OR startswith({value}, {lit('$')}))"
 
 
 def is_placeholder_value(value: str) -> str:

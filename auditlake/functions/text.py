@@ -26,7 +26,7 @@ def lit(text: str) -> str:
     for ch in text:
         if ch in "\\'":
             out.append("\\" + ch)
-        elif " " <= ch <= "~":
+        elif " " <= ch <= "~" and ch != "$":  # "${name}" in SQL text would be substituted
             out.append(ch)
         else:
             out.append("".join(f"\\u{unit:04x}" for unit in _utf16(ch)))
