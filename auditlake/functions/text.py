@@ -14,8 +14,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-LINE_BREAK = r"\r\n|" + BREAKS
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+OTHER_BREAKS = list("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
 # characters that match an ASCII letter case-insensitively although lower() does not map them to it
 ODD_CASE = r"[\u017f\u212a\u0130\u0131]"
 
@@ -84,12 +84,18 @@ def ends_with_any(expr: str, suffixes: list[str]) -> str:
 
 
 def split_lines(expr: str) -> str:
-    """Python ``splitlines``: a final line break does not open another line."""
-    parts = f"split({expr}, {lit(LINE_BREAK)}, -1)"
-    return (
-        f"CASE WHEN {expr} = '' THEN cast(array() AS array<string>) "
-        f"WHEN {expr} RLIKE {lit(BREAKS + r'\z')} THEN slice({parts}, 1, size({parts}) - 1) ELSE {parts} END"
-    )
+    """Python ``splitlines``: a final line break does not open another line.
+
+    Rare line breaks become newlines first, so that the split itself is on one plain character.
+    """
+    text = f"CASE WHEN {has_any(expr, OTHER_BREAKS)} THEN regexp_replace({expr}, {lit(LINE_BREAK)}, '\\n') ELSE {expr} END"
+    body = f"regexp_replace({text}, '\\n\\\\z', '')"
+    return f"CASE WHEN {expr} = '' THEN cast(array() AS array<string>) ELSE split({body}, '\\n', -1) END"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, so that the value is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def near(no: str, before: int, after: int, lines: str = "lines") -> str:

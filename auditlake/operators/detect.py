@@ -32,6 +32,7 @@ def with_file_columns(files: DataFrame) -> DataFrame:
     return base.withColumns({
         "odd_case": F.expr(f"content RLIKE {lit(ODD_CASE)}"),
         "detector_code": F.expr(G.is_detector_code()),
+        "llines": F.expr(split_lines("lc")),
         "pattern_context": F.expr(G.pattern_context()),
         "test_file": F.expr(G.test_file()),
         "nos": F.expr("CASE WHEN size(lines) > 0 THEN sequence(1, size(lines)) END"),
@@ -62,6 +63,14 @@ def guard(patterns: list[str]) -> str:
     return f"(odd_case OR {has_any('lc', found)})"
 
 
+def line_guard(patterns: list[str]) -> str:
+    """The same condition on one line; plain substring tests go before any regex."""
+    found = stems(patterns)
+    if found is None:
+        return "true"
+    return f"(odd_case OR {has_any('llines[no - 1]', found)})"
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Rules matched line by line.
@@ -94,7 +103,7 @@ class LineRules:
             match = rlike(LINE, "|".join(f"(?:{p})" for p in dict.fromkeys(patterns)))
         return (
             f"CASE WHEN {self.files} AND {guard(patterns)} "
-            f"THEN filter(nos, no -> {match} AND {self.lines}) END"
+            f"THEN filter(nos, no -> {line_guard(patterns)} AND {match} AND {self.lines}) END"
         )
 
     def _accepts(self, pattern: str) -> str:
@@ -136,16 +145,20 @@ class LineValues:
 
     def candidates(self) -> str:
         match = rlike(LINE, "|".join(f"(?:{p})" for p in self.patterns))
-        return f"CASE WHEN {self.files} AND {guard(self.patterns)} THEN filter(nos, no -> {match} AND {self.lines}) END"
+        return (
+            f"CASE WHEN {self.files} AND {guard(self.patterns)} "
+            f"THEN filter(nos, no -> {line_guard(self.patterns)} AND {match} AND {self.lines}) END"
+        )
 
     def hits(self, cand: str) -> str:
-        values = ", ".join(
-            f"named_struct('no', no, 'value', get(filter(regexp_extract_all({LINE}, {lit(java(p))}, 1), v -> {self.accept}), 0))"
-            for p in self.patterns
+        found = ", ".join(f"regexp_extract_all({LINE}, {lit(java(p))}, 1)" for p in self.patterns)
+        firsts = (
+            f"transform(array({found}), (vs, k) -> "
+            f"named_struct('rule', k, 'no', no, 'value', get(filter(vs, v -> {self.accept}), 0)))"
         )
         return (
             f"CASE WHEN size({cand}) > 0 THEN transform(flatten(transform({cand}, no -> "
-            f"filter(array({values}), h -> h.value IS NOT NULL))), h -> {self.row}) END"
+            f"filter({firsts}, h -> h.value IS NOT NULL))), h -> {self.row}) END"
         )
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import gates as G
 from ..functions.text import (
-    any_rlike, has_any, java, lit, match_lines, near, one_of, rlike, snippet, starts_with_any, strip, ends_with_any,
+    any_rlike, has_any, java, let, lit, match_lines, near, one_of, rlike, snippet, starts_with_any, strip, ends_with_any,
 )
 from ..rules import code as C, needles as N, secrets as S
-from .detect import HIT_LINE, LINE, FileMatches, FileRule, LineRules, LineValues, Piece, apply, hit, metadata
+from .detect import HIT_LINE, LINE, FileMatches, FileRule, LineRules, LineValues, Piece, apply, guard, hit, metadata
 
 CODE = one_of("ext", N.CODE_EXTS)
 SCRIPT = one_of("ext", [".py", ".js", ".ts", ".php", ".rb"])
@@ -43,6 +43,9 @@ def line_rules(detector: str, rules, files: str, kind: str, severity: str, confi
         meta={k: lit(v) for k, v in (meta or {}).items()}, **more)
 
 
+PEM = "(contains(content, '-----BEGIN') AND contains(content, 'PRIVATE KEY'))"
+
+
 def blended(confidence: str, validation: str) -> str:
     """With the similarity model switched off its neutral score of one half is still averaged in."""
     return f"(({confidence}) + 0.5D) / 2D" if validation == "disabled" else confidence
@@ -50,11 +53,8 @@ def blended(confidence: str, validation: str) -> str:
 
 def secret_assignment(line: str, pattern: str) -> str:
     var, value = group(line, pattern, 1), group(line, pattern, 2)
-    clean = G.unquote(value)
-    return (
-        f"(NOT {G.is_env_reference(value)} AND {G.has_secret_keyword(var)} AND {clean} != ''"
-        f" AND {G.looks_like_secret(clean)} AND NOT {G.is_test_data(clean)})"
-    )
+    real = let("clean", G.unquote(value), f"clean != '' AND {G.looks_like_secret('clean')} AND NOT {G.is_test_data('clean')}")
+    return f"(NOT {G.is_env_reference(value)} AND {let('var', var, G.has_secret_keyword('var'))} AND {real})"
 
 
 def d1() -> list[Piece]:
@@ -71,21 +71,17 @@ def d1() -> list[Piece]:
 def d2(validation: str) -> list[Piece]:
     files = f"({one_of('ext', N.CODE_SECRET_EXTS)} AND NOT detector_code)"
     open_line = f"NOT {G.is_code_placeholder_line(LINE)}"
-    value = G.unquote_space("v")
 
     def confidence(of: str, line: str) -> str:
         return G.code_confidence(of, TEST_LIKE, EXAMPLE_LIKE, G.is_comment(line, N.COMMENTS_MARKUP))
 
-    accept = (
-        f"v != '' AND NOT {G.is_placeholder_value(value)} AND length({value}) >= 3"
-        f" AND {confidence(value, LINE)} >= 0.4D"
-    )
-    score = blended(confidence(G.unquote_space("h.value"), HIT_LINE), validation)
-    row = hit("D2", "hardcoded_secret", "h.no", snippet(HIT_LINE),
-              f"CASE WHEN {score} >= 0.8D THEN 'high' ELSE 'medium' END", score,
-              metadata({"language": "ext", "pattern": lit("code_file_scan"), "is_test_file": TEST_LIKE,
-                        "is_example_file": EXAMPLE_LIKE,
-                        "is_comment": G.is_comment(HIT_LINE, N.COMMENTS_MARKUP)}))
+    accept = let("u", G.unquote_space("v"), (
+        f"v != '' AND NOT {G.is_placeholder_value('u')} AND length(u) >= 3 AND {confidence('u', LINE)} >= 0.4D"))
+    score = blended(let("u", G.unquote_space("h.value"), confidence("u", HIT_LINE)), validation)
+    row = let("score", score, hit(
+        "D2", "hardcoded_secret", "h.no", snippet(HIT_LINE), "CASE WHEN score >= 0.8D THEN 'high' ELSE 'medium' END", "score",
+        metadata({"language": "ext", "pattern": lit("code_file_scan"), "is_test_file": TEST_LIKE,
+                  "is_example_file": EXAMPLE_LIKE, "is_comment": G.is_comment(HIT_LINE, N.COMMENTS_MARKUP)})))
     return [
         FileRule(files, PEM, hit("D2", "hardcoded_secret", "NULL", lit("SSH private key detected in file"),
                                  lit("critical"), "0.99D",
@@ -97,7 +93,6 @@ def d2(validation: str) -> list[Piece]:
     ]
 
 
-PEM = "(contains(content, '-----BEGIN') AND contains(content, 'PRIVATE KEY'))"
 
 
 def d3() -> list[Piece]:
@@ -152,17 +147,16 @@ def d7() -> list[Piece]:
 
 
 def d8() -> list[Piece]:
-    pieces: list[Piece] = []
-    for provider, rules in S.CLOUD.items():
-        for pattern, label in rules:
-            found = (
-                f"filter(regexp_extract_all(content, {lit(java(pattern))}, 0), "
-                f"m -> NOT {G.is_test_data('m')})"
-            )
-            row = hit("D8", "hardcoded_secret", "NULL", "substring(m, 1, 200)", lit("critical"), "0.95D",
-                      metadata({"provider": lit(provider), "secret_type": lit(label)}), "0.7D")
-            pieces.append(FileMatches("(lower(ext) != '.sln' AND NOT test_file)", found, row, (pattern,)))
-    return pieces
+    rules = [(provider, pattern, label) for provider, known in S.CLOUD.items() for pattern, label in known]
+    every = ", ".join(
+        f"CASE WHEN {guard([pattern])} THEN transform(regexp_extract_all(content, {lit(java(pattern))}, 0), "
+        f"v -> named_struct('value', v, 'rule', {k})) END" for k, (_, pattern, _) in enumerate(rules))
+    found = f"filter(flatten(array_compact(array({every}))), m -> NOT {G.is_test_data('m.value')})"
+    names = "array(" + ", ".join(lit(provider) for provider, _, _ in rules) + ")"
+    labels = "array(" + ", ".join(lit(label) for _, _, label in rules) + ")"
+    row = hit("D8", "hardcoded_secret", "NULL", "substring(m.value, 1, 200)", lit("critical"), "0.95D",
+              metadata({"provider": f"{names}[m.rule]", "secret_type": f"{labels}[m.rule]"}), "0.7D")
+    return [FileMatches("(lower(ext) != '.sln' AND NOT test_file)", found, row, tuple(p for _, p, _ in rules))]
 
 
 def d9() -> list[Piece]:
@@ -306,8 +300,8 @@ def d19(validation: str) -> list[Piece]:
     files = f"({CODE} AND NOT {TEST_NAME})"
 
     def real_key(line: str, pattern: str) -> str:
-        value = f"upper({group(line, pattern)})"
-        return f"NOT ({one_of(value, N.FLASK_PLACEHOLDER_VALUES)} OR contains({value}, 'KEEP IT SECRET'))"
+        placeholder = f"({one_of('v', N.FLASK_PLACEHOLDER_VALUES)} OR contains(v, 'KEEP IT SECRET'))"
+        return let("v", f"upper({group(line, pattern)})", f"NOT {placeholder}")
 
     return [
         line_rules("D19", C.WEAK_AUTH, files, "weak_authentication", "high", blended("0.8D", validation),
@@ -368,7 +362,8 @@ def d25() -> list[Piece]:
     quiet = f"({files} AND NOT test_file)"
 
     def real(line: str, pattern: str) -> str:
-        return f"NOT {G.is_test_data(group(line, pattern))}"
+        # the file part of the test-data gate is in ``quiet``; project files are not among the extensions
+        return let("v", f"lower({group(line, pattern)})", f"NOT {has_any('v', N.TEST_VALUE_NEEDLES)}")
 
     return [
         line_rules("D25", S.JWT_SECRETS, quiet, "hardcoded_secret", "critical", "0.9D", {"secret_type": "JWT_SECRET"},

@@ -71,9 +71,9 @@ def assign_ids(findings: DataFrame) -> DataFrame:
 def json_string(expr: str) -> str:
     """JSON string with everything outside printable ASCII written as escapes."""
     plain = lit(r"^[ !#-\[\]-~]*\z")
-    unit = f"regexp_replace(lower(hex(encode(c, 'UTF-16BE'))), '(.{{4}})', {lit(chr(92) * 2 + 'u$1')})"
+    unit = f"regexp_replace(lower(hex(encode(c, 'UTF-16BE'))), '(.{{4}})', {lit(r'\\u$1')})"
     short = " ".join(
-        f"WHEN {lit(raw)} THEN {lit(chr(92) + esc)}"
+        f"WHEN {lit(raw)} THEN {lit('\\' + esc)}"
         for raw, esc in (('"', '"'), ("\\", "\\"), ("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")))
     escaped = (
         f"array_join(transform(regexp_extract_all({expr}, '(?s).', 0), "
@@ -111,17 +111,19 @@ def fold(nodes: str, levels: str, stop_at_root: str) -> str:
     )
 
 
-def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position", leaf: str = "evidence_hash") -> DataFrame:
+def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position", leaf: str = "evidence_hash",
+                fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
     """Root per group from leaves with dense 1-based positions.
 
-    Each round folds chunks of 2^FAN neighbouring nodes by exactly FAN levels, so no task or array
-    holds more than one chunk; a group that fits in one chunk is folded to its root.
+    Each round folds chunks of 2^fan neighbouring nodes by exactly ``fan`` levels, so no task or
+    array holds more than one chunk; a group that fits in one chunk is folded to its root. Groups
+    may have up to 2^(fan * rounds) leaves.
     """
-    size, chunk = 1 << FAN, FAN
+    size, chunk = 1 << fan, fan
     nodes = hashes.select(*groups, (F.col(position) - 1).alias("at"), F.unhex(leaf).alias("node"))
     total = nodes.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"))
     nodes = nodes.join(total, groups)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         nodes = (
             nodes.groupBy(*groups, F.expr(f"shiftright(at, {chunk})").alias("at"))
             .agg(F.first("total").alias("total"),

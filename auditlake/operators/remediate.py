@@ -21,6 +21,8 @@ ENCRYPTION_HINT = [
     "  #   }",
     "  # }",
 ]
+DOCSTRING = "^('''|\"\"\")"
+INDENT = r"(?U)^\s*"
 
 
 def import_index(lines: str = "lines") -> str:
@@ -32,7 +34,7 @@ def import_index(lines: str = "lines") -> str:
     after = f"CASE WHEN s + 1 > size({lines}) - 1 THEN size({lines}) ELSE coalesce({closing} + 1, size({lines})) END"
     return (
         f"CASE WHEN size({lines}) = 0 THEN 0 ELSE transform(array({start}), s -> "
-        f"CASE WHEN {opening} RLIKE {lit('^(' + chr(39) * 3 + '|' + chr(34) * 3 + ')')} THEN {after} ELSE s END)[0] END"
+        f"CASE WHEN {opening} RLIKE {lit(DOCSTRING)} THEN {after} ELSE s END)[0] END"
     )
 
 
@@ -64,7 +66,7 @@ def fix_secret_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
         .withColumns({
             "var_name": F.expr(f"regexp_extract(before, {pattern}, 1)"),
             "literal": F.expr(unquote(f"regexp_extract(before, {pattern}, 2)")),
-            "indent": F.expr(f"regexp_extract(before, {lit('(?U)^' + chr(92) + 's*')}, 0)"),
+            "indent": F.expr(f"regexp_extract(before, {lit(INDENT)}, 0)"),
         })
         .filter("var_name != ''")
         .withColumn("env_var", F.expr("regexp_replace(upper(var_name), '[^A-Z0-9_]', '_')"))

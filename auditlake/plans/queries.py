@@ -20,7 +20,7 @@ from ..sources import files as SF, reports as RP, sinks as SK
 from ..streaming.scan_stream import scan_stream
 from . import oracle as O
 from .corpus import corpus, tables
-from .scan import report_findings, scan_workspaces
+from .scan import report_findings, report_tables, scan_workspaces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -372,9 +372,6 @@ def f7(spark, sf):
     return evidence_shown(EV.collect_evidence(corpus(spark, sf)))
 
 
-TOKEN_RULE = r"\b[a-z]+tion\b"
-
-
 @query("f8_match_line_number", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, line_no::INT AS line_no, m AS matched, count(*) AS matches FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[a-z]*tion[a-z]*', 0)) AS m FROM l) GROUP BY ALL""")
 def f8(spark, sf):
@@ -699,9 +696,7 @@ def h10(spark, sf):
 # --- roll-ups ------------------------------------------------------------------------------------
 def rollup_inputs(spark: SparkSession, sf: str):
     files, found = base(spark, sf)
-    enriched = FN.enrich_controls(found)
-    proof = EV.collect_evidence(files)
-    return files, enriched, proof, ST.report_states(enriched, proof)
+    return files, *report_tables(files, FN.enrich_controls(found))
 
 
 SAT = "('VERIFIED_MACHINE', 'VERIFIED_SYSTEM', 'ATTESTED_HUMAN')"

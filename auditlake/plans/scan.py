@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.detect import Piece
+from ..operators.evidence import collect_evidence
 from ..operators.detectors import scan_files
 from ..operators.finalize import finalize
 from ..operators.ignore import apply_ignore
 from ..operators.practice import missing_locks, practice_gaps
+from ..operators.states import report_states
+from ..session import durable
 
 
 def scan_workspaces(files: DataFrame, ignore: DataFrame | None = None, validation: str = "disabled",
@@ -29,3 +32,13 @@ def scan_workspaces(files: DataFrame, ignore: DataFrame | None = None, validatio
 def report_findings(files: DataFrame, ignore: DataFrame | None = None, validation: str = "disabled") -> DataFrame:
     """Findings with controls, ids and hashes."""
     return finalize(scan_workspaces(files, ignore, validation))
+
+
+def report_tables(files: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, evidence and states as durable tables.
+
+    Roll-ups read each of them several times; contents are scanned once for each.
+    """
+    kept = durable(findings)
+    proof = durable(collect_evidence(files))
+    return kept, proof, durable(report_states(kept, proof))

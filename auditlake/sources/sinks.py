@@ -21,13 +21,13 @@ def report_documents(workspaces: DataFrame, findings: DataFrame, evidence: DataF
     written whole without one task holding all of it; every part repeats the small header.
     """
     step = f"cast((position - 1) div {part_rows} AS int)"
+    placed = with_position(evidence, ["workspace"], [F.col(c) for c in (ORDER[0], "evidence_source", *ORDER[1:])])
     finding = F.struct(
         "position", "id", "type", "file", "line", "snippet", "severity", "confidence", "evidence_hash",
         "compliance_frameworks_affected", "control_id", "control_category", "control_pass_fail_status",
         "required_evidence_missing", "auditor_explanation", "control_state")
     finding_parts = findings.groupBy("workspace", F.expr(step).alias("part")).agg(
         F.sort_array(F.collect_list(finding)).alias("found"))
-    placed = with_position(evidence, ["workspace"], [F.col(c) for c in (ORDER[0], "evidence_source", *ORDER[1:])])
     item = F.struct("position", "control_id", "framework", "evidence_type", "evidence_present", "evidence_source",
                     "expiry_detected")
     evidence_parts = placed.groupBy("workspace", F.expr(step).alias("part")).agg(
@@ -37,7 +37,7 @@ def report_documents(workspaces: DataFrame, findings: DataFrame, evidence: DataF
     counts = parts.groupBy("workspace").agg((F.max("part") + 1).alias("parts"))
     header = (
         counts.join(standards(findings), "workspace", "left")
-        .join(states_map(report_states(findings, evidence)), "workspace", "left")
+        .join(states_map(report_states(findings, placed)), "workspace", "left")
         .join(severity_metrics(findings), "workspace", "left")
         .join(merkle_roots(findings, workspaces), "workspace", "left")
     )
