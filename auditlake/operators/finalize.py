@@ -115,23 +115,27 @@ def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position"
                 fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
     """Root per group from leaves with dense 1-based positions.
 
-    Each round folds chunks of 2^fan neighbouring nodes by exactly ``fan`` levels, so no task or
-    array holds more than one chunk; a group that fits in one chunk is folded to its root. Groups
-    may have up to 2^(fan * rounds) leaves.
+    Each round folds chunks of 2^fan neighbouring nodes by exactly ``fan`` levels, keyed by (group,
+    chunk), so no task or array holds more than one chunk however large a group is. The first chunk
+    is also folded to its own root, which counts once a group has no other. Groups may have up to
+    2^(fan * rounds) leaves.
     """
-    size, chunk = 1 << fan, fan
-    nodes = hashes.select(*groups, (F.col(position) - 1).alias("at"), F.unhex(leaf).alias("node"))
-    total = nodes.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"))
-    nodes = nodes.join(total, groups)
+    cells = (
+        hashes.select(*groups, (F.col(position) - 1).alias("at"), F.unhex(leaf).alias("node"))
+        .withColumn("root", F.col("node"))
+    )
+    # a first chunk with a single cell is a group already folded to one node: its root is carried on
+    alone = "(at = 0 AND size(cells) = 1)"
+    nodes = "transform(cells, x -> x.node)"
     for _ in range(rounds):
-        nodes = (
-            nodes.groupBy(*groups, F.expr(f"shiftright(at, {chunk})").alias("at"))
-            .agg(F.first("total").alias("total"),
-                 F.expr("transform(array_sort(collect_list(struct(at, node))), x -> x.node)").alias("nodes"))
-            .select(*groups, "at", F.expr(f"cast(ceil(total / {size}) AS bigint)").alias("total"),
-                    F.expr(fold("nodes", str(chunk), f"total <= {size}")).alias("node"))
+        cells = (
+            cells.groupBy(*groups, F.expr(f"shiftright(at, {fan})").alias("at"))
+            .agg(F.array_sort(F.collect_list(F.struct("at", "node", "root"))).alias("cells"))
+            .select(*groups, "at",
+                    F.expr(f"CASE WHEN {alone} THEN cells[0].root ELSE {fold(nodes, str(fan), 'false')} END").alias("node"),
+                    F.expr(f"CASE WHEN {alone} THEN cells[0].root WHEN at = 0 THEN {fold(nodes, str(fan), 'true')} END").alias("root"))
         )
-    return nodes.select(*groups, F.lower(F.hex("node")).alias("merkle_root"))
+    return cells.select(*groups, F.lower(F.hex("root")).alias("merkle_root"))
 
 
 def merkle_roots(findings: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:

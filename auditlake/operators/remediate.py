@@ -46,29 +46,27 @@ def import_insertion(files: DataFrame) -> DataFrame:
         "workspace", "path", f"CASE WHEN NOT {has} THEN cast({import_index()} AS int) END AS insert_at")
 
 
-def _with_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings with their line's text: lines are cut out before the join, so contents do not move."""
-    wanted = findings.select("workspace", F.col("file").alias("path")).distinct()
-    lines = (
-        files.join(wanted, ["workspace", "path"], "left_semi")
-        .select("workspace", F.col("path").alias("file"), F.posexplode(F.expr(split_lines("content"))).alias("at", "before"))
-        .withColumn("line", F.expr("at + 1")).drop("at")
-    )
-    return findings.join(lines, ["workspace", "file", "line"])
-
-
 def fix_secret_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Secret assignments of Python files as environment look-ups, indentation kept."""
-    secrets = findings.filter("type = 'hardcoded_secret' AND endswith(file, '.py') AND line IS NOT NULL")
+    """Secret assignments of Python files as environment look-ups, indentation kept.
+
+    Assignment lines are cut out of the files in a narrow pass and only they are joined with the
+    findings, so contents do not move.
+    """
     pattern = lit(java(S.ASSIGNMENT))
+    lines = f"transform({split_lines('content')}, (l, i) -> named_struct('line', i + 1, 'before', l))"
+    assignments = (
+        files.filter("ext = '.py'")
+        .selectExpr("workspace", "path AS file", f"inline_outer(filter({lines}, x -> x.before RLIKE {pattern}))")
+        .filter("line IS NOT NULL")
+    )
+    secrets = findings.filter("type = 'hardcoded_secret' AND endswith(file, '.py') AND line IS NOT NULL")
     return (
-        _with_lines(secrets, files)
+        secrets.join(assignments, ["workspace", "file", "line"])
         .withColumns({
             "var_name": F.expr(f"regexp_extract(before, {pattern}, 1)"),
             "literal": F.expr(unquote(f"regexp_extract(before, {pattern}, 2)")),
             "indent": F.expr(f"regexp_extract(before, {lit(INDENT)}, 0)"),
         })
-        .filter("var_name != ''")
         .withColumn("env_var", F.expr("regexp_replace(upper(var_name), '[^A-Z0-9_]', '_')"))
         .withColumn("after", F.expr(
             f"concat(indent, var_name, ' = os.getenv(\\'', env_var, '\\', ', {json_string('literal')}, ')')"))

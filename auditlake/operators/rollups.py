@@ -39,11 +39,12 @@ def framework_coverage(standards: DataFrame, states: DataFrame, evidence: DataFr
     stated = from_states.unionByName(from_evidence).groupBy("workspace", "standard").agg(
         F.count(F.lit(1)).alias("total"), F.sum("satisfied").alias("satisfied"))
     known = states.select("workspace").union(evidence.select("workspace")).distinct()
+    # findings are counted before the anti join, so only counts are shuffled
     fallback = (
-        findings.join(known, "workspace", "left_anti")
-        .select("workspace", F.explode("compliance_frameworks_affected").alias("standard"),
-                F.expr("int(control_pass_fail_status = 'PASS')").alias("satisfied"))
+        findings.select("workspace", F.explode("compliance_frameworks_affected").alias("standard"),
+                        F.expr("int(control_pass_fail_status = 'PASS')").alias("satisfied"))
         .groupBy("workspace", "standard").agg(F.count(F.lit(1)).alias("total"), F.sum("satisfied").alias("satisfied"))
+        .join(known, "workspace", "left_anti")
     )
     rows = standards.select("workspace", F.explode("standards").alias("standard"))
     return rows.join(stated.unionByName(fallback), ["workspace", "standard"], "left").selectExpr(
@@ -57,12 +58,14 @@ def readiness(workspaces: DataFrame, states: DataFrame, evidence: DataFrame, fin
         "workspace",
         "CASE WHEN evidence_present AND NOT expiry_detected THEN 'VERIFIED_SYSTEM' "
         "WHEN expiry_detected THEN 'EXPIRED_EVIDENCE' ELSE 'MISSING_EVIDENCE' END AS state")
-    stated = states.select("workspace", "state").unionByName(from_evidence)
-    known = stated.select("workspace").distinct()
-    fallback = findings.join(known, "workspace", "left_anti").selectExpr(
+    from_findings = findings.selectExpr(
         "workspace", "CASE control_pass_fail_status WHEN 'PASS' THEN 'VERIFIED_MACHINE' WHEN 'FAIL' THEN 'MISSING_EVIDENCE' END AS state")
-    counts = stated.unionByName(fallback).groupBy("workspace").agg(
-        *[F.expr(f"count_if(state = '{s}')").alias(s.lower()) for s in CONTROL_STATES])
+
+    def tally(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("workspace").agg(*[F.expr(f"count_if(state = '{s}')").alias(s.lower()) for s in CONTROL_STATES])
+
+    stated = tally(states.select("workspace", "state").unionByName(from_evidence))
+    counts = stated.unionByName(tally(from_findings).join(stated.select("workspace"), "workspace", "left_anti"))
     names = [s.lower() for s in CONTROL_STATES]
     filled = workspaces.select("workspace").distinct().join(counts, "workspace", "left").na.fill(0, names)
     good = "(verified_machine + verified_system + attested_human)"

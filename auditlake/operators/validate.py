@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import gates as G
 from ..functions.text import lit
+from ..session import durable
 
 TOP = 3
 WEIGHTS = [0.6, 0.3, 0.1]  # fixed value
@@ -74,6 +75,8 @@ def topk(findings: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTE
                 yield batch
 
         scored = scored.mapInPandas(score, schema)
+        if block + 1 < blocks:
+            scored = durable(scored)  # one block in memory at a time
     return scored
 
 

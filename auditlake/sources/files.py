@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import lit, split_lines
@@ -24,12 +28,55 @@ def utf8_text(raw: str) -> Column:
         f"CASE WHEN is_valid_utf8({text}) THEN {text} ELSE replace(make_valid_utf8({text}), '\\ufffd', '') END")
 
 
+def _open(root: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(root) if "://" in root else (arrow_fs.LocalFileSystem(), root)
+
+
+def _passed_over(part: str) -> bool:
+    """Names Spark's file index leaves out."""
+    hidden = (part.startswith("_") and "=" not in part) or part.startswith(".") or part.endswith("._COPYING_")
+    return hidden and not part.startswith(("_metadata", "_common_metadata"))
+
+
+def hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """Dot and underscore files, which file sources pass over but a scan needs (``.env``, ``.github``).
+
+    The driver lists the top level only. Tasks list the folders below it, and the paths are spread
+    again before any content is read.
+    """
+    store, base = _open(root)
+    base = base.rstrip("/")
+    tops = [(i.path, i.type == arrow_fs.FileType.Directory) for i in store.get_file_info(arrow_fs.FileSelector(base))]
+    if not tops:
+        return spark.createDataFrame([], "path STRING, content BINARY")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, _ = _open(root)
+        for batch in batches:
+            for top, folder in zip(batch["top"], batch["folder"]):
+                found = where.get_file_info(arrow_fs.FileSelector(top, recursive=True)) if folder else where.get_file_info([top])
+                paths = [i.path[len(base) + 1:] for i in found if i.type == arrow_fs.FileType.File]
+                yield pd.DataFrame({"path": [p for p in paths if any(map(_passed_over, p.split("/")))]}, dtype="object")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, _ = _open(root)
+        for batch in batches:
+            for path in batch["path"]:
+                with where.open_input_stream(f"{base}/{path}") as stream:
+                    yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+
+    folders = spark.createDataFrame(tops, "top STRING, folder BOOLEAN").repartition("top")
+    paths = folders.mapInPandas(listed, "path STRING").repartition("path")
+    return paths.mapInPandas(read, "path STRING, content BINARY")
+
+
 def read_files(spark: SparkSession, root: str, workspace: str | None = None) -> DataFrame:
     """Read a tree. One workspace per top folder unless a name for the whole tree is given."""
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     relative = F.expr(f"substring(path, locate({lit(base)}, path) + {len(base)})")
-    files = raw.select(relative.alias("path"), utf8_text("content").alias("content"))
+    every = raw.withColumn("path", relative).unionByName(hidden_files(spark, root))
+    files = every.select("path", utf8_text("content").alias("content"))
     if workspace is not None:
         return path_attributes(files.withColumn("workspace", F.lit(workspace)))
     return path_attributes(files.selectExpr(

@@ -32,18 +32,22 @@ def report_documents(workspaces: DataFrame, findings: DataFrame, evidence: DataF
                     "expiry_detected")
     evidence_parts = placed.groupBy("workspace", F.expr(step).alias("part")).agg(
         F.sort_array(F.collect_list(item)).alias("proof"))
-    first = workspaces.select("workspace").distinct().withColumn("part", F.lit(0))
-    parts = first.join(finding_parts, ["workspace", "part"], "full").join(evidence_parts, ["workspace", "part"], "full")
-    counts = parts.groupBy("workspace").agg((F.max("part") + 1).alias("parts"))
+    last = [t.groupBy("workspace").agg(F.max("position").alias(n)) for t, n in ((findings, "f_last"), (placed, "e_last"))]
+    parts = f"greatest(1, cast(ceil(greatest(coalesce(f_last, 0), coalesce(e_last, 0)) / {part_rows}) AS int))"
     header = (
-        counts.join(standards(findings), "workspace", "left")
+        workspaces.select("workspace").distinct()
+        .join(last[0], "workspace", "left").join(last[1], "workspace", "left").withColumn("parts", F.expr(parts))
+        .join(standards(findings), "workspace", "left")
         .join(states_map(report_states(findings, placed)), "workspace", "left")
         .join(severity_metrics(findings), "workspace", "left")
         .join(merkle_roots(findings, workspaces), "workspace", "left")
+        .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     )
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("critical", "high", "medium", "low", "risk_score")}
     default = "array('DPDP', 'GDPR', 'HIPAA', 'ISO27001', 'NIST-CSF', 'PCI-DSS', 'SOC2')"
-    return parts.join(header.withColumns(zero), "workspace").selectExpr(
+    # joined by (workspace, part): the parts of one large workspace go to many tasks
+    keys = ["workspace", "part"]
+    return header.withColumns(zero).join(finding_parts, keys, "left").join(evidence_parts, keys, "left").selectExpr(
         "workspace", "part", "parts", f"'{VERSION}' AS report_version",
         f"named_struct('name', element_at(split(workspace, '/'), -1), 'path', workspace, "
         f"'commit', cast(NULL AS string), 'scan_time', '{scan_time}') AS project",
