@@ -506,9 +506,9 @@ def pieces_for(ids: list[str], validation: str = "disabled") -> list[Piece]:
     return out
 
 
-def not_excluded(files: DataFrame) -> DataFrame:
+def not_excluded(files: DataFrame, extra_names: tuple[str, ...] = ()) -> DataFrame:
     """Files outside the excluded directories and names; parts are those of the relative path."""
-    return files.filter(f"NOT {G.excluded_path('split(path, ' + lit('/') + ')')}")
+    return files.filter(f"NOT {G.excluded_path('split(path, ' + lit('/') + ')', extra_names=extra_names)}")
 
 
 def security_tools(files: DataFrame) -> DataFrame:
@@ -520,13 +520,13 @@ def security_tools(files: DataFrame) -> DataFrame:
 
 
 def scan_files(files: DataFrame, ids: list[str] | None = None, validation: str = "disabled",
-               extra: list[Piece] | None = None) -> DataFrame:
+               extra: list[Piece] | None = None, excluded_names: tuple[str, ...] = ()) -> DataFrame:
     """Raw findings of the per-file detectors.
 
     Only findings, never file contents, are joined with the workspace flag.
     """
     ids = list(BUILDERS) if ids is None else ids
-    found = apply(not_excluded(files), pieces_for(ids, validation) + list(extra or []))
+    found = apply(not_excluded(files, excluded_names), pieces_for(ids, validation) + list(extra or []))
     confidence = F.col("confidence")
     if TOOL_AWARE & set(ids):
         named = has_any(G.workspace_name(), N.SECURITY_TOOL_NAMES)

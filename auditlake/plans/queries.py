@@ -376,7 +376,7 @@ def f7(spark, sf):
 SELECT doc_id, line_no::INT AS line_no, m AS matched, count(*) AS matches FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[a-z]*tion[a-z]*', 0)) AS m FROM l) GROUP BY ALL""")
 def f8(spark, sf):
     from ..functions.text import match_lines
-    docs = tables(spark, sf, "documents").select("doc_id", F.expr(match_lines("text", "[a-z]*tion[a-z]*", "")).alias("found"))
+    docs = spread(tables(spark, sf, "documents"), "doc_id").select("doc_id", F.expr(match_lines("text", "[a-z]*tion[a-z]*", "")).alias("found"))
     return docs.selectExpr("doc_id", "inline_outer(found)").filter("match IS NOT NULL").groupBy(
         "doc_id", "line_no", F.col("match").alias("matched")).agg(F.count(F.lit(1)).alias("matches"))
 
@@ -772,9 +772,8 @@ def r6(spark, sf):
 @query("r7_framework_order", f"{ENRICHED}, u AS (SELECT workspace, unnest(frameworks) AS framework FROM enriched UNION ALL SELECT workspace, 'OTHER' FROM enriched) SELECT workspace, framework, count(*) AS findings, coalesce(list_position({ALL_FRAMEWORKS}, framework), 8)::INT AS rank FROM u GROUP BY workspace, framework")
 def r7(spark, sf):
     found = FN.enrich_controls(base(spark, sf)[1])
-    names = found.select("workspace", F.explode("compliance_frameworks_affected").alias("framework"))
-    other = found.select("workspace", F.lit("OTHER").alias("framework"))
-    return names.unionByName(other).groupBy("workspace", "framework").agg(F.count(F.lit(1)).alias("findings")).withColumn(
+    names = found.select("workspace", F.explode(F.expr("concat(compliance_frameworks_affected, array('OTHER'))")).alias("framework"))
+    return names.groupBy("workspace", "framework").agg(F.count(F.lit(1)).alias("findings")).withColumn(
         "rank", F.expr(f"cast({RU.framework_rank()} AS int)")).orderBy("workspace", "rank")
 
 
@@ -904,7 +903,15 @@ def p2(spark, sf):
     return RM.fix_public_acl(corpus(spark, sf)).select("workspace", "file", "line", "before", "after", F.sha2("new_content", 256).alias("content_hash"))
 
 
-@query("p3_import_insertion")
+PY_LINES = O.line_table("(SELECT * FROM every_file WHERE ext = '.py')", "pl", "workspace, path")
+
+
+@query("p3_import_insertion", f"""WITH {O.CORPUS},{PY_LINES},
+f AS (SELECT workspace, path, bool_or({O.trimmed('line')} = 'import os') AS has, max(line_no) AS n, bool_or(line_no = 1 AND starts_with(line, '#!'))::INT AS s FROM pl GROUP BY ALL),
+o AS (SELECT f.*, pl.line AS opening FROM f LEFT JOIN pl ON pl.workspace = f.workspace AND pl.path = f.path AND pl.line_no = f.s + 1),
+c AS (SELECT o.workspace, o.path, min(pl.line_no) AS closing FROM o JOIN pl ON pl.workspace = o.workspace AND pl.path = o.path AND pl.line_no > o.s + 1 AND strpos(pl.line, left(o.opening, 3)) > 0 GROUP BY ALL)
+SELECT o.workspace, o.path, (CASE WHEN has THEN NULL WHEN left(opening, 3) IN (repeat(chr(39), 3), repeat(chr(34), 3)) THEN coalesce(closing, n) ELSE s END)::INT AS insert_at
+FROM o LEFT JOIN c USING (workspace, path)""")
 def p3(spark, sf):
     return RM.import_insertion(corpus(spark, sf))
 

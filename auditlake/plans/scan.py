@@ -15,7 +15,7 @@ from ..session import durable
 
 
 def scan_workspaces(files: DataFrame, ignore: DataFrame | None = None, validation: str = "disabled",
-                    extra: list[Piece] | None = None) -> DataFrame:
+                    extra: list[Piece] | None = None, excluded_names: tuple[str, ...] = ()) -> DataFrame:
     """Raw findings of all detectors. Overlapping detectors each keep their row.
 
     Lock files, practices and workspace kinds look at the whole tree; ignore patterns apply to the
@@ -23,7 +23,7 @@ def scan_workspaces(files: DataFrame, ignore: DataFrame | None = None, validatio
     """
     scanned = files if ignore is None else apply_ignore(files, ignore)
     return (
-        scan_files(scanned, validation=validation, extra=extra)
+        scan_files(scanned, validation=validation, extra=extra, excluded_names=excluded_names)
         .unionByName(missing_locks(files))
         .unionByName(practice_gaps(files))
     )

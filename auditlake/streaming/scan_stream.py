@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detectors import scan_files
 from ..operators.finalize import finalize
+from ..session import spread
 
 
 def scan_stream(files: DataFrame, sink: str, checkpoint: str, ids: list[str] | None = None) -> StreamingQuery:
@@ -17,7 +18,8 @@ def scan_stream(files: DataFrame, sink: str, checkpoint: str, ids: list[str] | N
     findings already written. Re-running a batch after a failure overwrites its own folder.
     """
     def write(batch: DataFrame, number: int) -> None:
-        finalize(scan_files(batch, ids)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        spread_batch = spread(batch, "workspace", "path")
+        finalize(scan_files(spread_batch, ids)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return (
         files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

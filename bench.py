@@ -33,7 +33,8 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores)
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/documents.parquet").count()  # start the JVM's reader before timing
+    # not timed: starts Python workers and lets the JVM compile its readers and planner
+    QUERIES["flagship_secret_report"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for key in HEADLINE:
         start = time.perf_counter()
