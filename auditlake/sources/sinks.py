@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.evidence import ORDER
-from ..operators.finalize import merkle_roots, severity_metrics, standards, with_position
+from ..operators.finalize import EMPTY_ROOT, merkle_roots, severity_metrics, standards, with_position
 from ..operators.ledger import numbered
 from ..operators.states import report_states, states_map
 
@@ -40,10 +40,11 @@ def report_documents(workspaces: DataFrame, findings: DataFrame, evidence: DataF
         .join(standards(findings), "workspace", "left")
         .join(states_map(report_states(findings, placed)), "workspace", "left")
         .join(severity_metrics(findings), "workspace", "left")
-        .join(merkle_roots(findings, workspaces), "workspace", "left")
+        .join(merkle_roots(findings), "workspace", "left")
         .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     )
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("critical", "high", "medium", "low", "risk_score")}
+    zero["merkle_root"] = F.coalesce("merkle_root", F.lit(EMPTY_ROOT))
     default = "array('DPDP', 'GDPR', 'HIPAA', 'ISO27001', 'NIST-CSF', 'PCI-DSS', 'SOC2')"
     # joined by (workspace, part): the parts of one large workspace go to many tasks
     keys = ["workspace", "part"]
