@@ -185,3 +185,73 @@ def in_bit_array(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)
+
+
+def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The top ``bits`` bits of each hash."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def previous(hashes: np.ndarray, first: np.ndarray, back: int = 1) -> np.ndarray:
+    """The hash ``back`` places before each item, 0 where the text has none."""
+    out = np.zeros_like(hashes)
+    out[back:] = hashes[: len(hashes) - back]
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out[np.arange(len(hashes)) - first[owner] < back] = 0
+    return out
+
+
+def per_text(values: np.ndarray, first: np.ndarray, how: np.ufunc, empty: float) -> np.ndarray:
+    """Reduce the items of each text; ``empty`` for texts without items."""
+    out = np.full(len(first) - 1, empty)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = how.reduceat(values, first[full])
+    return out
+
+
+def scored(df: DataFrame, text_col: str, fields: str, score) -> DataFrame:
+    """All rows and columns of ``df`` plus the columns of ``fields``; ``score(texts)`` gives arrays for a column of texts.
+
+    The names in ``fields`` must not be among the columns of ``df``.
+    """
+    at = df.columns.index(text_col)
+
+    def run(it):
+        for batch in batches(it):
+            new = score(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in new.values())], names=[*batch.schema.names, *new])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{kept}, {fields}")
+
+
+def sample_of_labels(labels: DataFrame, label_col: str, most: int, folds: int, held_out: int) -> DataFrame:
+    """At most ``most`` labelled ids (id, label, fold) outside the held-out fold, those of the smallest hashes.
+
+    Null ids and labels are passed over; the largest label of an id counts.
+    """
+    fold = F.crc32(F.col("id").cast("string")) % folds
+    return (
+        only(labels, id="doc_id", label=label_col).where("id IS NOT NULL AND label IS NOT NULL")
+        .groupBy("id").agg(F.max("label").cast("int").alias("label")).withColumn("fold", fold.cast("int"))
+        .where(F.col("fold") != held_out).orderBy(F.xxhash64("id"), "id").limit(most)
+    )
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a small logistic regression by Newton's method; the last weight is the intercept."""
+    x = np.column_stack([x, np.ones(len(x))])
+    weight = np.ones(len(x)) if weight is None else weight
+    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    penalty[-1, -1] = 1e-9
+    for _ in range(40):
+        p = sigmoid(x @ w)
+        slope = x.T @ (weight * (p - y)) + penalty @ w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, slope)
+        w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+    return w
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))

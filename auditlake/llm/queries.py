@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC
-from .common import documents
+from . import decontaminate as DC, toxicity as TX
+from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def fold_of(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = documents(spark, sf_dir)
+    model = TX.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return TX.score_documents(only(docs, doc_id="doc_id", text="text"), model).select(
+        "doc_id", (fold_of(TX.FOLDS) == TX.HELD_OUT).alias("held_out"), F.col("tox_score").alias("score"),
+        F.expr("int(tox_score >= 0.5)").alias("predicted"))
