@@ -239,18 +239,23 @@ def sample_of_labels(labels: DataFrame, label_col: str, most: int, folds: int, h
     )
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a small logistic regression by Newton's method; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a small logistic regression by Newton's method; the last weight is the intercept.
+
+    ``ridge`` holds the weights of the standardised features down where rows are few.
+    """
+    mean, deviation = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([(x - mean) / deviation, np.ones(len(x))])
     weight = np.ones(len(x)) if weight is None else weight
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     for _ in range(40):
-        p = sigmoid(x @ w)
-        slope = x.T @ (weight * (p - y)) + penalty @ w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, slope)
+        p = sigmoid(z @ w)
+        slope = z.T @ (weight * (p - y)) + penalty @ w
+        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, slope)
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-    return w
+    plain = w[:-1] / deviation
+    return np.append(plain, w[-1] - plain @ mean)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -113,9 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     stats = {r.label: r.n for r in picked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = stats.get(1, 0) / max(sum(stats.values()), 1)
     # the sample is bounded by ``most`` rows of ids and labels, so it may be broadcast; the texts stay where they are
-    known = durable(only(docs, id=id_col, text=text_col).join(F.broadcast(picked), "id").select("text", F.expr("int(label > 0)").alias("label"), "fold"))
+    known = durable(only(docs, id=id_col, text=text_col).join(F.broadcast(picked), "id").select("id", "text", F.expr("int(label > 0)").alias("label"), "fold"))
     counted = durable(
-        known.where(F.col("fold") != CALIBRATION).repartition(8, F.xxhash64("text")).mapInArrow(_count, ddl(COUNTS))
+        known.where(F.col("fold") != CALIBRATION).repartition(8, "id").mapInArrow(_count, ddl(COUNTS))
         .groupBy("kind", "code", "label").agg(F.sum("n").alias("n")))
     words = np.zeros((2, 1 << WORD_BITS))
     for r in counted.where("kind = 0").toArrow().to_batches():
