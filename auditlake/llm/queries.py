@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC, toxicity as TX
+from . import decontaminate as DC, mixing as MX, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TX.score_documents(only(docs, doc_id="doc_id", text="text"), model).select(
         "doc_id", (fold_of(TX.FOLDS) == TX.HELD_OUT).alias("held_out"), F.col("tox_score").alias("score"),
         F.expr("int(tox_score >= 0.5)").alias("predicted"))
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return MX.mixed_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
