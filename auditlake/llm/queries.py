@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC, mixing as MX, toxicity as TX
+from . import decontaminate as DC, mixing as MX, pii as PI, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return MX.mixed_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = PI.find(documents(spark, sf_dir))
+    of_kind = lambda k: F.size(F.filter("pii_base", lambda s: s["kind"] == PI.BASE.index(k))).cast("long").alias(f"n_{k}")
+    return found.select(
+        F.col("id").alias("doc_id"), *(of_kind(k) for k in PI.BASE),
+        F.sha2(PI.written(F.array_sort("pii_base")).cast("binary"), 256).alias("base_sha256"), PI.written(F.col("pii_spans")).alias("spans"))
