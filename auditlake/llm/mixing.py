@@ -148,7 +148,8 @@ def mix(places: DataFrame, filled: DataFrame, *, block: int = BLOCK) -> DataFram
         .withColumn("from_word", F.greatest(F.lit(0), F.col("block") * block - F.col("start")))
         .withColumn("to_word", F.least("size", (F.col("block") + 1) * block - F.col("start")))
     )
-    return filled.join(pieces, ["pos", "block"]).select("shard", "slot", "pos", "start", "id", "from_word", "to_word")
+    # Spark sees the slots as the few rows they are exploded from and would broadcast them
+    return filled.hint("merge").join(pieces, ["pos", "block"]).select("shard", "slot", "pos", "start", "id", "from_word", "to_word")
 
 
 def mixed_documents(docs: DataFrame, *, block: int = BLOCK, shard: int = SHARD, **columns: str) -> DataFrame:
