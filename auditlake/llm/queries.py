@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC, jaccard as JC, mixing as MX, pii as PI, toxicity as TX
+from . import decontaminate as DC, jaccard as JC, language as LI, mixing as MX, pii as PI, quality as QU, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
     found = JC.near_duplicates(documents(spark, sf_dir), n=3, threshold="0.9")
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain quality counts and the verdict on every document."""
+    docs = documents(spark, sf_dir)
+    model = QU.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return QU.score_documents(only(docs, doc_id="doc_id", text="text"), model).drop("text")
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    model = LI.fit(docs.where(fold_of(LI.FOLDS) != LI.HELD_OUT))
+    return LI.identify(only(docs, doc_id="doc_id", text="text"), model).select(
+        "doc_id", (fold_of(LI.FOLDS) == LI.HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
