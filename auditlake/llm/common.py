@@ -260,3 +260,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+
+
+def gathered(it: Iterable[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
+    """All rows of a task; Spark may call columns not null that the schema does not."""
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in it], schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC, jaccard as JC, language as LI, mixing as MX, pii as PI, quality as QU, toxicity as TX
+from . import decontaminate as DC, jaccard as JC, language as LI, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = LI.fit(docs.where(fold_of(LI.FOLDS) != LI.HELD_OUT))
     return LI.identify(only(docs, doc_id="doc_id", text="text"), model).select(
         "doc_id", (fold_of(LI.FOLDS) == LI.HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op2_suffix_dedup", r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (  -- 200 starts each
+  SELECT doc_id, j, n, substr(x, 400 * j + 1, 598) AS y
+  FROM (SELECT doc_id, x, len(x) // 2 - 99 AS n, unnest(range(0, greatest((len(x) // 2 + 100) // 200, 0))) AS j FROM bytes)),
+starts AS (SELECT doc_id, y, 200 * j AS s, unnest(range(0, least(200, n - 200 * j))) AS o FROM parts),
+strings AS (SELECT doc_id, s + o AS i, row_number() OVER (PARTITION BY md5_number(substr(y, 2 * o + 1, 200)) ORDER BY doc_id, s + o) AS k FROM starts),
+later AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j FROM strings WHERE k > 1),
+spans AS (
+  SELECT doc_id, sum(CASE WHEN j IS NULL OR i > j + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span, i FROM later),
+cuts AS (SELECT doc_id, span, min(i) AS lo, max(i) + 100 AS hi FROM spans GROUP BY doc_id, span),
+pieces AS (
+  SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS r FROM cuts),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(CASE WHEN r = 1 THEN substr(x, 1, 2 * lo) ELSE '' END || substr(x, 2 * hi + 1, 2 * coalesce(nxt - hi, len(x))), '' ORDER BY lo) AS rest
+  FROM pieces JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once repeated strings of 100 bytes are gone."""
+    return SX.digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
