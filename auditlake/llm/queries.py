@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC, jaccard as JC, language as LI, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
+from . import decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,11 @@ FROM bytes LEFT JOIN kept USING (doc_id)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once repeated strings of 100 bytes are gone."""
     return SX.digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document."""
+    held_out = F.crc32(F.col("id").cast("string")) % ME.FOLDS == ME.HELD_OUT
+    found = ME.score_documents(documents(spark, sf_dir), held_out)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
