@@ -11,7 +11,11 @@ compared if they share the smaller m of both.
 Dense groups of near copies are not compared pair by pair. First every posting list is compared with a few pivots of its
 own (a star, as many pairs as postings); links found make components, and only representatives whose components still
 differ are compared in full. That keeps every component exact: a pair left out lies in one component already. The
-remaining pairs are compared by blocks of posting lists, in tasks that get the sets and give back links alone.
+remaining pairs are compared by blocks of posting lists, in tasks that give back links alone; documents of a list that
+share an earlier long list have met there.
+
+Texts move late: a set's sketch is the parity of its tokens in 1,024 bits. Two sketches differ in no more bits than their
+sets do in tokens, so pairs whose sketches differ in too many bits can't link and need no text.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing. Texts of fewer than n words have one
 token, the whole sequence. Rows that share an id are one document, the union of their sets; null ids are passed over.
@@ -36,9 +40,11 @@ COMPARE = 50.0
 #: a token counts as frequent from 1 / FREQUENT of all tokens on, so there are at most FREQUENT of them (16 MB)
 FREQUENT = 1 << 20
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
-SHORT, BLOCK = 64, 256
+SHORT, BLOCK = 64, 512
+SKETCH = 1024
 FLUSH = 1 << 22
-SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("s2", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
+SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+MET = pa.schema([("token", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("comp", pa.int64())])
 POSTINGS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -76,21 +82,22 @@ def _summaries(n: int):
         take = count >= max(2, total // FREQUENT)
         tokens, count = tokens[take], count[take]
         none = pa.nulls(len(tokens))
-        return rows(SETS, id=none, n=none, s=none, s2=none, token=tokens.view(np.int64), count=count.astype(np.int64))
+        return rows(SETS, id=none, n=none, s=none, s2=none, sketch=none, token=tokens.view(np.int64), count=count.astype(np.int64))
 
     def run(it):
         held, total = [], 0
         for batch in batches(it):
-            sizes, first, second = [], [], []
+            sizes, first, second, sketches = [], [], [], []
             for tokens in token_sets(column(batch, "text"), n):
                 sizes.append(len(tokens))
                 a, b = _signature(tokens)
                 first.append(a)
                 second.append(b)
+                sketches.append(np.packbits(np.bincount((tokens % SKETCH).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
                 held.append(tokens)
                 total += len(tokens)
             none = pa.nulls(len(sizes))
-            yield rows(SETS, id=column(batch, "id"), n=sizes, s=first, s2=second, token=none, count=none)
+            yield rows(SETS, id=column(batch, "id"), n=sizes, s=first, s2=second, sketch=pa.array(sketches, pa.binary()), token=none, count=none)
             if total >= FLUSH:
                 yield frequent(held, total)
                 held, total = [], 0
@@ -131,6 +138,37 @@ def _linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return common > 0 and t.denominator * common >= t.numerator * (len(a) + len(b) - common)
 
 
+def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def _may_link(differ: np.ndarray, both: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether sets of together ``both`` tokens that differ in ``differ`` tokens or more can link."""
+    return differ.astype(np.int64) * (t.denominator + t.numerator) <= both * (t.denominator - t.numerator)
+
+
+def _compare_sketches(t: Fraction):
+    """Tasks' function: pairs that can link."""
+    def run(it):
+        for batch in batches(it):
+            differ = np.bitwise_count(_bits(column(batch, "sketch_a")) ^ _bits(column(batch, "sketch_b"))).sum(axis=1)
+            good = _may_link(differ, column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy(), t)
+            yield rows(LINKS, a=column(batch, "a"), b=column(batch, "b")).filter(pa.array(good))
+    return run
+
+
+def _sketch_block(t: Fraction):
+    """Function of one block of a posting list: its documents that can link with one of another component."""
+    def run(table: pa.Table) -> pa.Table:
+        comps, sizes, bits = table["comp"].to_numpy(), table["n"].to_numpy(), _bits(table["sketch"])
+        good = np.zeros(len(bits), bool)
+        for at in range(len(bits)):
+            good[at] = (_may_link(np.bitwise_count(bits ^ bits[at]).sum(axis=1), sizes + sizes[at], t) & (comps != comps[at])).any()
+        return table.select(MET.names).filter(pa.array(good)).cast(MET)
+    return run
+
+
 def _compare(n: int, t: Fraction):
     """Tasks' function: pairs whose sets link."""
     def run(it):
@@ -194,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     docs = only(docs, id=id_col, text=text_col).where("id IS NOT NULL")
     spark = docs.sparkSession
     summary = durable(docs.mapInArrow(_summaries(n), ddl(SETS)))
-    documents = summary.where("token IS NULL").select("id", "n", "s", "s2")
+    documents = summary.where("token IS NULL").select("id", "n", "s", "s2", "sketch")
     total = documents.agg(F.sum("n").alias("n")).first().n or 0
     often = (
         summary.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
@@ -232,18 +270,28 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     pivot = F.min(F.struct("id", "n")).over(of_token)
     stars = many.select("id", "n", pivot.alias("p")).where(
         (F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * t.denominator >= F.greatest("n", "p.n") * t.numerator)).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
-    pairs = durable(pairs.union(stars).where("a <> b").distinct())
+    sketches = documents.where("n > 0").select("id", "n", "sketch")
+    sketch_of = lambda side: sketches.select(*(F.col(c).alias(new) for c, new in (("id", side), ("n", f"n_{side}"), ("sketch", f"sketch_{side}"))))
+    pairs = pairs.union(stars).where("a <> b").distinct().join(sketch_of("a"), "a").join(sketch_of("b"), "b")
+    pairs = durable(pairs.mapInArrow(_compare_sketches(t), ddl(LINKS)).distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
     texts = durable(docs.join(wanted, "id").distinct())
     text_of = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
     links = durable(pairs.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, t), ddl(LINKS)))
     label = components(links)
 
-    # what stars left apart, block by block: documents outside a list's largest component meet all others of the list
-    apart = many.select("token", "id").distinct().join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    sizes = apart.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all")).where("all > top.size")
-    listed = apart.join(largest, "token").withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy((F.col("comp") == F.col("top.comp")).cast("int"), "id")) - 1)
+    # what stars left apart, block by block: documents outside a list's largest group meet all others of the list. A
+    # group is a component, or the documents whose first long list is another, earlier one, where they have met
+    apart = many.select("token", "id").distinct().withColumn("first", F.min("token").over(Window.partitionBy("id")))
+    apart = apart.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    groups = F.array(F.struct(F.lit(0).alias("kind"), F.col("comp").alias("group")), F.struct(F.lit(1).alias("kind"), F.when(F.col("first") < F.col("token"), F.col("first")).alias("group")))
+    largest = (
+        apart.select("token", F.explode(groups).alias("g")).where("g.group IS NOT NULL").groupBy("token", "g").agg(F.count("*").alias("size"))
+        .groupBy("token").agg(F.max(F.struct("size", "g")).alias("top"))
+        .join(apart.groupBy("token").agg(F.count("*").alias("all")), "token").where("all > top.size")
+    )
+    inside = F.when(F.col("top.g.kind") == 0, F.col("comp") == F.col("top.g.group")).otherwise((F.col("first") == F.col("top.g.group")) & (F.col("first") < F.col("token")))
+    listed = apart.join(largest, "token").withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy(inside.cast("int"), "id")) - 1)
     block, blocks = F.floor(F.col("at") / BLOCK), F.ceil(F.col("all") / BLOCK)
     outside = F.ceil((F.col("all") - F.col("top.size")) / BLOCK)
     met = listed.withColumn("block", block).withColumn("blocks", blocks).withColumn("outside", outside).withColumn("pair", F.explode(F.concat(
@@ -251,12 +299,13 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         F.when((F.col("block") < F.col("outside")) & (F.col("block") + 1 < F.col("blocks")), F.transform(F.sequence(F.col("block") + 1, F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
         .otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")))))
     more = (
-        met.select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j")).join(texts, "id")
+        met.select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j")).join(sketches, "id")
+        .groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)).join(texts, "id")
         .groupBy("token", "i", "j").applyInArrow(_compare_block(n, t), ddl(LINKS))
     )
     label = components(links.union(more))
 
-    classes = documents.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("class"))
+    classes = durable(documents.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("class")))
     member = (
         documents.where("n > 0").join(classes, ["s", "s2", "n"]).join(label.withColumnRenamed("node", "class"), "class", "left")
         .select("id", "n", F.coalesce("comp", "class").alias("comp"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
+from . import classifier as CL, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("id").cast("string")) % ME.FOLDS == ME.HELD_OUT
     found = ME.score_documents(documents(spark, sf_dir), held_out)
     return found.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak label, score and verdict on every document."""
+    docs = only(documents(spark, sf_dir), doc_id="doc_id", text="text")
+    return CL.score_documents(docs, CL.fit(docs)).drop("text").withColumnRenamed("quality_score", "score")
