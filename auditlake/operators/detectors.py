@@ -520,17 +520,18 @@ def security_tools(files: DataFrame) -> DataFrame:
 
 
 def scan_files(files: DataFrame, ids: list[str] | None = None, validation: str = "disabled",
-               extra: list[Piece] | None = None, excluded_names: tuple[str, ...] = ()) -> DataFrame:
+               extra: list[Piece] | None = None, excluded_names: tuple[str, ...] = (), tools: DataFrame | None = None) -> DataFrame:
     """Raw findings of the per-file detectors.
 
-    Only findings, never file contents, are joined with the workspace flag.
+    Only findings, never file contents, are joined with the workspace flag. ``tools`` are the workspaces that
+    ``security_tools`` finds; without it they are looked for in ``files``, which must then hold ignored files too.
     """
     ids = list(BUILDERS) if ids is None else ids
     found = apply(not_excluded(files, excluded_names), pieces_for(ids, validation) + list(extra or []))
     confidence = F.col("confidence")
     if TOOL_AWARE & set(ids):
         named = has_any(G.workspace_name(), N.SECURITY_TOOL_NAMES)
-        found = found.join(security_tools(files), "workspace", "left")
+        found = found.join(security_tools(files) if tools is None else tools, "workspace", "left")
         tool = F.expr(f"(coalesce(tool_readme, false) OR {named}) AND tool_confidence IS NOT NULL")
         confidence = F.when(tool, F.col("tool_confidence")).otherwise(confidence)
     return found.select("workspace", "detector", "type", "file", "line", "snippet", "severity",

@@ -11,7 +11,6 @@ from .dims import finding_type_controls
 
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # fixed value: SHA-256 of nothing
 FAN = 10  # levels of the tree folded per round: chunks of 2^10 leaves
-ROUNDS = 4  # 2^40 leaves
 
 
 def enrich_controls(findings: DataFrame) -> DataFrame:
@@ -82,11 +81,22 @@ def json_string(expr: str) -> str:
     return f"concat('\"', CASE WHEN {expr} RLIKE {plain} THEN {expr} ELSE {escaped} END, '\"')"
 
 
+def json_number(expr: str) -> str:
+    """A double from 0 to 1 as JSON has it: plain down to 0.0001, then with an exponent of two digits."""
+    text = f"cast({expr} AS string)"
+    parts = f"split({text}, 'E-')"
+    mantissa = f"regexp_replace({parts}[0], '[.]0$', '')"
+    return (
+        f"CASE WHEN NOT contains({text}, 'E-') THEN {text} WHEN {expr} >= 1e-4D THEN concat('0.000', replace({mantissa}, '.', '')) "
+        f"ELSE concat({mantissa}, 'e-', IF(length({parts}[1]) < 2, concat('0', {parts}[1]), {parts}[1])) END"
+    )
+
+
 def canonical_json() -> str:
     """Payload of the evidence hash: six fields, sorted keys, no spaces, ASCII."""
     line = "coalesce(cast(line AS string), 'null')"
     return (
-        f"concat('{{\"confidence\":', cast(confidence AS string), ',\"file\":', {json_string('file')}, "
+        f"concat('{{\"confidence\":', {json_number('confidence')}, ',\"file\":', {json_string('file')}, "
         f"',\"line\":', {line}, ',\"severity\":', {json_string('severity')}, ',\"snippet\":', {json_string('snippet')}, "
         f"',\"type\":', {json_string('type')}, '}}')"
     )
@@ -111,14 +121,13 @@ def fold(nodes: str, levels: str, stop_at_root: str) -> str:
     )
 
 
-def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position", leaf: str = "evidence_hash",
-                fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
+def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position", leaf: str = "evidence_hash", fan: int = FAN) -> DataFrame:
     """Root per group from leaves with dense 1-based positions.
 
     Each round folds chunks of 2^fan neighbouring nodes by exactly ``fan`` levels, keyed by (group,
     chunk), so no task or array holds more than one chunk however large a group is. The first chunk
-    is also folded to its own root, which counts once a group has no other. Groups may have up to
-    2^(fan * rounds) leaves.
+    is also folded to its own root, which counts once a group has no other. The highest position
+    says how many rounds there are: one for groups of up to 2^fan leaves.
     """
     cells = (
         hashes.select(*groups, (F.col(position) - 1).alias("at"), F.unhex(leaf).alias("node"))
@@ -127,7 +136,8 @@ def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position"
     # a first chunk with a single cell is a group already folded to one node: its root is carried on
     alone = "(at = 0 AND size(cells) = 1)"
     nodes = "transform(cells, x -> x.node)"
-    for _ in range(rounds):
+    last = hashes.agg(F.max(position)).first()[0] or 1
+    while True:
         cells = (
             cells.groupBy(*groups, F.expr(f"shiftright(at, {fan})").alias("at"))
             .agg(F.array_sort(F.collect_list(F.struct("at", "node", "root"))).alias("cells"))
@@ -135,7 +145,9 @@ def merkle_root(hashes: DataFrame, groups: list[str], position: str = "position"
                     F.expr(f"CASE WHEN {alone} THEN cells[0].root ELSE {fold(nodes, str(fan), 'false')} END").alias("node"),
                     F.expr(f"CASE WHEN {alone} THEN cells[0].root WHEN at = 0 THEN {fold(nodes, str(fan), 'true')} END").alias("root"))
         )
-    return cells.select(*groups, F.lower(F.hex("root")).alias("merkle_root"))
+        last = (last + (1 << fan) - 1) >> fan
+        if last <= 1:
+            return cells.select(*groups, F.lower(F.hex("root")).alias("merkle_root"))
 
 
 def merkle_roots(findings: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
@@ -147,25 +159,42 @@ def merkle_roots(findings: DataFrame, workspaces: DataFrame | None = None) -> Da
         "merkle_root", F.coalesce("merkle_root", F.lit(EMPTY_ROOT)))
 
 
-def verify_merkle(reports: DataFrame) -> DataFrame:
-    """(valid, message) per report document; the hashes of a report are already one row's array."""
-    order = "x -> struct(x.file, coalesce(x.line, -1) AS line, x.type, x.id, lower(x.evidence_hash) AS hash)"
-    hashes = f"transform(array_sort(transform(coalesce(findings, array()), {order})), x -> x.hash)"
-    bad = "get(filter(hashes, h -> h IS NULL OR NOT h RLIKE '^[0-9a-f]{64}\\\\z'), 0)"
-    leaves = "transform(filter(hashes, h -> h RLIKE '^[0-9a-f]{64}\\\\z'), h -> unhex(h))"
-    root = (
-        f"CASE WHEN size({leaves}) = 0 THEN {lit(EMPTY_ROOT)} "
-        f"ELSE lower(hex({fold(leaves, 'greatest(1, cast(ceil(log2(size(hashes))) AS int))', 'true')})) END"
+VERIFIED = "Compliance evidence report verified"
+
+
+def verify_merkle(reports: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, expected_root, valid, message) per report, from all of its documents.
+
+    ``keys`` tell reports apart: by default the workspace, so a report in parts is checked as a whole; where there is
+    none, each document is a report. Findings are put in order by position, not gathered: no task holds a whole report.
+    Parts (``part``, ``parts``) that are missing or there twice make a report incomplete, and its parts must declare
+    the same root. A null list of findings is an empty one.
+    """
+    if keys is None:
+        keys = ["workspace"] if "workspace" in reports.columns else ["report"]
+        reports = reports if keys == ["workspace"] else durable(reports.withColumn("report", F.monotonically_increasing_id()))
+    found = reports.select(*keys, F.explode("findings").alias("f")).select(
+        *keys, "f.file", F.coalesce("f.line", F.lit(-1)).alias("line"), "f.type", "f.id", F.lower("f.evidence_hash").alias("hash"))
+    placed = with_position(found, keys, [F.col(c) for c in ("file", "line", "type", "id", "hash")])
+    good = F.coalesce(F.col("hash").rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
+    bad = placed.where(~good).groupBy(*keys).agg(F.min(F.struct("position", F.coalesce("hash", F.lit("")).alias("hash"))).alias("first_bad"))
+    roots = merkle_root(placed.withColumn("hash", F.when(good, F.col("hash"))), keys, leaf="hash").withColumnRenamed("merkle_root", "expected_root")
+    declared = F.lower("merkle_root")
+    whole = (
+        (F.count("part") == F.max("parts")) & (F.count_distinct("part") == F.max("parts")) & (F.min("parts") == F.max("parts"))
+        if {"part", "parts"} <= {*reports.columns} else F.lit(True)
+    )
+    heads = reports.groupBy(*keys).agg(F.min(declared).alias("low"), F.max(declared).alias("high"), whole.alias("whole"))
+    message = (
+        F.when(F.col("first_bad").isNotNull(), F.concat(F.lit("Invalid evidence hash: "), F.col("first_bad.hash")))
+        .when(~F.coalesce("whole", F.lit(False)), "Report is incomplete")
+        .when(F.col("low").eqNullSafe(F.col("high")) & (F.col("low") == F.col("expected_root")), VERIFIED).otherwise("Merkle root mismatch")
+    )
+    return (
+        heads.join(roots, keys, "left").join(bad, keys, "left")
+        .withColumn("expected_root", F.coalesce("expected_root", F.lit(EMPTY_ROOT))).withColumn("message", message)
+        .withColumn("valid", F.col("message") == VERIFIED).drop("low", "high", "whole", "first_bad")
     )
-    checked = reports.withColumn("hashes", F.expr(hashes))
-    return checked.withColumns({
-        "expected_root": F.expr(root),
-        "message": F.expr(
-            f"CASE WHEN exists(hashes, h -> h IS NULL OR NOT h RLIKE '^[0-9a-f]{{64}}\\\\z') "
-            f"THEN concat('Invalid evidence hash: ', coalesce({bad}, '')) "
-            f"WHEN {root} != lower(merkle_root) THEN 'Merkle root mismatch' "
-            f"ELSE 'Compliance evidence report verified' END"),
-    }).withColumn("valid", F.expr("message = 'Compliance evidence report verified'")).drop("hashes")
 
 
 def severity_metrics(findings: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ignore patterns of a workspace: an anti join on the workspace with a path test."""
+"""Ignore patterns of a workspace: an anti join with the paths that match one."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import lit, split_lines, strip
 
 IGNORE_FILE = ".scanignore"
-BROADCAST_ROWS = 200_000
-SALTS = 64
 
 
 def ignore_patterns(files: DataFrame, ignore_file: str = IGNORE_FILE) -> DataFrame:
@@ -35,16 +33,12 @@ MATCH = "(contains(path, p) OR name = p OR (glob IS NOT NULL AND (path RLIKE glo
 def apply_ignore(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Files that no pattern of their workspace matches.
 
-    The pattern side is counted first. Up to a bound it is broadcast, so contents do not move; past
-    it both sides are salted, so a workspace with a third of all files is spread over many tasks.
+    Paths alone meet the patterns of their workspace. The paths found then leave the files by an anti join on
+    (workspace, path), a key that no workspace dominates.
     """
-    prepared = _prepared(patterns)
-    size = prepared.limit(BROADCAST_ROWS + 1).count()
-    if size <= BROADCAST_ROWS:
-        condition = (F.col("workspace") == F.col("pattern_workspace")) & F.expr(MATCH)
-        return files.join(F.broadcast(prepared), condition, "left_anti")
-    salted = prepared.withColumn("pattern_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = files.withColumn("salt", F.expr(f"pmod(xxhash64(path), {SALTS})"))
-    condition = (
-        (F.col("workspace") == F.col("pattern_workspace")) & (F.col("salt") == F.col("pattern_salt")) & F.expr(MATCH))
-    return keyed.join(salted, condition, "left_anti").drop("salt")
+    ignored = (
+        files.select("workspace", "path", "name")
+        .join(_prepared(patterns), F.col("workspace") == F.col("pattern_workspace")).filter(MATCH)
+        .select("workspace", "path").distinct()
+    )
+    return files.join(ignored, ["workspace", "path"], "left_anti").select(*files.columns)

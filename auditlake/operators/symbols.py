@@ -53,8 +53,8 @@ def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
-    """Calls, decorators, imports and classes of ``.py`` files; unparsable files yield nothing."""
-    sources = files.filter(f"ext = '.py' AND NOT {has_any('path', N.PRACTICE_EXCLUDED_PARTS)}")
+    """Calls, decorators, imports and classes of ``.py`` files; unreadable and unparsable files yield nothing."""
+    sources = files.filter(f"content IS NOT NULL AND ext = '.py' AND NOT {has_any('path', N.PRACTICE_EXCLUDED_PARTS)}")
     return sources.select("workspace", "path", "content").mapInPandas(_symbols, schemas.SYMBOLS)
 
 

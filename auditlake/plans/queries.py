@@ -421,9 +421,30 @@ def documents(spark: SparkSession, sf: str, part_rows: int = SK.PART_ROWS) -> tu
     return files, final, SK.report_documents(files, final, EV.collect_evidence(files), "2024-01-01T00:00:00+00:00", part_rows)
 
 
-@query("g5_verify_merkle", f"{NUMBERED} SELECT DISTINCT workspace, len(id) >= 0 AS valid, 'Compliance evidence report verified' AS message FROM numbered UNION SELECT DISTINCT workspace, true, 'Compliance evidence report verified' FROM every_file")
+# what is done to a workspace's report, by the last letter of its name
+DAMAGE = "ascii(right(workspace, 1)) % {}"
+
+
+def on_first_finding(kind: int, kinds: int, field: str, value):
+    """The first finding of reports of one kind, with a field changed."""
+    hit = F.expr(f"{DAMAGE.format(kinds)} = {kind}")
+    return F.transform("findings", lambda f: F.when(hit & (f["id"] == "F001"), f.withField(field, F.lit(value))).otherwise(f))
+
+
+@query("g5_verify_merkle", f"""{NUMBERED}, {EVIDENCE_CTE},
+sized AS (
+  SELECT workspace, coalesce(f.n, 0) AS n, greatest(coalesce(f.n, 0), coalesce(p.n, 0)) > 4 AS several, {DAMAGE.format(4)} AS kind
+  FROM (SELECT DISTINCT workspace FROM every_file) w LEFT JOIN (SELECT workspace, count(*) AS n FROM numbered GROUP BY 1) f USING (workspace)
+  LEFT JOIN (SELECT workspace, count(*) AS n FROM proof GROUP BY 1) p USING (workspace)),
+judged AS (
+  SELECT workspace, CASE WHEN kind = 1 AND n > 0 THEN 'Merkle root mismatch' WHEN kind = 2 AND n > 0 THEN 'Invalid evidence hash: xyz'
+    WHEN kind = 3 AND several THEN 'Report is incomplete' ELSE 'Compliance evidence report verified' END AS message FROM sized)
+SELECT workspace, message = 'Compliance evidence report verified' AS valid, message FROM judged""")
 def g5(spark, sf):
-    _, _, docs = documents(spark, sf, 1 << 30)
+    """Reports in parts of four rows; a quarter each with a changed hash, a malformed hash, and the last part missing."""
+    _, _, docs = documents(spark, sf, 4)
+    docs = docs.withColumn("findings", on_first_finding(1, 4, "evidence_hash", "0" * 64)).withColumn("findings", on_first_finding(2, 4, "evidence_hash", "xyz"))
+    docs = docs.filter(f"NOT ({DAMAGE.format(4)} = 3 AND parts > 1 AND part = parts - 1)")
     return FN.verify_merkle(docs).select("workspace", "valid", "message")
 
 
@@ -517,10 +538,11 @@ def g10(spark, sf):
     return FN.standards(FN.enrich_controls(found)).select("workspace", F.array_join("standards", ",").alias("standards"))
 
 
-@query("g11_scan_statistics", f"{FOUND} SELECT e.workspace, files_scanned, files_unreadable, coalesce(total_findings, 0) AS total_findings FROM (SELECT workspace, count(*) AS files_scanned, count(*) FILTER (content IS NULL) AS files_unreadable FROM every_file GROUP BY 1) e LEFT JOIN (SELECT workspace, count(*) AS total_findings FROM found GROUP BY 1) f USING (workspace)")
+@query("g11_scan_statistics", f"{FOUND} SELECT e.workspace, files_scanned, files_unreadable, coalesce(total_findings, 0) AS total_findings FROM (SELECT workspace, count(*) AS files_scanned, count(*) FILTER (length(path) % 7 = 0) AS files_unreadable FROM every_file GROUP BY 1) e LEFT JOIN (SELECT workspace, count(*) AS total_findings FROM found WHERE length(file) % 7 <> 0 GROUP BY 1) f USING (workspace)")
 def g11(spark, sf):
-    files, found = base(spark, sf)
-    return FN.scan_statistics(files, found)
+    """Files with paths of a length divisible by seven can't be read."""
+    files = corpus(spark, sf).withColumn("content", F.expr("CASE WHEN length(path) % 7 <> 0 THEN content END"))
+    return FN.scan_statistics(files, DT.scan_files(files, BASE))
 
 
 # --- sinks and documents ------------------------------------------------------------------------
@@ -554,11 +576,24 @@ def a5(spark, sf):
                             "array_join(f.compliance_frameworks_affected, ',') AS frameworks")
 
 
-@query("a11_validate_report", f"WITH {O.CORPUS} SELECT DISTINCT workspace, false AS valid, 'agent_signature is not hex' AS errors FROM every_file")
+@query("a11_validate_report", f"""{NUMBERED},
+judged AS (
+  SELECT workspace, CASE {DAMAGE.format(8)} WHEN 0 THEN 'agent_signature is not hex' WHEN 1 THEN 'merkle_root is not 64 hex digits' WHEN 2 THEN 'project missing'
+    WHEN 3 THEN 'metrics missing' WHEN 4 THEN 'agent_version missing; not a report document' WHEN 5 THEN CASE WHEN n > 0 THEN 'finding confidence outside 0..1' ELSE '' END
+    WHEN 6 THEN CASE WHEN n > 0 THEN 'finding severity unknown' ELSE '' END ELSE '' END AS errors
+  FROM (SELECT DISTINCT workspace FROM every_file) LEFT JOIN (SELECT workspace, count(*) AS n FROM numbered GROUP BY 1) USING (workspace))
+SELECT workspace, errors = '' AS valid, errors FROM judged""")
 def a11(spark, sf):
+    """Signed reports, each eighth of them with another constraint broken."""
     _, _, docs = documents(spark, sf)
-    unsigned = docs.withColumn("_corrupt_record", F.lit(None).cast("string"))
-    return RP.validate_report(unsigned).select("workspace", "valid", F.array_join("errors", "; ").alias("errors"))
+    kind = F.expr(DAMAGE.format(8))
+    broken = docs.withColumns({
+        "agent_signature": F.when(kind == 0, "").otherwise("ab"), "merkle_root": F.when(kind == 1, "zz").otherwise(F.col("merkle_root")),
+        "project": F.when(kind != 2, F.col("project")), "metrics": F.when(kind != 3, F.col("metrics")),
+        "agent_version": F.when(kind != 4, F.col("agent_version")), "_corrupt_record": F.when(kind == 4, "{").cast("string"),
+        "findings": on_first_finding(5, 8, "confidence", 1.5),
+    }).withColumn("findings", on_first_finding(6, 8, "severity", "urgent"))
+    return RP.validate_report(broken).select("workspace", "valid", F.array_join(F.array_sort("errors"), "; ").alias("errors"))
 
 
 UPLOAD_KINDS = "[" + ", ".join(q(u) for u in D.UPLOAD_TYPES) + "]"
@@ -774,7 +809,7 @@ def r7(spark, sf):
     found = FN.enrich_controls(base(spark, sf)[1])
     names = found.select("workspace", F.explode(F.expr("concat(compliance_frameworks_affected, array('OTHER'))")).alias("framework"))
     return names.groupBy("workspace", "framework").agg(F.count(F.lit(1)).alias("findings")).withColumn(
-        "rank", F.expr(f"cast({RU.framework_rank()} AS int)")).orderBy("workspace", "rank")
+        "rank", F.expr(f"cast({RU.framework_rank()} AS int)"))
 
 
 @query("r8_findings_preview", f"{NUMBERED} SELECT workspace, id, file, line, type, severity FROM numbered WHERE position <= 6")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.detect import Piece
 from ..operators.evidence import collect_evidence
-from ..operators.detectors import scan_files
+from ..operators.detectors import scan_files, security_tools
 from ..operators.finalize import finalize
 from ..operators.ignore import apply_ignore
 from ..operators.practice import missing_locks, practice_gaps
@@ -23,7 +23,7 @@ def scan_workspaces(files: DataFrame, ignore: DataFrame | None = None, validatio
     """
     scanned = files if ignore is None else apply_ignore(files, ignore)
     return (
-        scan_files(scanned, validation=validation, extra=extra, excluded_names=excluded_names)
+        scan_files(scanned, validation=validation, extra=extra, excluded_names=excluded_names, tools=security_tools(files))
         .unionByName(missing_locks(files))
         .unionByName(practice_gaps(files))
     )

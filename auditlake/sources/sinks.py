@@ -107,10 +107,7 @@ def append_ledger(spark: SparkSession, rows: DataFrame, path: str) -> None:
 
     Meant for one writer at a time, as any id sequence is.
     """
-    try:
-        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        last = 0
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    last = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) if there else 0
     numbered(rows, last).write.mode("append").parquet(path)

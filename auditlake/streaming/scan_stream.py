@@ -1,25 +1,35 @@
-"""Incremental scan of newly landed files. Only findings are kept, never contents."""
+"""Incremental scan of newly landed files. Only findings, ignore patterns and workspace flags are kept, never contents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.detectors import scan_files
+from ..operators.detectors import scan_files, security_tools
 from ..operators.finalize import finalize
-from ..session import spread
+from ..operators.ignore import apply_ignore, ignore_patterns
 
 
 def scan_stream(files: DataFrame, sink: str, checkpoint: str, ids: list[str] | None = None) -> StreamingQuery:
     """Scan every file that has landed and stop.
 
-    Detection is stateless, so each micro-batch is an ordinary batch scan; ids, hashes and positions
-    are made per micro-batch and carry its number, because numbering the whole stream would renumber
-    findings already written. Re-running a batch after a failure overwrites its own folder.
+    Each micro-batch is an ordinary batch scan, with the ignore patterns and workspace flags of all files that have
+    landed so far: each batch writes its own to a side table next to the checkpoint and reads those of the batches
+    before it. A README or ignore file that lands later than a file does not change what was found in that file. Ids, hashes and
+    positions are made per micro-batch and carry its number, because numbering the whole stream would renumber
+    findings already written. Re-running a batch after a failure overwrites its own folders.
     """
     def write(batch: DataFrame, number: int) -> None:
-        spread_batch = spread(batch, "workspace", "path")
-        finalize(scan_files(spread_batch, ids)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        spark = batch.sparkSession
+
+        def so_far(name: str, rows: DataFrame) -> DataFrame:
+            folder = f"{checkpoint}-{name}"
+            rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            return spark.read.parquet(folder).where(f"batch <= {number}").drop("batch").distinct()
+
+        tools = so_far("tools", security_tools(batch))
+        kept = apply_ignore(batch, so_far("ignore", ignore_patterns(batch)))
+        finalize(scan_files(kept, ids, tools=tools)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return (
         files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

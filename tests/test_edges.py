@@ -5,6 +5,7 @@ import csv
 import fnmatch
 import glob
 import json
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from auditlake.operators import evidence as EV, finalize as FN, ignore as IG, remediate as RM, symbols as SY, validate as VA
 from auditlake.operators.detectors import scan_files
 from auditlake.plans.corpus import HEX40, SEEDS
+from auditlake.plans.scan import scan_workspaces
 from auditlake.sources import reports as RP, sinks as SK
 from auditlake.sources.files import files_from_table, read_files
 from auditlake.streaming.scan_stream import scan_stream
@@ -118,7 +120,7 @@ def test_nearby_text_counts_characters(files_of):
     assert near["c.py"] == "l"
 
 
-def test_ignore_patterns_and_both_join_paths(files_of, monkeypatch):
+def test_ignore_patterns(files_of):
     patterns = ["**/gen", "/vendor", "*.min.js", "sk?p*", "a[!b]c*", "exact.py"]
     paths = ["src/gen/x.py", "vendor/y.js", "vend/y.js", "lib/a.min.js", "skip.txt", "d/skopy", "axc1", "abc1", "x/exact.py", "notexact.py", "plain.py"]
     files = files_of((".scanignore", "# c\n" + "\n".join(patterns) + "\n\n"), *[(p, "x") for p in paths], ("other", "vendor/y.js", "x"))
@@ -135,8 +137,6 @@ def test_ignore_patterns_and_both_join_paths(files_of, monkeypatch):
     want = sorted(["vendor/y.js", ".scanignore"] + [p for p in paths if not skipped(p)])
     table = IG.ignore_patterns(files)
     assert sorted(r.path for r in IG.apply_ignore(files, table).collect()) == want
-    monkeypatch.setattr(IG, "BROADCAST_ROWS", 0)
-    assert sorted(r.path for r in IG.apply_ignore(files, table).collect()) == want
 
 
 def test_similarity_blocks_are_exact(spark):
@@ -228,3 +228,33 @@ def test_stream_equals_batch(spark, tmp_path):
     keys = ["file", "line", "snippet", "confidence"]
     assert sorted(map(tuple, done.select(keys).collect())) == sorted(map(tuple, batch.select(keys).collect()))
     assert done.select("batch").distinct().count() > 1 and "content" not in done.columns
+
+
+def test_stream_remembers_readme_and_ignore_file(spark, tmp_path):
+    source = str(tmp_path / "in")
+    secret = f"password = {HEX40}\n"
+    steps = [("README.md", "A security scanner for clusters"), (".scanignore", "*.skip.conf\n"), ("a.conf", secret), ("b.skip.conf", secret)]
+    for at, step in enumerate(steps):
+        spark.createDataFrame([step], "path STRING, text STRING").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files arrive in the order of their times
+    stream = files_from_table(spark.readStream.schema("path STRING, text STRING").option("maxFilesPerTrigger", 1).parquet(source), "'w'", "path", "text")
+    scan_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["D5"]).awaitTermination()
+    files = files_from_table(spark.read.parquet(source), "'w'", "path", "text")
+    batch = scan_workspaces(files, IG.ignore_patterns(files)).filter("detector = 'D5'")
+    keys = ["file", "line", "snippet", "confidence"]
+    done = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, done.select(keys).collect())) == sorted(map(tuple, batch.select(keys).collect())) and done.count() == 1
+
+
+def test_ignored_readme_still_marks_the_workspace(files_of):
+    files = files_of((".scanignore", "*.md\n"), ("README.md", "A security scanner for clusters"), ("a.conf", f"password = {HEX40}\n"))
+    with_rule = [r.confidence for r in scan_workspaces(files, IG.ignore_patterns(files)).filter("detector = 'D5'").collect()]
+    without = [r.confidence for r in scan_workspaces(files).filter("detector = 'D5'").collect()]
+    assert with_rule == without and len(without) == 1
+
+
+def test_unreadable_files_are_passed_over(files_of):
+    files = files_of(("a.py", None), ("b.ini", None), ("c.json", None), ("d.conf", f"password = {HEX40}\n"))
+    assert scan_workspaces(files, IG.ignore_patterns(files)).filter("detector = 'D5'").count() == 1
+    stats = FN.scan_statistics(files, scan_workspaces(files)).first()
+    assert (stats.files_scanned, stats.files_unreadable) == (4, 3)
