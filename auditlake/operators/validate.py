@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import gates as G
 from ..functions.text import lit
-from ..session import durable
 
 TOP = 3
 WEIGHTS = [0.6, 0.3, 0.1]  # fixed value
@@ -28,56 +24,60 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(scores: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Best TOP of the scores and those kept so far, best first, missing as NaN at the end."""
-    every = np.concatenate([kept, scores], axis=1)
-    filled = np.where(np.isnan(every), -np.inf, every)
-    top = -np.sort(-filled, axis=1)[:, :TOP]
-    return np.where(np.isneginf(top), np.nan, top)
+def _best(scores: np.ndarray) -> list[np.ndarray]:
+    """The TOP highest of each row, best first."""
+    return list(-np.sort(-scores, axis=1)[:, :TOP])
+
+
+def _compare(findings: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
+    """Best similarities per label class of one block of findings in one block of patterns of their type."""
+    out = pd.DataFrame({"finding_id": findings["finding_id"]})
+    mine = _unit(np.stack(findings["embedding"].to_list()).astype("float64")) if len(findings) else None
+    for column, label in (("fp_top", True), ("real_top", False)):
+        rows = patterns[patterns["is_false_positive"].astype(bool) == label]
+        if mine is None or not len(rows):
+            out[column] = [np.zeros(0)] * len(out)
+        else:
+            out[column] = _best(mine @ _unit(np.stack(rows["embedding"].to_list()).astype("float64")).T)
+    return out
 
 
 def topk(findings: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Three best similarities per label class among patterns of the finding's type.
 
-    findings: (finding_id, finding_type, embedding); patterns: (pattern_id, finding_type,
-    is_false_positive, embedding). Patterns are cut into blocks of a bounded size; each block is
-    broadcast in turn and the running best three travel with the finding, so neither pairs nor the
-    whole library are ever materialised and any library size gives the exact result.
+    findings: (finding_id, finding_type, embedding), ids unique; patterns: (pattern_id, finding_type,
+    is_false_positive, embedding). Both sides of a type are cut into blocks of a bounded size, and each pair of blocks
+    is compared in one task: a type with a third of all rows is many tasks, and any library size gives the exact
+    result. The best three of each block are merged per finding.
     """
-    spark = findings.sparkSession
-    shape = patterns.agg(F.count(F.lit(1)), F.sum(F.size("embedding"))).first()
-    blocks = max(1, ceil((shape[1] or 0) * 8 / block_bytes))
-    columns = [f for f in findings.schema.fields if f.name not in ("fp_top", "real_top")]
-    schema = T.StructType([*columns, T.StructField("fp_top", T.ArrayType(T.DoubleType())),
-                           T.StructField("real_top", T.ArrayType(T.DoubleType()))])
-    empty = F.array().cast("array<double>")
-    scored = findings.withColumns({"fp_top": empty, "real_top": empty})
-    for block in range(blocks):
-        part = patterns.filter(F.expr(f"pmod(xxhash64(pattern_id), {blocks}) = {block}")).toPandas()
-        library = {
-            (kind, bool(label)): _unit(np.stack(rows["embedding"].to_list()).astype("float64"))
-            for (kind, label), rows in part.groupby(["finding_type", "is_false_positive"])
-        }
-        shared = spark.sparkContext.broadcast(library)
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for column, label in (("fp_top", True), ("real_top", False)):
-                    kept = np.full((len(batch), TOP), np.nan)
-                    for i, values in enumerate(batch[column]):
-                        kept[i, :len(values)] = values
-                    for kind, rows in batch.groupby("finding_type").indices.items():
-                        known = shared.value.get((kind, label))
-                        if known is not None and len(rows):
-                            mine = _unit(np.stack(batch["embedding"].iloc[rows].to_list()).astype("float64"))
-                            kept[rows] = _best(mine @ known.T, kept[rows])
-                    batch[column] = [row[~np.isnan(row)] for row in kept]
-                yield batch
-
-        scored = scored.mapInPandas(score, schema)
-        if block + 1 < blocks:
-            scored = durable(scored)  # one block in memory at a time
-    return scored
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        size = F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)) * 8
+        return df.groupBy("finding_type").agg(F.greatest(F.lit(1), F.ceil(size / block_bytes)).alias(name))
+
+    def sizes() -> DataFrame:  # new columns for each side, or their join would be ambiguous
+        both = blocks(findings, "mine").join(blocks(patterns, "theirs"), "finding_type")
+        return both.toDF(*both.columns)
+
+    keys = ["finding_type", "f_block", "p_block"]
+    left = (
+        findings.select("finding_id", "finding_type", "embedding").join(sizes(), "finding_type")
+        .withColumn("f_block", F.expr("pmod(xxhash64(finding_id), mine)")).withColumn("p_block", F.explode(F.expr("sequence(0L, theirs - 1)")))
+        .select(*keys, "finding_id", "embedding")
+    )
+    right = (
+        patterns.select("pattern_id", "finding_type", "is_false_positive", "embedding").join(sizes(), "finding_type")
+        .withColumn("p_block", F.expr("pmod(xxhash64(pattern_id), theirs)")).withColumn("f_block", F.explode(F.expr("sequence(0L, mine - 1)")))
+        .select(*keys, "is_false_positive", "embedding")
+    )
+    kind = findings.schema["finding_id"].dataType.simpleString()
+    top = (
+        left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys))
+        .applyInPandas(_compare, f"finding_id {kind}, fp_top array<double>, real_top array<double>")
+        .groupBy("finding_id").agg(*(F.expr(f"slice(sort_array(flatten(collect_list({c})), false), 1, {TOP})").alias(c) for c in ("fp_top", "real_top")))
+    )
+    none = F.array().cast("array<double>")
+    kept = findings.drop("fp_top", "real_top")
+    return kept.join(top, "finding_id", "left").withColumns({c: F.coalesce(c, none) for c in ("fp_top", "real_top")}).select(*kept.columns, "fp_top", "real_top")
 
 
 def topk_ensemble(findings: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
