@@ -70,6 +70,31 @@ def d14(spark, sf):
 
 
 # --- corpus, paths, lines ------------------------------------------------------------------------
+def write_tree(files: DataFrame, root: str) -> None:
+    """Each file at root/workspace/path; in configuration files a byte that is no text comes first."""
+    def write(batches):
+        for batch in batches:
+            store, base = SF._open(root)
+            for workspace, path, content in zip(batch["workspace"], batch["path"], batch["content"], strict=True):
+                place = f"{base}/{workspace}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0])
+                with store.open_output_stream(place) as out:
+                    out.write(b"\xff" * path.endswith(".conf") + content.encode())
+            yield batch[["path"]]
+
+    files.select("workspace", "path", "content").mapInPandas(write, "path STRING").count()
+
+
+@query("a1_read_files", f"""WITH {O.CORPUS}, one AS (SELECT workspace, path, min(content) AS content FROM every_file GROUP BY ALL)
+SELECT workspace, path, sha256(content) AS content_hash, (1 + len(regexp_extract_all(content, chr(10))))::BIGINT AS n_lines FROM one""")
+def a1(spark, sf):
+    """The corpus written as a tree, dot files and undecodable bytes included, and read again."""
+    root = landing(spark, "tree")
+    write_tree(corpus(spark, sf).groupBy("workspace", "path").agg(F.min("content").alias("content")), root)
+    return SF.read_files(spark, root).selectExpr(
+        "workspace", "path", "sha2(content, 256) AS content_hash", "cast(length(content) - length(replace(content, '\n', '')) + 1 AS bigint) AS n_lines")
+
+
 @query("a2_files_from_table", """
 SELECT source AS workspace, 'doc' || doc_id::VARCHAR || '.txt' AS path, 'doc' || doc_id::VARCHAR || '.txt' AS name, '.txt' AS ext,
   length(text) AS characters, sha256(text) AS content_hash FROM documents""")
