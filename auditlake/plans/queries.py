@@ -172,12 +172,15 @@ def b1(spark, sf):
     return DT.not_excluded(corpus(spark, sf)).select("workspace", "path")
 
 
-@query("b2_ignore_patterns", f"""WITH {O.CORPUS},{O.line_table("(SELECT * FROM every_file WHERE path = '.scanignore')", 'il', 'workspace')},
+PATTERNS = f"""{O.line_table("(SELECT * FROM every_file WHERE path = '.scanignore')", 'il', 'workspace').strip().removeprefix(',')},
 pats AS (SELECT DISTINCT workspace, {O.trimmed('line')} AS p FROM il WHERE {O.trimmed('line')} != '' AND NOT starts_with({O.trimmed('line')}, '#')),
 cut1 AS (SELECT workspace, CASE WHEN starts_with(p, '**/') THEN substring(p, 4) ELSE p END AS p FROM pats),
-cut AS (SELECT workspace, CASE WHEN starts_with(p, '/') THEN substring(p, 2) ELSE p END AS p FROM cut1)
-SELECT workspace, path FROM every_file f WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.workspace = f.workspace
-  AND (strpos(f.path, p) > 0 OR f.name = p OR (strpos(p, '*') > 0 AND (f.path GLOB p OR f.name GLOB p))))""")
+cut AS (SELECT workspace, CASE WHEN starts_with(p, '/') THEN substring(p, 2) ELSE p END AS p FROM cut1),
+kept_files AS (SELECT workspace, path FROM every_file f WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.workspace = f.workspace
+  AND (strpos(f.path, p) > 0 OR f.name = p OR (strpos(p, '*') > 0 AND (f.path GLOB p OR f.name GLOB p)))))"""
+
+
+@query("b2_ignore_patterns", f"WITH {O.CORPUS}, {PATTERNS} SELECT workspace, path FROM kept_files")
 def b2(spark, sf):
     files = corpus(spark, sf)
     return IG.apply_ignore(files, IG.ignore_patterns(files)).select("workspace", "path")
@@ -347,6 +350,26 @@ def d38(spark, sf):
 _counted = "\nUNION ALL ".join(f"SELECT '{k}' AS detector, * FROM (\n{O.detector_union([k])}\n)" for k in [f"D{i}" for i in range(1, 38) if i != 14])
 
 
+def gap_rows(detector: str) -> str:
+    return f"SELECT workspace, file, type, NULL::INT AS line, snippet, severity, confidence, '' AS label FROM ({ORACLES[detector]})"
+
+
+@query("d38_scan_findings", f"""{O.HEAD_CTX},
+{O.TOOL}, {PATTERNS},
+found AS ({_counted})
+SELECT detector, workspace, file, type, line, snippet, severity, round(confidence, 6) AS confidence, label FROM found
+WHERE EXISTS (SELECT 1 FROM kept_files k WHERE k.workspace = found.workspace AND k.path = found.file)
+UNION ALL SELECT 'D14', workspace, file, type, line, snippet, severity, confidence, label FROM ({O.detector_sql("D14")})
+UNION ALL SELECT 'D39', * FROM ({gap_rows("d39_dpdp_gaps")})
+UNION ALL SELECT 'D40', * FROM ({gap_rows("d40_gdpr_gaps")})""")
+def d38_findings(spark, sf):
+    """All findings of all detectors under the ignore patterns, with the label of each."""
+    files = corpus(spark, sf)
+    found = scan_workspaces(files, IG.ignore_patterns(files))
+    label = F.expr("coalesce(metadata['issue'], metadata['weak_cipher'], metadata['secret_type'], '')").alias("label")
+    return found.select("detector", *FINDING_COLUMNS, F.round("confidence", 6).alias("confidence"), label)
+
+
 @query("d38_detector_counts", f"{O.HEAD_CTX},\n{O.TOOL}\nSELECT detector, type, severity, count(*) AS findings, count(DISTINCT workspace || '/' || file) AS files FROM (\n{_counted}\n) GROUP BY ALL")
 def d38_counts(spark, sf):
     found = DT.scan_files(corpus(spark, sf))
