@@ -2,15 +2,18 @@
 
 Every string of ``LENGTH`` bytes that also starts earlier (smaller id, or same document and smaller place) is repeated,
 and each byte it covers goes. Suffixes are sampled: of each string the ``K`` bytes with the smallest hash, leftmost if
-several, are its anchor, so equal strings have equal anchors and about 3 % of all suffixes are kept. A row is the run of
+several, are its anchor, so equal strings have equal anchors and less than 3 % of all suffixes are kept. A row is the run of
 neighbouring strings that share an anchor: g, the hash of the anchor by which suffixes are ordered, and c, the hash of
 all bytes the run covers. Suffixes of all bytes would need 16 bytes for each byte of text, sampled ones half a byte.
 
 Documents come in batches by id. The suffix space is dealt out by g, and each task keeps a logarithmic index family for
 its part: a batch's sorted suffix array is scanned against the levels, and then becomes a level; levels of equal size
 merge, so there are as many levels as the logarithm of the batches. A run whose (g, c) is known is repeated as a whole.
-A run whose g is known with another c is repeated in part or not at all: its strings, and those of the runs it met, are
-compared one by one in a second exchange by their own hash. Matching is by 64-bit hashes throughout.
+A run whose g is known with another c is repeated in part or not at all. Such runs, and those they met, are cut into runs
+of eight strings, aligned at the anchor, whose g is the hash of the bytes all eight have in common; these go through the same index, and
+what is still open is cut into single strings, whose g says all. Matching is by 64-bit hashes throughout.
+
+Texts are dealt out by id once; the two rounds of cutting and the final cut read that one exchange.
 
 Skew: tasks that read the documents send one row for each (g, c) they hold, so a passage in a third of all documents
 gives as many rows as there are tasks. A g that one task holds with several c is sent by (g, c), with one marker by g
@@ -28,33 +31,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from .common import VALUES, batches, binary_texts, chunks, column, ddl, gathered, mix, only, part, rows, running
 
-LENGTH, K = 100, 36
+LENGTH, K = 100, 28
 BATCHES = 8
+#: strings in the shorter runs that partly repeated runs are cut into
+CUTS = (8, 1)
 #: runs held by a task before it sends them
 FLUSH = 1 << 20
 #: bits of a place inside the bytes worked on at a time; longer texts are worked on in overlapping segments
 PLACE_BITS, SEGMENT = 24, 1 << 23
 KNOWN, SINGLE, SPREAD, MARKER, LEVEL = range(5)
 RUNS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
-STRINGS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("lo", pa.int64())])
 FOUND = pa.schema([("known", pa.bool_()), ("id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 DIGEST = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 CUT = pa.schema([("id", pa.int64()), ("kept", pa.binary())])
 
 
 def _runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(lo, n, g, c) of the runs in the texts at [begin, end) of ``data``."""
+    """(lo, n, anchor, prefix hashes, hashes of K bytes) of the runs in the texts at [begin, end) of ``data``."""
     none = np.zeros(0, np.int64)
     long = end - begin >= LENGTH
     begin, end = begin[long], end[long]
-    if not len(begin):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
     prefix = running(VALUES[data])
+    if not len(begin):
+        return none, none, none, prefix, none.view(np.uint64)
     at = np.arange(len(data) - K + 1)
     h = part(prefix, at, at + K)
     least = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | at.astype(np.uint64)
@@ -68,10 +73,12 @@ def _runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
     anchor = (least[place] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1)]))
-    lo, n = place[heads], np.diff(np.append(heads, len(place)))
-    anchor = anchor[heads]
-    c = part(prefix, lo, lo + n - 1 + LENGTH) ^ mix((anchor - lo).astype(np.uint64))
-    return lo, n, h[anchor], c
+    return place[heads], np.diff(np.append(heads, len(place))), anchor[heads], prefix, h
+
+
+def _content(prefix: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """c: the hash of all bytes of each run, and where its anchor lies in them."""
+    return part(prefix, lo, lo + n - 1 + LENGTH) ^ mix((anchor - lo).astype(np.uint64))
 
 
 def _segments(texts: pa.Array):
@@ -98,13 +105,23 @@ def _spread(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _sample(it):
-    """Tasks' function: the runs of the task's documents, each (g, c) once; others of its kind are known to be repeated."""
-    held: list[tuple] = []
-    size = 0
+class Sender:
+    """Runs held by a task, sent with each (g, c) once; others of its kind are known to be repeated."""
 
-    def send():
-        g, c, ids, lo, n = (np.concatenate([h[i] for h in held]) for i in range(5))
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def hold(self, g, c, ids, lo, n) -> None:
+        if len(lo):
+            self.held.append((g, c, ids, lo, n))
+            self.size += len(lo)
+
+    def send(self, least: int):
+        if self.size < least:
+            return
+        g, c, ids, lo, n = (np.concatenate([h[i] for h in self.held]) for i in range(5))
+        self.held, self.size = [], 0
         order = np.lexsort((lo, ids, c, g))
         g, c, ids, lo, n = (x[order] for x in (g, c, ids, lo, n))
         new = _first_of(g, c)
@@ -114,26 +131,58 @@ def _sample(it):
         yield rows(RUNS, kind=np.full(len(key), KNOWN, np.int32), key=key, g=none, c=none, id=ids[again], lo=lo[again], n=n[again].astype(np.int32))
         g, c, ids, lo, n = (x[new] for x in (g, c, ids, lo, n))
         new = _first_of(g)
-        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(g) else new
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
         key = np.where(several, mix(g ^ c), g)
-        yield rows(RUNS, kind=np.where(several, SPREAD, SINGLE).astype(np.int32), key=key.view(np.int64), g=g.view(np.int64), c=c.view(np.int64), id=ids, lo=lo, n=n.astype(np.int32))
+        own = pa.array(g.view(np.int64), mask=~several)  # of single runs, the key says it
+        yield rows(RUNS, kind=np.where(several, SPREAD, SINGLE).astype(np.int32), key=key.view(np.int64), g=own, c=c.view(np.int64), id=ids, lo=lo, n=n.astype(np.int32))
         g = g[new & several]
         none = pa.nulls(len(g))
-        yield rows(RUNS, kind=np.full(len(g), MARKER, np.int32), key=g.view(np.int64), g=g.view(np.int64), c=none, id=none, lo=none, n=none)
+        yield rows(RUNS, kind=np.full(len(g), MARKER, np.int32), key=g.view(np.int64), g=none, c=none, id=none, lo=none, n=none)
+
 
+def _sample(it):
+    """Tasks' function: the runs of whole documents."""
+    sender = Sender()
     for batch in batches(it):
         ids = column(batch, "id").to_numpy()
         for data, begin, end, number, shift in _segments(column(batch, "text")):
-            lo, n, g, c = _runs(data, begin, end)
-            if len(lo):
-                owner = np.searchsorted(begin, lo, "right") - 1
-                held.append((g, c, ids[number[owner]], lo - begin[owner] + shift[owner], n))
-                size += len(lo)
-        if size >= FLUSH:
-            yield from send()
-            held, size = [], 0
-    if size:
-        yield from send()
+            lo, n, anchor, prefix, h = _runs(data, begin, end)
+            owner = np.searchsorted(begin, lo, "right") - 1
+            sender.hold(h[anchor], _content(prefix, lo, n, anchor), ids[number[owner]], lo - begin[owner] + shift[owner], n)
+        yield from sender.send(FLUSH)
+    yield from sender.send(1)
+
+
+def _cut_runs(width: int):
+    """Tasks' function: runs of ``width`` strings at most, aligned at the anchor, of the open runs of each document."""
+    def run(it):
+        sender = Sender()
+        for batch in batches(it):
+            ids, texts = column(batch, "id").to_numpy(), binary_texts(column(batch, "text"))
+            los, ns = column(batch, "lo"), column(batch, "n")
+            for at in range(batch.num_rows):
+                data = np.frombuffer(texts[at].as_py(), np.uint8)
+                lo, n = np.array(los[at].as_py(), np.int64), np.array(ns[at].as_py(), np.int64)
+                fits = lo + n - 1 + LENGTH <= len(data)  # rows of one id may differ
+                lo, n = lo[fits], n[fits]
+                if not len(lo):
+                    continue
+                # the runs' bytes one after the other: each is a run again, with its anchor
+                size = n - 1 + LENGTH
+                begin = np.cumsum(size) - size
+                bytes_at = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(lo, size)
+                start, count, anchor, prefix, _ = _runs(data[bytes_at], begin, begin + size)
+                owner = np.searchsorted(begin, start, "right") - 1
+                group = (np.repeat(anchor, count) - (place := np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))) // width
+                heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (np.diff(np.repeat(np.arange(len(start)), count)) > 0)]))
+                first, wide = place[heads], np.diff(np.append(heads, len(place)))
+                of = np.searchsorted(start, first, "right") - 1
+                core = anchor[of] - group[heads] * width  # where the last string of a full group starts
+                g = part(prefix, core, core + LENGTH - width + 1) ^ np.uint64(width)
+                sender.hold(g, _content(prefix, first, wide, anchor[of]), np.full(len(first), ids[at]), first - begin[owner[of]] + lo[owner[of]], wide)
+            yield from sender.send(FLUSH)
+        yield from sender.send(1)
+    return run
 
 
 class Family:
@@ -183,10 +232,11 @@ def _scan(bounds: list[int], keep_levels: bool):
         known = table.filter(pa.array(kind == KNOWN))
         if not keep_levels:
             yield from pa.table([pa.array(np.ones(len(known), bool)), known["id"], known["lo"], known["n"]], schema=FOUND).to_batches()
-        marked = table.filter(pa.array(kind == MARKER))["g"].to_numpy().view(np.uint64)
+        marked = table.filter(pa.array(kind == MARKER))["key"].to_numpy().view(np.uint64)
         live = table.filter(pa.array((kind == SINGLE) | (kind == SPREAD) | (kind == LEVEL)))
         kind = live["kind"].to_numpy()
-        g, c = live["g"].to_numpy().view(np.uint64), live["c"].to_numpy().view(np.uint64)
+        g = np.where(kind == SPREAD, pc.fill_null(live["g"], 0).to_numpy(), live["key"].to_numpy()).view(np.uint64)
+        c = live["c"].to_numpy().view(np.uint64)
         ids, lo, n = live["id"].to_numpy(), live["lo"].to_numpy(), live["n"].to_numpy()
         number = np.where(kind == LEVEL, -1, np.searchsorted(np.array(bounds, np.int64), ids, "right"))
         order = np.lexsort((lo, ids, c, g, number))
@@ -208,42 +258,6 @@ def _scan(bounds: list[int], keep_levels: bool):
     return run
 
 
-def _strings(it):
-    """Tasks' function: the hash of every string of the runs to look into, each hash once for a task (h null: repeated)."""
-    for batch in batches(it):
-        ids, texts = column(batch, "id").to_numpy(), binary_texts(column(batch, "text"))
-        los, ns = column(batch, "lo"), column(batch, "n")
-        held: list[tuple] = []
-        for at in range(batch.num_rows):
-            data = np.frombuffer(texts[at].as_py(), np.uint8)
-            lo, n = np.array(los[at].as_py(), np.int64), np.array(ns[at].as_py(), np.int64)
-            fits = lo + n - 1 + LENGTH <= len(data)  # rows of one id may differ
-            lo, n = lo[fits], n[fits]
-            if len(lo):
-                place = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
-                held.append((part(running(VALUES[data]), place, place + LENGTH), np.full(len(place), ids[at]), place))
-        if not held:
-            continue
-        h, own, place = (np.concatenate([x[i] for x in held]) for i in range(3))
-        order = np.lexsort((place, own, h))
-        h, own, place = h[order], own[order], place[order]
-        new = _first_of(h)
-        again = ~new & ((own != _spread(new, own)) | (place != _spread(new, place)))
-        yield rows(STRINGS, h=h[new].view(np.int64), id=own[new], lo=place[new])
-        yield rows(STRINGS, h=pa.nulls(int(again.sum())), id=own[again], lo=place[again])
-
-
-def _later(it):
-    """Tasks' function: all rows of some hashes; those that are not the first of their hash."""
-    table = gathered(it, STRINGS)
-    h, ids, lo = table["h"].to_numpy(), table["id"].to_numpy(), table["lo"].to_numpy()
-    order = np.lexsort((lo, ids, h))
-    h, ids, lo = h[order], ids[order], lo[order]
-    new = _first_of(h)
-    again = ~new & ((ids != _spread(new, ids)) | (lo != _spread(new, lo))) if len(h) else new
-    yield rows(FOUND, known=np.ones(int(again.sum()), bool), id=ids[again], lo=lo[again], n=np.ones(int(again.sum()), np.int32))
-
-
 def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
 
@@ -271,13 +285,23 @@ def repeated_strings(docs: DataFrame, levels: DataFrame | None = None, earlier:
     With ``levels`` of ``earlier`` documents (smaller ids), only the new documents are sampled.
     """
     docs = _input(docs, id_col, text_col)
-    found = durable(_sampled(docs, levels).mapInArrow(_scan(_bounds(docs, batch_count), False), ddl(FOUND)))
-    looked = found.where("NOT known").groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))  # of one document
     texts = docs if earlier is None else docs.union(_input(earlier, id_col, text_col))
-    strings = durable(texts.join(looked, "id").select("id", "text", "lo", "n").mapInArrow(_strings, ddl(STRINGS)))
-    later = strings.where("h IS NOT NULL").repartition("h").mapInArrow(_later, ddl(FOUND))
-    local = strings.where("h IS NULL").select("id", "lo", F.lit(1).alias("n"))
-    return found.where("known").select("id", "lo", "n").union(later.select("id", "lo", "n")).union(local)
+    return _repeated(docs, levels, texts.repartition("id"), batch_count)
+
+
+def _repeated(docs: DataFrame, levels: DataFrame | None, texts: DataFrame, batch_count: int) -> DataFrame:
+    bounds = _bounds(docs, batch_count)
+    found = durable(_sampled(docs, levels).mapInArrow(_scan(bounds, False), ddl(FOUND)))
+    every = found.where("known").select("id", "lo", "n")
+    for width in CUTS:
+        open_runs = _of_document(found.where("NOT known"))
+        found = texts.join(open_runs, "id").select("id", "text", "lo", "n").mapInArrow(_cut_runs(width), ddl(RUNS)).repartition("key").mapInArrow(_scan(bounds, False), ddl(FOUND))
+        every = every.union(found.where("known").select("id", "lo", "n"))
+    return every
+
+
+def _of_document(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
 
 
 def _kept(data: np.ndarray, los: list | None, ns: list | None) -> tuple[np.ndarray, int]:
@@ -322,18 +346,17 @@ def _cut(it):
         yield rows(CUT, id=column(batch, "id"), kept=kept)
 
 
-def _marked(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    of_document = durable(repeated).groupBy(F.col("id").alias("at_id")).agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return docs.join(of_document, F.col("id") == F.col("at_id"), "left").select("id", "text", "lo", "n")
+def _marked(docs: DataFrame, batch_count: int) -> DataFrame:
+    texts = docs.repartition("id")
+    of_document = _of_document(_repeated(docs, None, texts, batch_count)).withColumnRenamed("id", "at_id")
+    return texts.join(of_document, F.col("id") == F.col("at_id"), "left").select("id", "text", "lo", "n")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_count: int = BATCHES) -> DataFrame:
     """Per row: id and kept, the bytes that stay."""
-    repeated = repeated_strings(docs, id_col=id_col, text_col=text_col, batch_count=batch_count)
-    return _marked(_input(docs, id_col, text_col), repeated).mapInArrow(_cut, ddl(CUT))
+    return _marked(_input(docs, id_col, text_col), batch_count).mapInArrow(_cut, ddl(CUT))
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_count: int = BATCHES) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
-    repeated = repeated_strings(docs, id_col=id_col, text_col=text_col, batch_count=batch_count)
-    return _marked(_input(docs, id_col, text_col), repeated).mapInArrow(_digest, ddl(DIGEST))
+    return _marked(_input(docs, id_col, text_col), batch_count).mapInArrow(_digest, ddl(DIGEST))
