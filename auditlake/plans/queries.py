@@ -848,19 +848,33 @@ def r3_members(spark, sf):
     return RU.control_members(final(spark, sf))
 
 
-@query("r4_control_evidence_view", f"{NUMBERED} SELECT workspace, control_id, array_to_string(frameworks, ',') AS frameworks, coalesce(min(frameworks[1]), 'UNKNOWN') AS framework, arg_min(control_category, position) AS control_category, 'MISSING_EVIDENCE' AS state, false AS evidence_present, count(*) AS findings_count FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')")
+# findings taken as passed: in workspaces with an even last letter all but some files, elsewhere every fifth line
+PASSED = "(coalesce(line, 1) % 5 = 0 OR (ascii(right(workspace, 1)) % 2 = 0 AND length(file) % 9 <> 0))"
+
+
+def some_passed(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("control_pass_fail_status", F.expr(f"CASE WHEN {PASSED} THEN 'PASS' ELSE 'FAIL' END"))
+
+
+STATE = f"CASE WHEN arg_min({PASSED}, position) THEN 'VERIFIED_MACHINE' ELSE 'MISSING_EVIDENCE' END"
+
+
+@query("r4_control_evidence_view", f"{NUMBERED} SELECT workspace, control_id, array_to_string(frameworks, ',') AS frameworks, coalesce(min(frameworks[1]), 'UNKNOWN') AS framework, arg_min(control_category, position) AS control_category, {STATE} AS state, arg_min({PASSED}, position) AS evidence_present, count(*) AS findings_count FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')")
 def r4(spark, sf):
-    return RU.control_evidence_view(final(spark, sf))
+    return RU.control_evidence_view(some_passed(final(spark, sf)))
 
 
-@query("r4_control_state_tallies", f"{NUMBERED} SELECT workspace, 0::BIGINT AS VERIFIED_MACHINE, 0::BIGINT AS VERIFIED_SYSTEM, 0::BIGINT AS ATTESTED_HUMAN, count(DISTINCT control_id || '|' || array_to_string(frameworks, ',')) AS MISSING_EVIDENCE, 0::BIGINT AS EXPIRED_EVIDENCE FROM numbered GROUP BY workspace")
+@query("r4_control_state_tallies", f"{NUMBERED}, v AS (SELECT workspace, {STATE} AS state FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')) SELECT workspace, count(*) FILTER (state = 'VERIFIED_MACHINE') AS VERIFIED_MACHINE, 0::BIGINT AS VERIFIED_SYSTEM, 0::BIGINT AS ATTESTED_HUMAN, count(*) FILTER (state = 'MISSING_EVIDENCE') AS MISSING_EVIDENCE, 0::BIGINT AS EXPIRED_EVIDENCE FROM v GROUP BY workspace")
 def r4_tallies(spark, sf):
-    return RU.control_state_tallies(RU.control_evidence_view(final(spark, sf)))
+    return RU.control_state_tallies(RU.control_evidence_view(some_passed(final(spark, sf))))
+
+
+RATE = f"cast(round(100.0 * count(*) FILTER ({PASSED}) / count(*)) AS INT)"
 
 
-@query("r5_compliance_summary", f"{ENRICHED} SELECT e.workspace, count(*) AS control_failures, 0::BIGINT AS controls_verified, 0 AS pass_rate, max(coalesce(n, 0)) AS frameworks_covered, count(*) AS evidence_gaps, 'Evidence Review Required' AS audit_status FROM enriched e LEFT JOIN (SELECT workspace, count(DISTINCT f) AS n FROM (SELECT workspace, unnest(frameworks) AS f FROM enriched) GROUP BY 1) u USING (workspace) GROUP BY e.workspace")
+@query("r5_compliance_summary", f"{ENRICHED} SELECT e.workspace, count(*) FILTER (NOT {PASSED.replace('workspace', 'e.workspace')}) AS control_failures, count(*) FILTER ({PASSED.replace('workspace', 'e.workspace')}) AS controls_verified, {RATE.replace('workspace', 'e.workspace')} AS pass_rate, max(coalesce(n, 0)) AS frameworks_covered, count(*) AS evidence_gaps, CASE WHEN {RATE.replace('workspace', 'e.workspace')} >= 80 THEN 'Audit Ready' ELSE 'Evidence Review Required' END AS audit_status FROM enriched e LEFT JOIN (SELECT workspace, count(DISTINCT f) AS n FROM (SELECT workspace, unnest(frameworks) AS f FROM enriched) GROUP BY 1) u USING (workspace) GROUP BY e.workspace")
 def r5(spark, sf):
-    return RU.compliance_summary(FN.enrich_controls(base(spark, sf)[1]))
+    return RU.compliance_summary(some_passed(FN.enrich_controls(base(spark, sf)[1])))
 
 
 @query("r6_severity_histogram", f"{FOUND}, b AS (SELECT * FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low')) AS t(severity)) SELECT w.workspace, b.severity, count(f.workspace) AS findings FROM (SELECT DISTINCT workspace FROM found) w CROSS JOIN b LEFT JOIN found f ON f.workspace = w.workspace AND f.severity = lower(b.severity) GROUP BY w.workspace, b.severity")
