@@ -172,8 +172,8 @@ def bit_array(df: DataFrame, hash_column: str, bits: int) -> np.ndarray:
         .groupBy("w").agg(F.bit_or("b").alias("b"))
     )
     words = np.zeros(bits // 64, np.int64)
-    for row in found.toLocalIterator():
-        words[row.w] = row.b
+    rows_found = found.toArrow()
+    words[rows_found["w"].to_numpy()] = rows_found["b"].to_numpy()
     return words.view(np.uint8)
 
 

@@ -8,14 +8,16 @@ m tokens of their prefixes of |x| - ceil(t |x|) + m tokens, for any m. Posting l
 candidates must share more of them. Each document takes the m of the least estimated cost, and two documents are
 compared if they share the smaller m of both.
 
-Dense groups of near copies are not compared pair by pair. First every posting list is compared with a few pivots of its
-own (a star, as many pairs as postings); links found make components, and only representatives whose components still
-differ are compared in full. That keeps every component exact: a pair left out lies in one component already. The
-remaining pairs are compared by blocks of posting lists, in tasks that give back links alone; documents of a list that
-share an earlier long list have met there.
+Dense groups of near copies are not compared pair by pair. First a long posting list is compared with its commonest text
+(a star, as many pairs as postings); links found make components, and only documents whose components still differ are
+compared further. That keeps every component exact: a pair left out lies in one component already. In a few rounds each
+component of a block of the list proposes its nearest neighbour; what is then still apart is compared in full, by blocks,
+in tasks that give back links alone. Documents of a list that share an earlier long list have met there.
 
-Texts move late: a set's sketch is the parity of its tokens in 1,024 bits. Two sketches differ in no more bits than their
-sets do in tokens, so pairs whose sketches differ in too many bits can't link and need no text.
+Texts move late: a set's sketch is the parity of its tokens in at least two bits a token (a power of two). Folded to the
+same length, two sketches differ in no more bits than their sets do in tokens, so pairs whose sketches differ in too many
+bits can't link and need no text. A bit array of fixed size
+over the ids that do need their texts keeps most other texts out of the exchange.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing. Texts of fewer than n words have one
 token, the whole sequence. Rows that share an id are one document, the union of their sets; null ids are passed over.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import durable
-from .common import NOT_SPACE, batches, chunks, column, ddl, mix, only, part, rows, running
+from .common import NOT_SPACE, batches, bit_array, chunks, column, ddl, in_bit_array, mix, only, part, rows, running
 
 #: prefixes are lengthened to at most so many required matches
 LONGEST = 4
@@ -41,11 +43,15 @@ COMPARE = 50.0
 FREQUENT = 1 << 20
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
 SHORT, BLOCK = 64, 512
-SKETCH = 1024
+SKETCH = 1024  # bits of a sketch at least
+NEIGHBOURS = 2
+#: bits of the array over ids: 16 MB
+BITS = 1 << 27
 FLUSH = 1 << 22
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 MET = pa.schema([("token", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("comp", pa.int64())])
 POSTINGS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+NEAR = pa.schema([("comp", pa.int64()), ("differ", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -75,6 +81,25 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return _signed(int(mix(tokens).sum(dtype=np.uint64))), _signed(int(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    bits = max(SKETCH, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
+    return np.packbits(np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as rows of fewer 64-bit words; a token's bit is its hash modulo the number of bits."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    words = min(len(a), len(b)) // 8
+    x, y = (_folded(np.frombuffer(v, np.uint64)[None, :], words) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _summaries(n: int):
     """Tasks' function: id, set size and signature of each text; and counts of the tokens that are frequent in the task."""
     def frequent(held: list, total: int):
@@ -93,7 +118,7 @@ def _summaries(n: int):
                 a, b = _signature(tokens)
                 first.append(a)
                 second.append(b)
-                sketches.append(np.packbits(np.bincount((tokens % SKETCH).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
+                sketches.append(_sketch(tokens))
                 held.append(tokens)
                 total += len(tokens)
             none = pa.nulls(len(sizes))
@@ -138,11 +163,6 @@ def _linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return common > 0 and t.denominator * common >= t.numerator * (len(a) + len(b) - common)
 
 
-def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Sketches as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-
-
 def _may_link(differ: np.ndarray, both: np.ndarray, t: Fraction) -> np.ndarray:
     """Whether sets of together ``both`` tokens that differ in ``differ`` tokens or more can link."""
     return differ.astype(np.int64) * (t.denominator + t.numerator) <= both * (t.denominator - t.numerator)
@@ -152,23 +172,60 @@ def _compare_sketches(t: Fraction):
     """Tasks' function: pairs that can link."""
     def run(it):
         for batch in batches(it):
-            differ = np.bitwise_count(_bits(column(batch, "sketch_a")) ^ _bits(column(batch, "sketch_b"))).sum(axis=1)
+            differ = np.array([_differ(x, y) for x, y in zip(column(batch, "sketch_a").to_pylist(), column(batch, "sketch_b").to_pylist(), strict=True)], np.int64)
             good = _may_link(differ, column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy(), t)
             yield rows(LINKS, a=column(batch, "a"), b=column(batch, "b")).filter(pa.array(good))
     return run
 
 
+def _nearby(table: pa.Table, t: Fraction):
+    """(place, places, bits that differ): what each document of a block can link with in another component."""
+    comps, sizes, raw = table["comp"].to_numpy(), table["n"].to_numpy(), table["sketch"].to_pylist()
+    words = np.array([len(x) // 8 for x in raw])
+    for length in np.unique(words):  # a pair is compared at the shorter length
+        at = np.flatnonzero(words >= length)
+        bits = np.concatenate([_folded(np.frombuffer(raw[i], np.uint64)[None, :], length) for i in at])
+        for own in np.flatnonzero(words[at] == length):
+            me = at[own]
+            differ = np.bitwise_count(bits ^ bits[own]).sum(axis=1).astype(np.int64)
+            can = np.flatnonzero(_may_link(differ, sizes[at] + sizes[me], t) & (comps[at] != comps[me]))
+            if len(can):
+                yield me, at[can], differ[can]
+
+
+def _sketch_neighbours(t: Fraction):
+    """Function of one block of a posting list: for each component the pair that is nearest to linking it with another."""
+    def run(table: pa.Table) -> pa.Table:
+        comps, ids = table["comp"].to_pylist(), table["id"].to_pylist()
+        best: dict[int, tuple] = {}
+        for at, others, differ in _nearby(table, t):
+            near = int(differ.argmin())
+            found = (int(differ[near]), *sorted((ids[at], ids[others[near]])))
+            for comp in (comps[at], comps[others[near]]):
+                best[comp] = min(best.get(comp, found), found)
+        return pa.table([pa.array(list(best), pa.int64()), *(pa.array([x[i] for x in best.values()], pa.int64()) for i in range(3))], schema=NEAR)
+    return run
+
+
 def _sketch_block(t: Fraction):
     """Function of one block of a posting list: its documents that can link with one of another component."""
     def run(table: pa.Table) -> pa.Table:
-        comps, sizes, bits = table["comp"].to_numpy(), table["n"].to_numpy(), _bits(table["sketch"])
-        good = np.zeros(len(bits), bool)
-        for at in range(len(bits)):
-            good[at] = (_may_link(np.bitwise_count(bits ^ bits[at]).sum(axis=1), sizes + sizes[at], t) & (comps != comps[at])).any()
+        good = np.zeros(len(table), bool)
+        for at, others, _ in _nearby(table, t):
+            good[at] = True
+            good[others] = True
         return table.select(MET.names).filter(pa.array(good)).cast(MET)
     return run
 
 
+def _wanted(ids):
+    """Tasks' function: the rows whose ids the bit array may hold."""
+    def run(it):
+        for batch in batches(it):
+            yield batch.filter(pa.array(in_bit_array(ids.value, column(batch, "id").to_numpy())))
+    return run
+
+
 def _compare(n: int, t: Fraction):
     """Tasks' function: pairs whose sets link."""
     def run(it):
@@ -248,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     of_token = Window.partitionBy("token")
     postings = durable(
         docs.mapInArrow(_prefixes(n, t, frequent), ddl(POSTINGS)).repartition("token")
-        .groupBy("token", "s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("place").alias("place"))
+        .groupBy("token", "s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("place").alias("place"), F.count("*").alias("copies"))
         .withColumn("df", F.count("*").over(of_token)).where("df > 1"))
     shortest = F.col("n") - F.expr(f"(n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L") + 1
     cost = [(F.sum(F.when(F.col("place") < shortest + m - 1, F.col("df") - 1)) * (1 + COMPARE / m)) for m in range(1, LONGEST + 1)]
@@ -256,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         "id", "s", F.array_position("cost", F.array_min(F.filter("cost", lambda c: c.isNotNull()))).cast("int").alias("m"))
     chosen = durable(
         postings.join(matches, ["id", "s"]).where((F.col("m") > 0) & (F.col("place") < shortest + F.col("m") - 1))
-        .withColumn("df", F.count("*").over(of_token)).where("df > 1").select("token", "id", "s", "n", "m", "df"))
+        .withColumn("df", F.count("*").over(of_token)).where("df > 1").select("token", "id", "s", "n", "m", "df", "copies"))
 
     few = chosen.where(F.col("df") <= SHORT)
     left, right = (few.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "s", "n", "m"))) for side in "ab")
@@ -267,21 +324,49 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         .where("shared >= m").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     )
     many = chosen.where(F.col("df") > SHORT)
-    pivot = F.min(F.struct("id", "n")).over(of_token)
+    pivot = F.max(F.struct("copies", "id", "n")).over(of_token)
     stars = many.select("id", "n", pivot.alias("p")).where(
         (F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * t.denominator >= F.greatest("n", "p.n") * t.numerator)).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
     sketches = documents.where("n > 0").select("id", "n", "sketch")
     sketch_of = lambda side: sketches.select(*(F.col(c).alias(new) for c, new in (("id", side), ("n", f"n_{side}"), ("sketch", f"sketch_{side}"))))
     pairs = pairs.union(stars).where("a <> b").distinct().join(sketch_of("a"), "a").join(sketch_of("b"), "b")
     pairs = durable(pairs.mapInArrow(_compare_sketches(t), ddl(LINKS)).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
-    texts = durable(docs.join(wanted, "id").distinct())
-    text_of = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
-    links = durable(pairs.join(text_of("a"), "a").join(text_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, t), ddl(LINKS)))
-    label = components(links)
-
-    # what stars left apart, block by block: documents outside a list's largest group meet all others of the list. A
-    # group is a component, or the documents whose first long list is another, earlier one, where they have met
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        bitmap = spark.sparkContext.broadcast(bit_array(ids, "id", BITS))
+        return durable(docs.mapInArrow(_wanted(bitmap), "id BIGINT, text STRING"))  # repeated rows do no harm
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        one, other = (texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, t), ddl(LINKS))
+
+    links = durable(checked(pairs))
+    for _ in range(NEIGHBOURS):
+        near = _blocks(many, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_neighbours(t), ddl(NEAR))
+        near = durable(near.groupBy("comp").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        links = durable(links.union(checked(near)))
+    left_over = durable(_blocks(many, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)))
+    more = left_over.join(texts_of(left_over), "id").groupBy("token", "i", "j").applyInArrow(_compare_block(n, t), ddl(LINKS))
+    label = components(links.union(more))
+
+    classes = durable(documents.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("class")))
+    member = (
+        documents.where("n > 0").join(classes, ["s", "s2", "n"]).join(label.withColumnRenamed("node", "class"), "class", "left")
+        .select("id", "n", F.coalesce("comp", "class").alias("comp"))
+    )
+    return (
+        member.union(documents.where("n = 0").select("id", "n", F.col("id").alias("comp")))
+        .groupBy("id").agg(F.max("n").alias("size"), F.min("comp").alias("component"))
+    )
+
+
+def _blocks(many: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(token, i, j, id, comp, n, sketch): what is still apart, pairs of blocks of long lists.
+
+    Documents outside a list's largest group meet all others of the list. A group is a component, or the documents
+    whose first long list is another, earlier one, where they have met.
+    """
     apart = many.select("token", "id").distinct().withColumn("first", F.min("token").over(Window.partitionBy("id")))
     apart = apart.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     groups = F.array(F.struct(F.lit(0).alias("kind"), F.col("comp").alias("group")), F.struct(F.lit(1).alias("kind"), F.when(F.col("first") < F.col("token"), F.col("first")).alias("group")))
@@ -298,22 +383,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         F.transform(F.sequence(F.lit(0), F.least("block", F.col("outside") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))),
         F.when((F.col("block") < F.col("outside")) & (F.col("block") + 1 < F.col("blocks")), F.transform(F.sequence(F.col("block") + 1, F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
         .otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")))))
-    more = (
-        met.select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j")).join(sketches, "id")
-        .groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)).join(texts, "id")
-        .groupBy("token", "i", "j").applyInArrow(_compare_block(n, t), ddl(LINKS))
-    )
-    label = components(links.union(more))
-
-    classes = durable(documents.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("class")))
-    member = (
-        documents.where("n > 0").join(classes, ["s", "s2", "n"]).join(label.withColumnRenamed("node", "class"), "class", "left")
-        .select("id", "n", F.coalesce("comp", "class").alias("comp"))
-    )
-    return (
-        member.union(documents.where("n = 0").select("id", "n", F.col("id").alias("comp")))
-        .groupBy("id").agg(F.max("n").alias("size"), F.min("comp").alias("component"))
-    )
+    return met.select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j")).join(sketches, "id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: str) -> DataFrame:
