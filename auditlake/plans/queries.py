@@ -485,8 +485,8 @@ def documents(spark: SparkSession, sf: str, part_rows: int = SK.PART_ROWS) -> tu
     return files, final, SK.report_documents(files, final, EV.collect_evidence(files), "2024-01-01T00:00:00+00:00", part_rows)
 
 
-# what is done to a workspace's report, by the last letter of its name
-DAMAGE = "ascii(right(workspace, 1)) % {}"
+# what is done to a workspace's report, by two letters of its name
+DAMAGE = "(ascii(substring(workspace, 4, 1)) + ascii(right(workspace, 1))) % {}"
 
 
 def on_first_finding(kind: int, kinds: int, field: str, value):
