@@ -3,7 +3,9 @@
 The words of each source are packed, document after document, into blocks of ``BLOCK`` words. Output shards have
 ``SHARD`` slots. A shard's slots are divided among sources by a multinomial draw: each source gets the whole part of
 its expected number, and the rest of the slots is drawn with the sources' fractional parts as probabilities (residual
-multinomial draw, so small shards stay near their expectation). The slots of a source are numbered through all shards;
+multinomial draw, so small shards stay near their expectation). All shards' draws are taken together: the sources' fractional
+parts are laid end to end, and a keyed permutation deals one point of each unit of that line to a draw. So every source gets its
+expected number over all shards, rounded up or down, however many sources there are. The slots of a source are numbered through all shards;
 a keyed pseudorandom permutation of its block numbers, another one for the second round, says which block fills which
 slot, and slots and pieces of documents meet in a join on (source, block).
 
@@ -11,9 +13,8 @@ Targets: sources by code point, null last, have weights 3, 1, 2 and so on; toget
 No target exceeds ``LIMIT`` times its source's words; what is above goes to the others by weight.
 
 Scale: documents are placed by running sums within (source, hash of id), and those 1,024 groups per source by a second
-running sum, so a hot source is no hot group. A permutation is arithmetic on the slot's number: no table, no sort. The
-tables of sources and of their probabilities (65,536 cells) are small whatever the number of documents; one row per
-source must fit a task.
+running sum, so a hot source is no hot group. A permutation is arithmetic on the slot's number: no table, no sort. One row
+per source must fit a task; (shard, source) has a row only if the source has slots in the shard.
 
 Cases: null and wordless texts have size 0 and are never taken. A null source is a source of its own. Rows with equal
 ids are placed and counted each for itself. An empty table gives an empty mix. Extra columns are ignored. Draws depend
@@ -22,6 +23,8 @@ on ids, sources and sizes alone, so reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
@@ -31,8 +34,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2
 BLOCK, SHARD = 256, 4096
-GROUPS, CELLS, WALK = 1024, 1 << 16, 32
+GROUPS, WALK = 1024, 32
 SEED = 20240607
+#: where in its unit each drawn point lies
+OFFSET = 0.6180339887498949
 
 
 def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -94,50 +99,55 @@ def _shuffled(x: Column) -> Column:
     return F.element_at(F.transform(digits, lambda d: d["l"] + d["h"] * F.col("a")), 1)
 
 
+def _permuted(x: Column) -> Column:
+    """A keyed permutation of 0 .. blocks - 1, where a * b is blocks or a little more.
+
+    A value outside is permuted again: a cycle through a known number always comes back, in fewer than a steps; beyond
+    1,024 blocks the odds against 32 steps are below 2^-160.
+    """
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _shuffled(x), lambda y, _: F.when(y < F.col("blocks"), y).otherwise(_shuffled(y)))
+
+
 def slots(sources: DataFrame, *, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """(shard, slot, pos, block): which block of which source fills each slot of each output shard."""
     spark = sources.sparkSession
     full = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn(
         "draws", F.least(F.col("target") * F.col("blocks") / F.col("source_size"), F.col("blocks") * float(LIMIT)))
-    row = full.agg(F.sum("draws").alias("draws"), F.max("pos").alias("last")).first()
+    row = full.agg(F.sum("draws").alias("draws")).first()
     shards = max(1, -(-int(row.draws or 0) // shard))
-    kinds = (row.last or 0) + 1
-    each = durable(full.withColumn("even", F.floor(F.col("draws") / shards)).withColumn("part", F.col("draws") / shards - F.floor(F.col("draws") / shards)))
-    rest = each.agg(F.sum("part").alias("s")).first().s or 0.0
-
-    # cells: a table of CELLS rows in which a source has cells in proportion to its fractional part
-    upto = Window.orderBy("pos")
-    edge = F.round(F.sum("part").over(upto) / max(rest, 1e-12) * CELLS)
-    cells = (
-        each.withColumn("stop", edge.cast("long")).withColumn("start", F.coalesce(F.lag("stop").over(upto), F.lit(0)))
-        .where("stop > start").select("pos", F.explode(F.sequence("start", F.col("stop") - 1)).alias("cell"))
+    # fractional parts end to end, in hashed order so that no order of sizes meets the even spacing of the points
+    upto = Window.orderBy(F.xxhash64("pos", F.lit(SEED)), "pos")
+    share = F.col("draws") / shards
+    each = durable(
+        full.withColumn("even", F.floor(share)).withColumn("edge", F.sum(share - F.floor(share)).over(upto))
+        .withColumn("stop", F.ceil(F.col("edge") * shards - OFFSET)).withColumn("start", F.coalesce(F.lag("stop").over(upto), F.lit(0)))
     )
-    drawn = (
-        spark.range(shards).select(F.col("id").alias("shard"), (F.floor((F.col("id") + 1) * rest) - F.floor(F.col("id") * rest)).alias("n"))
-        .where("n > 0").select("shard", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
-        .select("shard", F.pmod(F.xxhash64(F.lit(SEED), "shard", "j"), F.lit(CELLS)).alias("cell"))
-        .join(F.broadcast(cells), "cell").groupBy("shard", "pos").agg(F.count("*").alias("more"))
+    last = each.agg(F.max("edge").alias("rest"), F.max("stop").alias("points")).first()
+    rest, points = max(last.rest or 0.0, 1e-12), last.points or 0
+    a = max(1, math.isqrt(max(points - 1, 0)) + 1)
+    dealt = (
+        spark.range(points).select(F.col("id").alias("draw"), F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("round"), F.lit(points).cast("long").alias("blocks"),
+                                   F.lit(a).cast("long").alias("a"), F.lit(max(1, -(-points // a))).cast("long").alias("b"))
+        .select(F.least(F.ceil((F.col("draw") + 1) / rest) - 1, F.lit(shards - 1)).alias("shard"), _permuted(F.col("draw")).alias("point"))
     )
-    whole = spark.range(shards * kinds).select(F.floor(F.col("id") / kinds).alias("shard"), F.pmod("id", F.lit(kinds)).cast("int").alias("pos"))
+    owned = each.where("stop > start").select("pos", F.explode(F.sequence("start", F.col("stop") - 1)).alias("point"))
+    # Spark sees the points as the few rows they are exploded from and would broadcast them
+    drawn = owned.hint("merge").join(dealt, "point").select("shard", "pos", F.lit(1).cast("long").alias("n"))
+    whole = spark.range(shards).withColumnRenamed("id", "shard").crossJoin(F.broadcast(each.where("even > 0").select("pos", F.col("even").alias("n"))))
     earlier = Window.partitionBy("pos").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("shard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        whole.join(each.select("pos", "blocks", "even"), "pos").join(drawn, ["shard", "pos"], "left")
-        .withColumn("n", F.col("even") + F.coalesce("more", F.lit(0)))
+        whole.unionByName(drawn).groupBy("shard", "pos").agg(F.sum("n").alias("n")).join(each.select("pos", "blocks"), "pos")
         .withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .withColumn("first_slot", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     )
     numbered = (
-        counts.where("n > 0").select("shard", "pos", "blocks", "first", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+        counts.select("shard", "pos", "blocks", "first", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
         .withColumn("k", F.col("first") + F.col("j")).where(F.col("k") < F.col("blocks") * LIMIT)
         .withColumn("round", F.floor(F.col("k") / F.col("blocks")))
         .withColumn("a", F.ceil(F.sqrt("blocks"))).withColumn("b", F.ceil(F.col("blocks") / F.col("a")))
     )
-    # a value outside the source's blocks is permuted again: a cycle through a known number always comes back, in
-    # fewer than a steps; beyond 1,024 blocks the odds against 32 steps are below 2^-160
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _shuffled(F.pmod(F.col("k"), F.col("blocks"))),
-                         lambda x, _: F.when(x < F.col("blocks"), x).otherwise(_shuffled(x)))
-    return numbered.select("shard", (F.col("first_slot") + F.col("j")).alias("slot"), "pos", walked.alias("block"))
+    return numbered.select("shard", (F.col("first_slot") + F.col("j")).alias("slot"), "pos", _permuted(F.pmod(F.col("k"), F.col("blocks"))).alias("block"))
 
 
 def mix(places: DataFrame, filled: DataFrame, *, block: int = BLOCK) -> DataFrame:

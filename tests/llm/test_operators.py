@@ -394,6 +394,19 @@ def test_mixed_blocks_hold_the_words(spark, words):
     assert sum(len(r.text.split()) for r in blocks) == sum(per.values()) and all(len(r.text.split()) <= 16 for r in blocks)
 
 
+def test_many_sources_keep_their_expectation(spark):
+    rng = random.Random(21)
+    rows = [("hot", 400_000, 400_000 * 0.7)] + [(f"s{i}", n, n * rng.uniform(0.1, 2.0)) for i, n in enumerate(max(1, int(rng.lognormvariate(3, 1.5))) for _ in range(3000))]
+    sources = spark.createDataFrame([(s, i, 1.0, n, t) for i, (s, n, t) in enumerate(rows)], "source STRING, pos INT, weight DOUBLE, source_size BIGINT, target DOUBLE")
+    found = MX.slots(sources, block=8, shard=256)
+    got = {r.pos: r["count"] for r in found.groupBy("pos").count().collect()}
+    for pos, (_, n, t) in enumerate(rows):
+        blocks = -(-n // 8)
+        assert abs(got.get(pos, 0) - min(t * blocks / n, 2 * blocks)) < 1 + 1e-6
+    per_shard = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert found.select("shard", "slot").distinct().count() == sum(per_shard) and max(per_shard) <= 257
+
+
 def test_mixing_nothing(spark):
     none = frame(spark, [], "doc_id BIGINT, text STRING, source STRING")
     assert MX.mixed_documents(none).collect() == []
