@@ -8,8 +8,9 @@ it counts if the common run is at least a window long. Fingerprint and extension
 Cost: one pass over the documents. A bit array of fixed size over all item fingerprints keeps unshared fingerprints
 from being shuffled; the join itself is a plain equi-join on the fingerprint.
 
-Cases: null or wordless texts have no words and no hits. Rows that share an id are one document (their counts are
-added); a null id is an id of its own. Repeated items with different ids all count. Extra columns are ignored.
+Cases: null or wordless texts have no words and no hits. Rows that share an id are one document: their words are added, and
+whether it is contaminated is decided on the words and hits of all its rows; ``n_hit`` counts places, those that are hit in
+several rows once. A null id is an id of its own. Repeated items with different ids all count. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ K = 9
 #: bits of the array over item fingerprints: 2 MB on driver and executors, whatever the size of the benchmark
 BITS = 1 << 24
 SIDE = WINDOW - K
-FOUND = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("pos", pa.int64()), ("span", pa.int32()), ("h", pa.int64()), ("context", pa.binary())])
-SPANS = pa.schema([("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("context", pa.binary())])
+FOUND = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("pos", pa.int64()), ("span", pa.int32()), ("h", pa.int64()), ("context", pa.binary())])
+SPANS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("context", pa.binary())])
 
 
 def _short(hashes: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +73,14 @@ def _fingerprints(shorts: list[int], bitmap=None, per_text: bool = True, whole_s
     def run(it):
         seen = bitmap.value if bitmap is not None else None
         for batch in batches(it):
-            ids = column(batch, "id")
+            numbers, ids = column(batch, "row"), column(batch, "id")
             for c in chunks(column(batch, "text")):
                 starts, ends, first = c.words(ALNUM)
                 counts = np.diff(first)
-                own = ids.slice(c.first, c.n)
+                row, own = numbers.slice(c.first, c.n), ids.slice(c.first, c.n)
                 if per_text:
                     none = pa.nulls(c.n)
-                    yield rows(FOUND, id=own, n_words=counts, pos=none, span=none, h=none, context=none)
+                    yield rows(FOUND, row=row, id=own, n_words=counts, pos=none, span=none, h=none, context=none)
                 if not len(starts):
                     continue
                 hashes = c.word_hashes(starts, ends) | np.uint64(2)
@@ -98,7 +99,7 @@ def _fingerprints(shorts: list[int], bitmap=None, per_text: bool = True, whole_s
                         continue
                     owner = np.searchsorted(first, at, "right") - 1
                     context = packed(_context(hashes, first, at, pad)) if number == 0 else pa.array([b""] * len(at), pa.binary())
-                    yield rows(FOUND, id=own.take(pa.array(owner)), n_words=pa.nulls(len(at)), pos=at - first[owner],
+                    yield rows(FOUND, row=row.take(pa.array(owner)), id=own.take(pa.array(owner)), n_words=pa.nulls(len(at)), pos=at - first[owner],
                                span=np.full(len(at), span, np.int32), h=h.view(np.int64), context=context)
     return run
 
@@ -122,47 +123,48 @@ def _extend(it):
             lo[at], hi[at] = pos[at] - left, pos[at] + K + right
             good[at] = same[:, SIDE : SIDE + K].all(axis=1) & (left + right + K >= WINDOW)
         keep = pa.array(good)
-        yield rows(SPANS, id=column(batch, "id"), lo=lo, hi=hi, h=column(batch, "h"), context=theirs).filter(keep)
+        yield rows(SPANS, row=column(batch, "row"), id=column(batch, "id"), lo=lo, hi=hi, h=column(batch, "h"), context=theirs).filter(keep)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``counts`` (id, n_words), ``spans`` (id, lo, hi, h, context) in words, and ``items`` (h, context, item_id).
+    """``counts`` (id, n_words), ``spans`` (row, id, lo, hi, h, context) in words, and ``items`` (h, context, item_id).
 
-    A span is a run of words that occurs in every item of its (h, context).
+    A span is a run of words that occurs in every item of its (h, context); ``row`` numbers the rows of ``docs``.
     """
     spark = docs.sparkSession
     items = only(benchmark, item_id=item_col, text=item_text_col)
     items = durable(items.withColumn("id", F.monotonically_increasing_id()))
     prints = durable(
-        items.select("id", "text").mapInArrow(_fingerprints([], per_text=False, whole_short=True), ddl(FOUND))
+        items.select("id", "text", F.col("id").alias("row")).mapInArrow(_fingerprints([], per_text=False, whole_short=True), ddl(FOUND))
         .join(items.select("id", "item_id"), "id").select("h", "span", F.col("context").alias("item_context"), "item_id").distinct())
     shorts = sorted(r.span for r in prints.filter(F.length("item_context") == 0).select("span").distinct().collect())  # 12 at most
     bitmap = spark.sparkContext.broadcast(bit_array(prints, "h", BITS))
-    found = durable(only(docs, id=id_col, text=text_col).mapInArrow(_fingerprints(shorts, bitmap), ddl(FOUND)))
+    numbered = only(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    found = durable(numbered.mapInArrow(_fingerprints(shorts, bitmap), ddl(FOUND)))
     counts = found.filter("h IS NULL").groupBy("id").agg(F.sum("n_words").alias("n_words"))
     classes = prints.select("h", "span", "item_context").distinct()
     spans = (
         found.filter("h IS NOT NULL").drop("n_words").join(classes, ["h", "span"])
-        .select("id", "pos", "span", "h", "context", "item_context").mapInArrow(_extend, ddl(SPANS))
+        .select("row", "id", "pos", "span", "h", "context", "item_context").mapInArrow(_extend, ddl(SPANS))
     )
     return counts, spans, prints.select("h", F.col("item_context").alias("context"), "item_id")
 
 
-def covered(spans: DataFrame) -> DataFrame:
-    """Places inside any span, per id: (id, n_hit)."""
-    before = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+def covered(spans: DataFrame, key: str = "id") -> DataFrame:
+    """Places inside any span, per key: (key, n_hit)."""
+    before = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        spans.select("id", "lo", "hi").distinct()
+        spans.select(key, "lo", "hi").distinct()
         .withColumn("done", F.coalesce(F.max("hi").over(before), F.lit(0)))
-        .groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "done"))).alias("n_hit"))
+        .groupBy(key).agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "done"))).alias("n_hit"))
     )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """Per document: id, n_words, n_hit (words inside shared windows), items (sorted ids as text), contaminated.
 
-    Contaminated: some word is hit, and hit words are a twentieth of all words at least.
+    Contaminated: some word is hit, and hit words are a twentieth of all words at least, both counted over all rows of the id.
     """
     counts, spans, items = contaminated_spans(docs, benchmark, **columns)
     spans = durable(spans)
@@ -171,12 +173,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> Data
         .select("id", F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    hits = covered(spans).join(listed, "id", "left")
-    hits = hits.withColumnRenamed("id", "hit_id")
+    # per id once: places, words hit in all rows, items
+    of_rows = covered(spans, "row").join(spans.select("row", "id").distinct(), "row").groupBy("id").agg(F.sum("n_hit").alias("n_hit_rows"))
+    none = F.lit(None)
+    hits = (
+        covered(spans).select("id", "n_hit", none.cast("long").alias("n_hit_rows"), none.cast("array<string>").alias("items"))
+        .union(of_rows.select("id", none.cast("long"), "n_hit_rows", none.cast("array<string>")))
+        .union(listed.select("id", none.cast("long"), none.cast("long"), "items"))
+        .groupBy(F.col("id").alias("hit_id")).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n_hit", "n_hit_rows", "items")))
+    )
+    hit_rows = F.coalesce("n_hit_rows", F.lit(0))
     return counts.join(hits, F.col("id").eqNullSafe(F.col("hit_id")), "left").select(
         "id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        ((hit_rows > 0) & (20 * hit_rows >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **columns: str) -> DataFrame:

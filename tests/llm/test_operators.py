@@ -84,6 +84,20 @@ def test_contamination_of_empty_tables(spark):
     assert sorted((str(r["id"]), r.n_words, r.n_hit) for r in same)[0] == ("1", 4, 2) and len(same) == 2
 
 
+def test_repeated_rows_do_not_hide_contamination(spark, words):
+    rng = random.Random(22)
+    item, other = text(rng, words, 16), text(rng, words, 16)
+    items = frame(spark, [(1, item), (2, other)], "item_id BIGINT, text STRING")
+    little = text(rng, words, 150) + " " + item + " " + text(rng, words, 34)  # 16 of 200 words
+    clean, diluted = text(rng, words, 200), text(rng, words, 400)
+    rows = [(1, little)] * 2 + [(2, item)] * 21 + [(3, clean)] * 2 + [(4, item), (4, diluted)] + [(5, item + " " + clean), (5, other + " " + clean)] + [(None, item)] * 21
+    docs = frame(spark, rows).repartition(5)
+    got = {r["id"]: r for r in DC.contamination(docs, items).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 5, None}
+    assert got[None]["items"] == ["1"] and got[5]["items"] == ["1", "2"] and got[2].n_words == 21 * 16
+    assert {r.doc_id for r in DC.decontaminate(docs, items).collect()} == {3, 4}
+
+
 # --- 2 -----------------------------------------------------------------------------------------
 def repeated(rows):
     seen, out = set(), {}

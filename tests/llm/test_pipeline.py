@@ -49,6 +49,14 @@ def test_stages(spark, tables):
     docs.unpersist()
 
 
+def test_near_duplicates_keep_one_of_equal_rows(spark, tables):
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (1, "g h i j k l", "en", "s", 11), (2, "m n o", "en", "s", 5), (None, "p", "en", "s", 1), (None, "p", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    left = corpus_pipeline.near_duplicates(spark, docs, tables)
+    assert left.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(map(str, [(1, "a b c d e f"), (1, "g h i j k l"), (2, "m n o"), (None, "p"), (None, "p")]))
+
+
 def test_run_ends_in_the_mix(spark, tables):
     assert set(corpus_pipeline.run(spark, tables).columns) == {"doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
