@@ -167,19 +167,22 @@ def _cut_runs(width: int):
                 lo, n = lo[fits], n[fits]
                 if not len(lo):
                     continue
-                # the runs' bytes one after the other: each is a run again, with its anchor
+                # slices of the document's runs whose bytes have places in PLACE_BITS; runs don't need each other
                 size = n - 1 + LENGTH
-                begin = np.cumsum(size) - size
-                bytes_at = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(lo, size)
-                start, count, anchor, prefix, _ = _runs(data[bytes_at], begin, begin + size)
-                owner = np.searchsorted(begin, start, "right") - 1
-                group = (np.repeat(anchor, count) - (place := np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))) // width
-                heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (np.diff(np.repeat(np.arange(len(start)), count)) > 0)]))
-                first, wide = place[heads], np.diff(np.append(heads, len(place)))
-                of = np.searchsorted(start, first, "right") - 1
-                core = anchor[of] - group[heads] * width  # where the last string of a full group starts
-                g = part(prefix, core, core + LENGTH - width + 1) ^ np.uint64(width)
-                sender.hold(g, _content(prefix, first, wide, anchor[of]), np.full(len(first), ids[at]), first - begin[owner[of]] + lo[owner[of]], wide)
+                slices = np.flatnonzero(np.diff((np.cumsum(size) - size) >> (PLACE_BITS - 1))) + 1
+                for lo, n, size in zip(*(np.split(x, slices) for x in (lo, n, size)), strict=True):
+                    # the runs' bytes one after the other: each is a run again, with its anchor
+                    begin = np.cumsum(size) - size
+                    bytes_at = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(lo, size)
+                    start, count, anchor, prefix, _ = _runs(data[bytes_at], begin, begin + size)
+                    owner = np.searchsorted(begin, start, "right") - 1
+                    group = (np.repeat(anchor, count) - (place := np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))) // width
+                    heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (np.diff(np.repeat(np.arange(len(start)), count)) > 0)]))
+                    first, wide = place[heads], np.diff(np.append(heads, len(place)))
+                    of = np.searchsorted(start, first, "right") - 1
+                    core = anchor[of] - group[heads] * width  # where the last string of a full group starts
+                    g = part(prefix, core, core + LENGTH - width + 1) ^ np.uint64(width)
+                    sender.hold(g, _content(prefix, first, wide, anchor[of]), np.full(len(first), ids[at]), first - begin[owner[of]] + lo[owner[of]], wide)
             yield from sender.send(FLUSH)
         yield from sender.send(1)
     return run

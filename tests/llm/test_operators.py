@@ -136,6 +136,18 @@ def test_repeated_spans(spark, words, monkeypatch):
         assert got == want
 
 
+def test_open_runs_of_long_documents(words, monkeypatch):
+    import pyarrow as pa
+    whole = text(random.Random(23), words, 3000)
+    lo = list(range(0, len(whole.encode()) - 200, 60))
+    batch = pa.RecordBatch.from_pydict({"id": [7], "text": [whole], "lo": [lo], "n": [[9] * len(lo)]})
+    found = []
+    for bits in (24, 11):  # 108 bytes a run, so runs of 1,024 bytes and a little more are worked on together
+        monkeypatch.setattr(SX, "PLACE_BITS", bits)
+        found.append([sorted(map(str, (r for b in SX._cut_runs(width)([batch]) for r in b.to_pylist()))) for width in (8, 1)])
+    assert found[0] == found[1] and all(found[0])
+
+
 def test_levels_are_kept_between_calls(spark, words):
     rows = sorted(spans_fixture(words))
     early, late = frame(spark, rows[:60]), frame(spark, rows[60:])
