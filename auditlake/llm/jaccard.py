@@ -307,8 +307,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         docs.mapInArrow(_prefixes(n, t, frequent), ddl(POSTINGS)).repartition("token")
         .groupBy("token", "s").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("place").alias("place"), F.count("*").alias("copies"))
         .withColumn("df", F.count("*").over(of_token)).where("df > 1"))
-    shortest = F.col("n") - F.expr(f"(n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L") + 1
-    cost = [(F.sum(F.when(F.col("place") < shortest + m - 1, F.col("df") - 1)) * (1 + COMPARE / m)) for m in range(1, LONGEST + 1)]
+    overlap = F.expr(f"(n * {t.numerator}L + {t.denominator - 1}L) div {t.denominator}L")  # the least a link can have: no more matches are required
+    shortest = F.col("n") - overlap + 1
+    cost = [(F.sum(F.when((F.col("place") < shortest + m - 1) & (overlap >= m), F.col("df") - 1)) * (1 + COMPARE / m)) for m in range(1, LONGEST + 1)]
     matches = postings.groupBy("id", "s").agg(F.array(*cost).alias("cost")).select(
         "id", "s", F.array_position("cost", F.array_min(F.filter("cost", lambda c: c.isNotNull()))).cast("int").alias("m"))
     chosen = durable(

@@ -217,6 +217,12 @@ def test_jaccard_components(spark, words, monkeypatch, n, threshold):
     assert got == linked(rows, n, Fraction(threshold))
 
 
+def test_jaccard_of_small_sets(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e f g"), (3, "p q r s"), (4, "p q r s t")]  # 3 of 5 and 2 of 3 shared
+    got = {r["id"]: (r["size"], r["component"]) for r in JC.near_duplicates(frame(spark, rows), n=3, threshold="0.6").collect()}
+    assert got == linked(rows, 3, Fraction("0.6")) == {1: (3, 1), 2: (5, 1), 3: (2, 3), 4: (3, 3)}
+
+
 def test_jaccard_of_odd_rows(spark):
     assert JC.near_duplicates(frame(spark, [])).collect() == []
     rows = frame(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (3, None)])
