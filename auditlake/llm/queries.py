@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier as CL, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, spelling as SP, suffixes as SX, toxicity as TX
+from . import anchors as AN, classifier as CL, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, novelty as NO, pii as PI, quality as QU, spelling as SP, suffixes as SX, toxicity as TX
 from .common import documents, only
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +197,42 @@ FROM forms f JOIN (SELECT word, arg_max(root, k) AS root FROM walk GROUP BY word
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and roots of all words of all documents."""
     return SP.spelling_variants(documents(spark, sf_dir))
+
+
+@query("op13_vector_codes", r"""
+WITH kept AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda y: y IS NOT NULL AND isfinite(y)))),
+flat AS (SELECT vec_id, label, len(e) // 16 AS width, unnest(range(0, len(e))) AS i, unnest(list_transform(e, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT))) AS v FROM kept),
+x AS (SELECT vec_id, label, i // width AS part, i % width AS dim, v FROM flat),
+b0 AS (SELECT part, entry, dim, v AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+d0 AS (SELECT vec_id, label, part, entry, sum((v - c) * (v - c)) AS d FROM x JOIN b0 USING (part, dim) GROUP BY ALL),
+a0 AS (SELECT vec_id, label, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM d0 GROUP BY ALL),
+b1 AS (
+  SELECT part, entry, dim, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c) AS c
+  FROM b0 LEFT JOIN (SELECT part, entry, dim, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM a0 JOIN x USING (vec_id, part) GROUP BY ALL) USING (part, entry, dim)),
+d1 AS (SELECT vec_id, label, part, entry, sum((v - c) * (v - c)) AS d FROM x JOIN b1 USING (part, dim) GROUP BY ALL),
+a1 AS (SELECT vec_id, label, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM d1 GROUP BY ALL),
+b2 AS (
+  SELECT part, entry, dim, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), c) AS c
+  FROM b1 LEFT JOIN (SELECT part, entry, dim, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM a1 JOIN x USING (vec_id, part) GROUP BY ALL) USING (part, entry, dim)),
+d2 AS (SELECT vec_id, label, part, entry, sum((v - c) * (v - c)) AS d FROM x JOIN b2 USING (part, dim) GROUP BY ALL),
+a2 AS (SELECT vec_id, label, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM d2 GROUP BY ALL),
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', CAST(entry AS INT))), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, dim)) FROM b2) AS codebooks_sha256
+FROM coded
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors."""
+    return AN.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_secrets")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = NO.find(documents(spark, sf_dir))
+    of_kind = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == NO.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    base = F.filter("secrets", lambda s: s["kind"] < len(NO.BASE))
+    return found.select(
+        F.col("id").alias("doc_id"), *(of_kind(k) for k in NO.BASE),
+        F.sha2(NO.written(base).cast("binary"), 256).alias("base_sha256"), NO.written(F.col("secrets")).alias("spans"))
