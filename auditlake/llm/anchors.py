@@ -269,7 +269,7 @@ def _parts_of(batch: pa.RecordBatch, width: int, parts: int):
     dims = width // parts
     for i in range(batch.num_rows):
         raw = {c: column(batch, c)[i].as_py() for c in ("points", "trees", "bounds")}
-        points = np.frombuffer(raw["points"], np.int64).reshape(-1, width)
+        points = np.frombuffer(raw["points"], np.int64).reshape(column(batch, "n")[i].as_py(), width)
         trees, bounds = np.frombuffer(raw["trees"], np.int64), np.frombuffer(raw["bounds"], np.int64)
         for p in range(parts):
             yield i, p, points[:, p * dims : (p + 1) * dims], Saved(trees[bounds[p] : bounds[p + 1]], dims)
