@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ..rules import needles as N
 from .text import (
     any_rlike, count_any, ends_with_any, has_any, lit, one_of, rlike, starts_with_any, strip, strip_chars,
@@ -21,16 +23,18 @@ def excluded_path(parts: str = "parts", name: str = "name", extra_names: tuple[s
     return "(" + " OR ".join(clauses) + ")"
 
 
-def is_detector_code(rooted: str = "lower(rooted)", lc: str = "lc") -> str:
+def is_detector_code(rooted: str = "lower(rooted)", lc: str = "lc", found: Callable[[str, list[str]], str] = has_any) -> str:
+    """``found`` says how the needles of the content are looked for."""
+    count = " + ".join(f"int({found(lc, [n])})" for n in N.DETECTOR_CONTENT_NEEDLES)
     return (
         f"({has_any(rooted, N.DETECTOR_PATH_NEEDLES)}"
-        f" OR {count_any(lc, N.DETECTOR_CONTENT_NEEDLES)} >= 2"
-        f" OR (contains({lc}, 'for pattern') AND contains({lc}, 're.search(pattern')))"
+        f" OR ({count}) >= 2"
+        f" OR ({found(lc, ['for pattern'])} AND {found(lc, ['re.search(pattern'])}))"
     )
 
 
-def pattern_context(lc: str = "lc") -> str:
-    return has_any(lc, N.PATTERN_CONTEXT_NEEDLES)
+def pattern_context(lc: str = "lc", found: Callable[[str, list[str]], str] = has_any) -> str:
+    return found(lc, N.PATTERN_CONTEXT_NEEDLES)
 
 
 RAW_STRING = r"""r["'].*["']"""
@@ -68,9 +72,9 @@ def looks_like_secret(value: str) -> str:
     )
 
 
-def test_file(rooted: str = "lower(rooted)", lc: str = "lc") -> str:
+def test_file(rooted: str = "lower(rooted)", lc: str = "lc", found: Callable[[str, list[str]], str] = has_any) -> str:
     """The part of the test-data gate that depends on the file only."""
-    return f"({has_any(rooted, N.TEST_PATH_NEEDLES)} OR {has_any(lc, N.TEST_CONTENT_NEEDLES)})"
+    return f"({has_any(rooted, N.TEST_PATH_NEEDLES)} OR {found(lc, N.TEST_CONTENT_NEEDLES)})"
 
 
 def is_test_data(value: str, file_flag: str = "test_file", ext: str = "ext") -> str:
@@ -139,19 +143,19 @@ def orm_only(context: str) -> str:
     )
 
 
-def readme_flag(words: list[str]) -> str:
-    return f"({one_of('path', N.README_NAMES)} AND {has_any('lower(content)', words)})"
+def readme_flag(words: list[str], lc: str = "lower(content)", found: Callable[[str, list[str]], str] = has_any) -> str:
+    return f"({one_of('path', N.README_NAMES)} AND {found(lc, words)})"
 
 
 def workspace_name(workspace: str = "workspace") -> str:
     return f"lower(element_at(split({workspace}, '/'), -1))"
 
 
-def web_file() -> str:
+def web_file(lc: str = "lower(content)", excluded: str = "excluded", found: Callable[[str, list[str]], str] = has_any) -> str:
     return (
-        f"(({one_of('path', N.WEB_MANIFESTS)} AND {has_any('lower(content)', N.WEB_FRAMEWORKS)})"
+        f"(({one_of('path', N.WEB_MANIFESTS)} AND {found(lc, N.WEB_FRAMEWORKS)})"
         f" OR {one_of('path', N.WEB_ENTRY_FILES)}"
-        f" OR (NOT excluded AND {one_of('ext', N.WEB_CODE_EXTS)} AND {has_any('lower(content)', N.WEB_USER_DATA)}))"
+        f" OR (NOT {excluded} AND {one_of('ext', N.WEB_CODE_EXTS)} AND {found(lc, N.WEB_USER_DATA)}))"
     )
 
 

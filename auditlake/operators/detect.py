@@ -3,7 +3,8 @@
 A file row carries its lines as an array. Each rule group first finds its candidate line numbers
 (cheap literal test on the file, then the joined rules and the line gates) and only then looks at
 single rules, so rules are matched against the few candidate lines and neighbourhoods are slices
-of the array next to them.
+of the array next to them. Which literals a file holds is found for all rules at once (``functions.prefilter``),
+and lines are cut only for files in which some line rule can match.
 """
 
 from __future__ import annotations
@@ -15,28 +16,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..functions import gates as G
+from ..functions.prefilter import TOKEN, Answers, mark
 from ..functions.text import ODD_CASE, any_rlike, has_any, java, lit, rlike, snippet, split_lines, stems
 
 LINE = "lines[no - 1]"
 HIT_LINE = "lines[h.no - 1]"
 
 
-def with_file_columns(files: DataFrame) -> DataFrame:
-    """Per-file values every detector shares, computed once."""
-    base = files.withColumns({
-        "rooted": F.expr("concat('/', path)"),
-        "lname": F.lower("name"),
-        "lc": F.lower("content"),
-        "lines": F.expr(split_lines("content")),
-    })
-    return base.withColumns({
-        "odd_case": F.expr(f"content RLIKE {lit(ODD_CASE)}"),
-        "detector_code": F.expr(G.is_detector_code()),
-        "llines": F.expr(split_lines("lc")),
-        "pattern_context": F.expr(G.pattern_context()),
-        "test_file": F.expr(G.test_file()),
-        "nos": F.expr("CASE WHEN size(lines) > 0 THEN sequence(1, size(lines)) END"),
-    })
+def marked(text: str, needles: list[str]) -> str:
+    """``has_any`` that leaves tests of the whole lower-cased content to the prefilter."""
+    return mark(needles) if text == "lc" else has_any(text, needles)
+
+
+#: per-file values every detector shares, computed once; the second group needs the first
+FILE_COLUMNS = {
+    "rooted": "concat('/', path)",
+    "lname": "lower(name)",
+    "lc": "lower(content)",
+    "odd_case": f"content RLIKE {lit(ODD_CASE)}",
+}
+GATE_COLUMNS = {
+    "detector_code": G.is_detector_code(found=marked),
+    "pattern_context": G.pattern_context(found=marked),
+    "test_file": G.test_file(found=marked),
+}
+LINE_COLUMNS = {
+    "lines": f"CASE WHEN lines_needed THEN {split_lines('content')} END",
+    "llines": f"CASE WHEN lines_needed THEN {split_lines('lc')} END",
+}
 
 
 def metadata(pairs: dict[str, str]) -> str:
@@ -63,6 +70,12 @@ def guard(patterns: list[str]) -> str:
     return f"(odd_case OR {has_any('lc', found)})"
 
 
+def candidate(patterns: list[str]) -> str:
+    """``guard`` for the prefilter."""
+    found = stems(patterns)
+    return "true" if found is None else f"(odd_case OR {mark(found)})"
+
+
 def line_guard(patterns: list[str]) -> str:
     """The same condition on one line; plain substring tests go before any regex."""
     found = stems(patterns)
@@ -102,7 +115,7 @@ class LineRules:
         else:
             match = rlike(LINE, "|".join(f"(?:{p})" for p in dict.fromkeys(patterns)))
         return (
-            f"CASE WHEN {self.files} AND {guard(patterns)} "
+            f"CASE WHEN {self.files} AND {candidate(patterns)} "
             f"THEN filter(nos, no -> {line_guard(patterns)} AND {match} AND {self.lines}) END"
         )
 
@@ -146,7 +159,7 @@ class LineValues:
     def candidates(self) -> str:
         match = rlike(LINE, "|".join(f"(?:{p})" for p in self.patterns))
         return (
-            f"CASE WHEN {self.files} AND {guard(self.patterns)} "
+            f"CASE WHEN {self.files} AND {candidate(self.patterns)} "
             f"THEN filter(nos, no -> {line_guard(self.patterns)} AND {match} AND {self.lines}) END"
         )
 
@@ -175,7 +188,7 @@ class FileRule:
         return None
 
     def hits(self, _: str) -> str:
-        need = f" AND {guard(list(self.patterns))}" if self.patterns else ""
+        need = f" AND {candidate(list(self.patterns))}" if self.patterns else ""
         return f"CASE WHEN {self.files}{need} AND {self.test} THEN array({self.row}) END"
 
 
@@ -192,23 +205,62 @@ class FileMatches:
         return None
 
     def hits(self, _: str) -> str:
-        return f"CASE WHEN {self.files} AND {guard(list(self.patterns))} THEN transform({self.found}, m -> {self.row}) END"
+        return f"CASE WHEN {self.files} AND {candidate(list(self.patterns))} THEN transform({self.found}, m -> {self.row}) END"
 
 
 Piece = LineRules | LineValues | FileRule | FileMatches
 
 
-def apply(files: DataFrame, pieces: list[Piece]) -> DataFrame:
-    """Hits of all pieces in one pass: (workspace, file, detector, type, line, ...)."""
-    staged = with_file_columns(files)
+def lines_needed(pieces: list[Piece], answers: Answers) -> str:
+    """Whether a rule over lines can match: one test of literals for the pieces of the same files."""
+    by_files: dict[str, set[int] | None] = {}
+    for piece in pieces:
+        if not isinstance(piece, (LineRules, LineValues)):
+            continue
+        patterns = [p for p, _ in piece.rules] if isinstance(piece, LineRules) else piece.patterns
+        tokens = {int(n) for n in TOKEN.findall(candidate(patterns))}
+        if not tokens or by_files.get(piece.files, set()) is None:
+            by_files[piece.files] = None
+        else:
+            by_files[piece.files] = by_files.get(piece.files, set()) | tokens
+    tests = [f"({files} AND (odd_case OR {answers.any_of(tokens)}))" if tokens else files for files, tokens in by_files.items()]
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
+
+
+def scanned(files: DataFrame, pieces: list[Piece], skip: str = "false", more: dict[str, str] | None = None, many: int | None = None) -> DataFrame:
+    """Per file its (workspace, path), the hits of all pieces and the values of ``more``, in one pass over the contents.
+
+    Files for which ``skip`` holds get no hits. ``more``: SQL over the file's columns.
+    """
+    more = more or {}
     names = [f"cand_{k}" for k in range(len(pieces))]
     found = {n: p.candidates() for n, p in zip(names, pieces)}
-    staged = staged.withColumns({n: F.expr(sql) for n, sql in found.items() if sql})
     empty = f"cast(array() AS {schemas.HITS})"
     arrays = ", ".join(f"coalesce(cast({p.hits(n)} AS {schemas.HITS}), {empty})" for n, p in zip(names, pieces))
+    # files that are skipped have no line candidates; the other pieces look at ``skipped`` here
+    hits = f"CASE WHEN NOT skipped THEN concat({arrays}) END" if pieces else empty
+    texts = [hits, *more.values(), *GATE_COLUMNS.values(), *(sql for sql in found.values() if sql)]
+    answers = Answers(texts) if many is None else Answers(texts, many)
+    staged = files.withColumns({n: F.expr(sql) for n, sql in FILE_COLUMNS.items()} | {"skipped": F.expr(skip)})
+    if answers.automatic:
+        staged = staged.withColumn("literals_found", answers.column(F.col("lc") if more else F.expr("CASE WHEN NOT skipped THEN lc END")))
+    staged = staged.withColumns({n: F.expr(answers.sql(sql)) for n, sql in GATE_COLUMNS.items()})
+    staged = staged.withColumn("lines_needed", F.expr(answers.sql(f"NOT skipped AND {lines_needed(pieces, answers)}")))
+    staged = staged.withColumns({n: F.expr(sql) for n, sql in LINE_COLUMNS.items()})
+    staged = staged.withColumn("nos", F.expr("CASE WHEN size(lines) > 0 THEN sequence(1, size(lines)) END"))
+    staged = staged.withColumns({n: F.expr(answers.sql(sql)) for n, sql in found.items() if sql})
+    return staged.select("workspace", "path", F.expr(answers.sql(hits)).alias("hits"), *(F.expr(answers.sql(sql)).alias(n) for n, sql in more.items()))
+
+
+def rows_of(scan: DataFrame) -> DataFrame:
+    """(workspace, file, detector, type, line, ...) of the hits of ``scanned``."""
     return (
-        staged.select("workspace", F.col("path").alias("file"), F.expr(f"concat({arrays})").alias("hits"))
         # the outer form: otherwise Spark infers size(hits) > 0 and evaluates every rule a second time below
-        .selectExpr("workspace", "file", "inline_outer(hits)")
+        scan.selectExpr("workspace", "path AS file", "inline_outer(hits)")
         .filter("type IS NOT NULL")
     )
+
+
+def apply(files: DataFrame, pieces: list[Piece]) -> DataFrame:
+    """Hits of all pieces in one pass: (workspace, file, detector, type, line, ...)."""
+    return rows_of(scanned(files, pieces))

@@ -9,7 +9,7 @@ from ..functions.text import (
     any_rlike, has_any, java, let, lit, match_lines, near, one_of, rlike, snippet, starts_with_any, strip, ends_with_any,
 )
 from ..rules import code as C, needles as N, secrets as S
-from .detect import HIT_LINE, LINE, FileMatches, FileRule, LineRules, LineValues, Piece, apply, guard, hit, metadata
+from .detect import HIT_LINE, LINE, FileMatches, FileRule, LineRules, LineValues, Piece, apply, candidate, hit, metadata
 
 CODE = one_of("ext", N.CODE_EXTS)
 SCRIPT = one_of("ext", [".py", ".js", ".ts", ".php", ".rb"])
@@ -149,7 +149,7 @@ def d7() -> list[Piece]:
 def d8() -> list[Piece]:
     rules = [(provider, pattern, label) for provider, known in S.CLOUD.items() for pattern, label in known]
     every = ", ".join(
-        f"CASE WHEN {guard([pattern])} THEN transform(regexp_extract_all(content, {lit(java(pattern))}, 0), "
+        f"CASE WHEN {candidate([pattern])} THEN transform(regexp_extract_all(content, {lit(java(pattern))}, 0), "
         f"v -> named_struct('value', v, 'rule', {k})) END" for k, (_, pattern, _) in enumerate(rules))
     found = f"filter(flatten(array_compact(array({every}))), m -> NOT {G.is_test_data('m.value')})"
     names = "array(" + ", ".join(lit(provider) for provider, _, _ in rules) + ")"
@@ -528,11 +528,17 @@ def scan_files(files: DataFrame, ids: list[str] | None = None, validation: str =
     """
     ids = list(BUILDERS) if ids is None else ids
     found = apply(not_excluded(files, excluded_names), pieces_for(ids, validation) + list(extra or []))
-    confidence = F.col("confidence")
-    if TOOL_AWARE & set(ids):
-        named = has_any(G.workspace_name(), N.SECURITY_TOOL_NAMES)
-        found = found.join(security_tools(files) if tools is None else tools, "workspace", "left")
-        tool = F.expr(f"(coalesce(tool_readme, false) OR {named}) AND tool_confidence IS NOT NULL")
-        confidence = F.when(tool, F.col("tool_confidence")).otherwise(confidence)
-    return found.select("workspace", "detector", "type", "file", "line", "snippet", "severity",
-                        confidence.alias("confidence"), "metadata")
+    if not TOOL_AWARE & set(ids):
+        return found.select(*RAW)
+    return with_tools(found, security_tools(files) if tools is None else tools)
+
+
+RAW = ["workspace", "detector", "type", "file", "line", "snippet", "severity", "confidence", "metadata"]
+
+
+def with_tools(found: DataFrame, tools: DataFrame) -> DataFrame:
+    """Hits with the lower confidence that some detectors have in workspaces of security tools."""
+    named = has_any(G.workspace_name(), N.SECURITY_TOOL_NAMES)
+    tool = F.expr(f"(coalesce(tool_readme, false) OR {named}) AND tool_confidence IS NOT NULL")
+    marked = found.join(tools, "workspace", "left")
+    return marked.withColumn("confidence", F.when(tool, F.col("tool_confidence")).otherwise(F.col("confidence"))).select(*RAW)

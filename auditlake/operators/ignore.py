@@ -9,12 +9,13 @@ from ..functions.text import lit, split_lines, strip
 IGNORE_FILE = ".scanignore"
 
 
+#: the patterns in the text of an ignore file
+PATTERNS = f"array_distinct(filter(transform({split_lines('content')}, l -> {strip('l')}), p -> p != '' AND NOT startswith(p, '#')))"
+
+
 def ignore_patterns(files: DataFrame, ignore_file: str = IGNORE_FILE) -> DataFrame:
     """(workspace, pattern) from the ignore file at the root of each workspace."""
-    lines = files.filter(F.col("path") == ignore_file).select(
-        "workspace", F.explode(F.expr(split_lines("content"))).alias("raw"))
-    text = lines.select("workspace", F.expr(strip("raw")).alias("pattern"))
-    return text.filter("pattern != '' AND NOT startswith(pattern, '#')").distinct()
+    return files.filter(F.col("path") == ignore_file).select("workspace", F.explode(F.expr(PATTERNS)).alias("pattern")).distinct()
 
 
 def _prepared(patterns: DataFrame) -> DataFrame:

@@ -343,7 +343,7 @@ def d40(spark, sf):
 @query("d38_scan_workspace")
 def d38(spark, sf):
     files = corpus(spark, sf)
-    return scan_workspaces(files, IG.ignore_patterns(files)).select(
+    return scan_workspaces(files, True).select(
         *FINDING_COLUMNS, "detector", "confidence", F.to_json("metadata").alias("metadata"))
 
 
@@ -365,7 +365,7 @@ UNION ALL SELECT 'D40', * FROM ({gap_rows("d40_gdpr_gaps")})""")
 def d38_findings(spark, sf):
     """All findings of all detectors under the ignore patterns, with the label of each."""
     files = corpus(spark, sf)
-    found = scan_workspaces(files, IG.ignore_patterns(files))
+    found = scan_workspaces(files, True)
     label = F.expr("coalesce(metadata['issue'], metadata['weak_cipher'], metadata['secret_type'], '')").alias("label")
     return found.select("detector", *FINDING_COLUMNS, F.round("confidence", 6).alias("confidence"), label)
 
@@ -1097,4 +1097,4 @@ def flagship(spark, sf):
 @query("full_report_findings")
 def full_report(spark, sf):
     files = corpus(spark, sf)
-    return report_findings(files, IG.ignore_patterns(files)).drop("metadata")
+    return report_findings(files, True).drop("metadata")
