@@ -10,9 +10,9 @@ compared if they share the smaller m of both.
 
 Dense groups of near copies are not compared pair by pair. First a long posting list is compared with its commonest text
 (a star, as many pairs as postings); links found make components, and only documents whose components still differ are
-compared further. That keeps every component exact: a pair left out lies in one component already. In a few rounds each
-component of a block of the list proposes its nearest neighbour; what is then still apart is compared in full, by blocks,
-in tasks that give back links alone. Documents of a list that share an earlier long list have met there.
+compared further. That keeps every component exact: a pair left out lies in one component already. In lists of more than a
+block each component of a block proposes its nearest neighbour, for a few rounds; what is then still apart in any list is
+compared in full, by blocks, in tasks that give back links alone. Documents of a list that share an earlier long list have met there.
 
 Texts move late: a set's sketch is the parity of its tokens in at least two bits a token (a power of two). Folded to the
 same length, two sketches differ in no more bits than their sets do in tokens, so pairs whose sketches differ in too many
@@ -42,7 +42,7 @@ COMPARE = 50.0
 #: a token counts as frequent from 1 / FREQUENT of all tokens on, so there are at most FREQUENT of them (16 MB)
 FREQUENT = 1 << 20
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
-SHORT, BLOCK = 64, 512
+SHORT, BLOCK = 16, 512
 SKETCH = 1024  # bits of a sketch at least
 NEIGHBOURS = 2
 #: bits of the array over ids: 16 MB
@@ -343,11 +343,15 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, t), ddl(LINKS))
 
     links = durable(checked(pairs))
-    for _ in range(NEIGHBOURS):
-        near = _blocks(many, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_neighbours(t), ddl(NEAR))
+    lists = durable(
+        many.groupBy("token", "id").agg(F.count("*").alias("rows")).withColumn("first", F.min("token").over(Window.partitionBy("id")))
+        .withColumn("all", F.count("*").over(of_token)).drop("rows"))
+    wide = lists.where(F.col("all") > BLOCK)
+    for _ in range(0 if wide.isEmpty() else NEIGHBOURS):
+        near = _blocks(wide, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_neighbours(t), ddl(NEAR))
         near = durable(near.groupBy("comp").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
         links = durable(links.union(checked(near)))
-    left_over = durable(_blocks(many, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)))
+    left_over = durable(_blocks(lists, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)))
     more = left_over.join(texts_of(left_over), "id").groupBy("token", "i", "j").applyInArrow(_compare_block(n, t), ddl(LINKS))
     label = components(links.union(more))
 
@@ -362,29 +366,31 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     )
 
 
-def _blocks(many: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(token, i, j, id, comp, n, sketch): what is still apart, pairs of blocks of long lists.
+def _blocks(lists: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(token, i, j, id, comp, n, sketch): what is still apart, pairs of blocks of long lists (token, id, first, all).
 
     Documents outside a list's largest group meet all others of the list. A group is a component, or the documents
     whose first long list is another, earlier one, where they have met.
     """
-    apart = many.select("token", "id").distinct().withColumn("first", F.min("token").over(Window.partitionBy("id")))
-    apart = apart.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    groups = F.array(F.struct(F.lit(0).alias("kind"), F.col("comp").alias("group")), F.struct(F.lit(1).alias("kind"), F.when(F.col("first") < F.col("token"), F.col("first")).alias("group")))
+    apart = durable(lists.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    group = lambda kind, name: apart.groupBy("token", F.lit(kind).alias("kind"), F.col(name).alias("group")).agg(F.count("*").alias("size"), F.first("all").alias("of"))
     largest = (
-        apart.select("token", F.explode(groups).alias("g")).where("g.group IS NOT NULL").groupBy("token", "g").agg(F.count("*").alias("size"))
-        .groupBy("token").agg(F.max(F.struct("size", "g")).alias("top"))
-        .join(apart.groupBy("token").agg(F.count("*").alias("all")), "token").where("all > top.size")
+        group(0, "comp").union(group(1, "first").where(F.col("group") < F.col("token")))
+        .groupBy("token").agg(F.max(F.struct("size", "kind", "group")).alias("top"), F.first("of").alias("of")).where("of > top.size").drop("of")
     )
-    inside = F.when(F.col("top.g.kind") == 0, F.col("comp") == F.col("top.g.group")).otherwise((F.col("first") == F.col("top.g.group")) & (F.col("first") < F.col("token")))
-    listed = apart.join(largest, "token").withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy(inside.cast("int"), "id")) - 1)
-    block, blocks = F.floor(F.col("at") / BLOCK), F.ceil(F.col("all") / BLOCK)
-    outside = F.ceil((F.col("all") - F.col("top.size")) / BLOCK)
-    met = listed.withColumn("block", block).withColumn("blocks", blocks).withColumn("outside", outside).withColumn("pair", F.explode(F.concat(
-        F.transform(F.sequence(F.lit(0), F.least("block", F.col("outside") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))),
-        F.when((F.col("block") < F.col("outside")) & (F.col("block") + 1 < F.col("blocks")), F.transform(F.sequence(F.col("block") + 1, F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
-        .otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")))))
-    return met.select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j")).join(sketches, "id")
+    inside = F.when(F.col("top.kind") == 0, F.col("comp") == F.col("top.group")).otherwise((F.col("first") == F.col("top.group")) & (F.col("first") < F.col("token")))
+    listed = apart.join(largest, "token")
+    few = listed.where(F.col("all") <= BLOCK).select("token", "id", "comp", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    at = F.row_number().over(Window.partitionBy("token").orderBy(inside.cast("int"), "id")) - 1
+    met = (
+        listed.where(F.col("all") > BLOCK).withColumn("block", F.floor(at / BLOCK)).withColumn("blocks", F.ceil(F.col("all") / BLOCK))
+        .withColumn("outside", F.ceil((F.col("all") - F.col("top.size")) / BLOCK)).withColumn("pair", F.explode(F.concat(
+            F.transform(F.sequence(F.lit(0), F.least("block", F.col("outside") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))),
+            F.when((F.col("block") < F.col("outside")) & (F.col("block") + 1 < F.col("blocks")), F.transform(F.sequence(F.col("block") + 1, F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
+            .otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")))))
+        .select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    )
+    return few.union(met).join(sketches, "id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: str) -> DataFrame:
