@@ -62,6 +62,10 @@ def hit(detector: str, kind: str, line: str, text: str, severity: str, confidenc
     )
 
 
+def ordered(h: str, row: str) -> str:
+    return f"named_struct('rule', {h}.rule, 'ordinal', {h}.ordinal, 'no', {h}.no, 'hit', {row})"
+
+
 def guard(patterns: list[str]) -> str:
     """Necessary condition on the whole file, from literals the patterns cannot match without."""
     found = stems(patterns)
@@ -136,13 +140,23 @@ class LineRules:
             found = f"transform({cand}, no -> named_struct('rule', {chain}, 'no', no))"
             if self.per == "file":
                 found = f"slice({found}, 1, 1)"
+        return f"CASE WHEN size({cand}) > 0 THEN transform({found}, h -> {self.row()}) END"
+
+    def row(self) -> str:
+        """The row of a match, over h.rule and h.no."""
         meta = dict(self.meta)
         if self.label:
             labels = "array(" + ", ".join(lit(d) for _, d in self.rules) + ")"
             meta = {self.label: f"{labels}[h.rule]", **meta}
-        row = hit(self.detector, self.type, "h.no", self.text, self.severity, self.confidence,
-                  metadata(meta), self.tool_confidence)
-        return f"CASE WHEN size({cand}) > 0 THEN transform({found}, h -> {row}) END"
+        return hit(self.detector, self.type, "h.no", self.text, self.severity, self.confidence,
+                   metadata(meta), self.tool_confidence)
+
+    def every(self, cand: str) -> str:
+        """All accepted lines of each rule, in order: array of (rule, ordinal, no, hit)."""
+        each = ", ".join(
+            f"transform(filter({cand}, no -> {self._accepts(p)}), (no, i) -> named_struct('rule', {k}, 'ordinal', i, 'no', no))"
+            for k, (p, _) in enumerate(self.rules))
+        return f"CASE WHEN size({cand}) > 0 THEN transform(flatten(array({each})), h -> {ordered('h', self.row())}) END"
 
 
 @dataclass(frozen=True)
@@ -174,6 +188,15 @@ class LineValues:
             f"filter({firsts}, h -> h.value IS NOT NULL))), h -> {self.row}) END"
         )
 
+    def every(self, cand: str) -> str:
+        """All accepted values of each line and rule, in order: array of (rule, ordinal, no, hit)."""
+        found = ", ".join(f"regexp_extract_all({LINE}, {lit(java(p))}, 1)" for p in self.patterns)
+        values = (
+            f"flatten(transform(array({found}), (vs, k) -> transform(filter(vs, v -> {self.accept}), "
+            f"(v, i) -> named_struct('rule', k, 'ordinal', i, 'no', no, 'value', v))))"
+        )
+        return f"CASE WHEN size({cand}) > 0 THEN transform(flatten(transform({cand}, no -> {values})), h -> {ordered('h', self.row)}) END"
+
 
 @dataclass(frozen=True)
 class FileRule:
@@ -227,19 +250,21 @@ def lines_needed(pieces: list[Piece], answers: Answers) -> str:
     return "(" + " OR ".join(tests) + ")" if tests else "false"
 
 
-def scanned(files: DataFrame, pieces: list[Piece], skip: str = "false", more: dict[str, str] | None = None, many: int | None = None) -> DataFrame:
+def scanned(files: DataFrame, pieces: list[Piece], skip: str = "false", more: dict[str, str] | None = None, many: int | None = None,
+            hits: list[int] | None = None) -> DataFrame:
     """Per file its (workspace, path), the hits of all pieces and the values of ``more``, in one pass over the contents.
 
-    Files for which ``skip`` holds get no hits. ``more``: SQL over the file's columns.
+    Files for which ``skip`` holds get no hits. ``more``: SQL over the file's columns and the candidate lines of the pieces.
+    ``hits``: numbers of the pieces whose hits are wanted, all by default.
     """
     more = more or {}
     names = [f"cand_{k}" for k in range(len(pieces))]
     found = {n: p.candidates() for n, p in zip(names, pieces)}
     empty = f"cast(array() AS {schemas.HITS})"
-    arrays = ", ".join(f"coalesce(cast({p.hits(n)} AS {schemas.HITS}), {empty})" for n, p in zip(names, pieces))
+    arrays = ", ".join(f"coalesce(cast({p.hits(n)} AS {schemas.HITS}), {empty})" for k, (n, p) in enumerate(zip(names, pieces)) if hits is None or k in hits)
     # files that are skipped have no line candidates; the other pieces look at ``skipped`` here
-    hits = f"CASE WHEN NOT skipped THEN concat({arrays}) END" if pieces else empty
-    texts = [hits, *more.values(), *GATE_COLUMNS.values(), *(sql for sql in found.values() if sql)]
+    found_hits = f"CASE WHEN NOT skipped THEN concat({arrays}) END" if arrays else empty
+    texts = [found_hits, *more.values(), *GATE_COLUMNS.values(), *(sql for sql in found.values() if sql)]
     answers = Answers(texts) if many is None else Answers(texts, many)
     staged = files.withColumns({n: F.expr(sql) for n, sql in FILE_COLUMNS.items()} | {"skipped": F.expr(skip)})
     if answers.automatic:
@@ -249,7 +274,7 @@ def scanned(files: DataFrame, pieces: list[Piece], skip: str = "false", more: di
     staged = staged.withColumns({n: F.expr(sql) for n, sql in LINE_COLUMNS.items()})
     staged = staged.withColumn("nos", F.expr("CASE WHEN size(lines) > 0 THEN sequence(1, size(lines)) END"))
     staged = staged.withColumns({n: F.expr(answers.sql(sql)) for n, sql in found.items() if sql})
-    return staged.select("workspace", "path", F.expr(answers.sql(hits)).alias("hits"), *(F.expr(answers.sql(sql)).alias(n) for n, sql in more.items()))
+    return staged.select("workspace", "path", F.expr(answers.sql(found_hits)).alias("hits"), *(F.expr(answers.sql(sql)).alias(n) for n, sql in more.items()))
 
 
 def rows_of(scan: DataFrame) -> DataFrame:

@@ -498,7 +498,7 @@ TOOL_AWARE = {"D1", "D5", "D8", "D25"}
 
 def pieces_for(ids: list[str], validation: str = "disabled") -> list[Piece]:
     if validation not in ("disabled", "off"):
-        raise ValueError("validation is 'disabled' or 'off'; score findings with operators.validate for 'ensemble'")
+        raise ValueError("validation is 'disabled' or 'off'; 'ensemble' needs patterns and vectors, see operators.ensemble")
     out: list[Piece] = []
     for key in ids:
         build = BUILDERS[key]

@@ -100,38 +100,41 @@ def topk_ensemble(findings: DataFrame, patterns: DataFrame, block_bytes: int = B
     }).drop("fp_top", "real_top", "embedding")
 
 
-# (condition, valid, confidence, reason), first match wins
+# (condition, valid, confidence, reason, its scores), first match wins; texts of reasons are fixed values
 LADDER = [
     ("fp_ensemble > 0.85D OR fp_best > 0.88D", "false", "greatest(0.05D, 1D - greatest(fp_ensemble, fp_best))",
-     "Very similar to known false positive"),
+     "Very similar to known false positive (ensemble: %.2f, best: %.2f)", ("fp_ensemble", "fp_best")),
     ("real_ensemble > 0.75D OR real_best > 0.80D", "true",
-     "least(0.98D, greatest(real_ensemble, real_best) * 0.65D + heuristic * 0.35D)", "Very similar to known real issue"),
-    ("(fp_ensemble > 0.70D OR fp_best > 0.75D) AND fp_ensemble > 0.78D", "false", "0.3D", "Ensemble indicates false positive"),
-    ("fp_ensemble > 0.70D OR fp_best > 0.75D", "true", "0.5D", "Moderately similar to false positive"),
+     "least(0.98D, greatest(real_ensemble, real_best) * 0.65D + heuristic * 0.35D)",
+     "Very similar to known real issue (ensemble: %.2f, best: %.2f)", ("real_ensemble", "real_best")),
+    ("(fp_ensemble > 0.70D OR fp_best > 0.75D) AND fp_ensemble > 0.78D", "false", "0.3D",
+     "Ensemble indicates false positive (ensemble: %.2f)", ("fp_ensemble",)),
+    ("fp_ensemble > 0.70D OR fp_best > 0.75D", "true", "0.5D",
+     "Moderately similar to false positive (ensemble: %.2f), lower confidence", ("fp_ensemble",)),
     ("real_ensemble > 0.65D OR real_best > 0.70D", "true",
-     "least(0.90D, greatest(real_ensemble, real_best) * 0.55D + heuristic * 0.45D)", "Moderately similar to known real issue"),
+     "least(0.90D, greatest(real_ensemble, real_best) * 0.55D + heuristic * 0.45D)",
+     "Moderately similar to known real issue (ensemble: %.2f, best: %.2f)", ("real_ensemble", "real_best")),
     ("both_classes AND real_weight > fp_weight + 0.15D", "true", "least(0.85D, real_weight * 0.6D + heuristic * 0.4D)",
-     "Ensemble favors real issue"),
-    ("both_classes AND fp_weight > real_weight + 0.15D", "false", "0.4D", "Ensemble favors false positive"),
-    ("heuristic > 0.75D", "true", "least(0.90D, heuristic + 0.1D)", "Strong heuristic analysis indicates real issue"),
-    ("heuristic < 0.25D", "false", "greatest(0.1D, 1D - heuristic)", "Strong heuristic analysis indicates false positive"),
-    ("heuristic > 0.6D", "true", "heuristic", "Heuristic analysis indicates real issue"),
-    ("heuristic < 0.4D", "false", "1D - heuristic", "Heuristic analysis indicates false positive"),
-    ("real_ensemble > fp_ensemble", "true", "0.70D", "No strong match"),
-    ("fp_ensemble > real_ensemble", "true", "0.60D", "No strong match"),
-    ("true", "true", "0.65D", "No strong match"),
+     "Ensemble favors real issue (real: %.2f vs FP: %.2f)", ("real_weight", "fp_weight")),
+    ("both_classes AND fp_weight > real_weight + 0.15D", "false", "0.4D",
+     "Ensemble favors false positive (FP: %.2f vs real: %.2f)", ("fp_weight", "real_weight")),
+    ("heuristic > 0.75D", "true", "least(0.90D, heuristic + 0.1D)", "Strong heuristic analysis indicates real issue", ()),
+    ("heuristic < 0.25D", "false", "greatest(0.1D, 1D - heuristic)", "Strong heuristic analysis indicates false positive", ()),
+    ("heuristic > 0.6D", "true", "heuristic", "Heuristic analysis indicates real issue", ()),
+    ("heuristic < 0.4D", "false", "1D - heuristic", "Heuristic analysis indicates false positive", ()),
+    ("true", "true", "CASE WHEN real_ensemble > fp_ensemble THEN 0.70D WHEN fp_ensemble > real_ensemble THEN 0.60D ELSE 0.65D END",
+     "No strong match (FP ensemble: %.2f, Real ensemble: %.2f)", ("fp_ensemble", "real_ensemble")),
 ]
 
 
 def decide(scores: DataFrame) -> DataFrame:
-    """Decision columns (is_valid, ai_confidence, reason) from the scores and the heuristic."""
-    def ladder(pick: int) -> str:
-        def show(step: tuple) -> str:
-            return lit(step[pick]) if pick == 3 else step[pick]
+    """Decision columns (is_valid, ai_confidence, reason) from the scores and the heuristic; the reason shows its scores."""
+    def ladder(show) -> str:
         return "CASE " + " ".join(f"WHEN {s[0]} THEN {show(s)}" for s in LADDER) + " END"
 
+    reason = ladder(lambda s: f"format_string({', '.join([lit(s[3]), *s[4]])})" if s[4] else lit(s[3]))
     return scores.withColumns({
-        "is_valid": F.expr(ladder(1)), "ai_confidence": F.expr(f"cast({ladder(2)} AS double)"), "reason": F.expr(ladder(3))})
+        "is_valid": F.expr(ladder(lambda s: s[1])), "ai_confidence": F.expr(f"cast({ladder(lambda s: s[2])} AS double)"), "reason": F.expr(reason)})
 
 
 def blend_confidence(findings: DataFrame, xss: str = "metadata['vulnerability'] = 'xss'") -> DataFrame:

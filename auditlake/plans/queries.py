@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import gates as G
 from ..functions.text import java, lit, near, split_lines
 from ..operators import (
-    detectors as DT, evidence as EV, finalize as FN, ignore as IG, ledger as LG, practice as PR, remediate as RM,
+    detectors as DT, ensemble as EN, evidence as EV, finalize as FN, ignore as IG, ledger as LG, practice as PR, remediate as RM,
     rollups as RU, states as ST, symbols as SY, user_rules as UR, validate as VA,
 )
 from ..operators.dims import select_controls
@@ -933,9 +934,12 @@ def v2(spark, sf):
 
 
 def ladder_sql(pick: int) -> str:
-    steps = [(s[0].replace("D", ""), s[1], s[2].replace("D", ""), q(s[3])) for s in
-             [(c.replace("AND", "and"), v, x, r) for c, v, x, r in VA.LADDER]]
-    return "CASE " + " ".join(f"WHEN {s[0]} THEN {s[pick]}" for s in steps) + " END"
+    reason = lambda s: f"printf({', '.join([q(s[3]), *s[4]])})" if s[4] else q(s[3])
+    return "CASE " + " ".join(f"WHEN {duck_ladder(s[0])} THEN {reason(s) if pick == 3 else duck_ladder(s[pick])}" for s in VA.LADDER) + " END"
+
+
+def duck_ladder(text: str) -> str:
+    return re.sub(r"(?<=[0-9])D\b", "", text)
 
 
 DECIDED = f"decided AS (SELECT *, {ladder_sql(1)} AS is_valid, ({ladder_sql(2)})::DOUBLE AS ai_confidence, {ladder_sql(3)} AS reason FROM scored)"
@@ -986,6 +990,49 @@ def v1(spark, sf):
     return VA.with_heuristic(rows, "near3", "path").select("workspace", "path", "line_no", *rounded(["heuristic"]))
 
 
+KIND4 = "CASE {0} % 4 WHEN 0 THEN 'hardcoded_secret' WHEN 1 THEN 'weak_authentication' WHEN 2 THEN 'command_injection' ELSE 'xss' END"
+GROUPED = [(k, i, sql) for k in EN.VALIDATED for i, sql in enumerate(O.DETECTORS[k]())]
+JUDGED = [(k, i, sql.replace(" QUALIFY row_number() OVER (PARTITION BY workspace, path ORDER BY line_no) = 1", "").replace("FROM lines", "FROM ctx")
+           .replace("SELECT workspace, path AS file,", "SELECT near3, path, workspace, path AS file,", 1)) for k, i, sql in GROUPED if k != "D2" or i > 1]
+
+
+@query("v4_ensemble_scan", f"""{O.HEAD_CTX}, matched AS ({" UNION ALL ".join(f"SELECT '{k}' AS detector, {i} AS rule, * FROM ({sql})" for k, i, sql in JUDGED)}),
+cand AS (SELECT *, row_number() OVER () AS cid, CASE detector WHEN 'D2' THEN 2 * confidence - 0.5 WHEN 'D22' THEN confidence ELSE 2 * confidence - 0.5 END AS c0,
+  CASE detector WHEN 'D22' THEN 'xss' ELSE type END AS kind, {heuristic_sql('snippet', 'near3', 'path')} AS heuristic FROM matched),
+texts AS (SELECT *, kind || ': ' || snippet || CASE WHEN near3 != '' THEN ' Context: ' || substring(near3, 1, 200) ELSE '' END || ' File: ' || file AS text FROM cand),
+counted AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 2 = 1),
+placed AS (SELECT *, ('0x' || substr(md5(text), 1, 8))::BIGINT % n AS r FROM texts, counted),
+own AS (SELECT vec_id // 2 AS r, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1),
+known AS (SELECT {KIND4.format('(vec_id // 2)')} AS kind, label % 2 = 1 AS fp, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0),
+sims AS (SELECT c.r, k.kind, fp, list_cosine_similarity(own.e, k.e) AS s FROM (SELECT DISTINCT r, kind FROM placed) c JOIN own USING (r) JOIN known k USING (kind)),
+top AS (SELECT *, row_number() OVER (PARTITION BY r, kind, fp ORDER BY s DESC) AS z FROM sims QUALIFY z <= 3),
+agg AS (SELECT r, kind, coalesce(sum(s * CASE z WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.1 END) FILTER (fp), 0) AS fp_ensemble, coalesce(sum(s * CASE z WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.1 END) FILTER (NOT fp), 0) AS real_ensemble,
+  coalesce(max(s) FILTER (fp), 0) AS fp_best, coalesce(max(s) FILTER (NOT fp), 0) AS real_best,
+  coalesce(avg(s) FILTER (fp AND z <= 2), 0) AS fp_weight, coalesce(avg(s) FILTER (NOT fp AND z <= 2), 0) AS real_weight, bool_or(fp) AND bool_or(NOT fp) AS both_classes FROM top GROUP BY r, kind),
+scored AS (SELECT placed.*, agg.* EXCLUDE (r, kind) FROM placed JOIN agg USING (r, kind)), {DECIDED},
+blended AS (SELECT *, CASE WHEN kind <> 'xss' THEN (c0 + ai_confidence) / 2 WHEN is_valid AND ai_confidence > 0.7 THEN least(0.95, (c0 + ai_confidence) / 2) ELSE c0 END AS final
+  FROM decided WHERE is_valid OR kind = 'xss' AND ai_confidence >= 0.3),
+firsts AS (SELECT * FROM blended QUALIFY row_number() OVER (PARTITION BY detector, rule, workspace, file, CASE WHEN detector = 'D2' THEN line ELSE 0 END ORDER BY line) = 1)
+SELECT detector, workspace, file, type, line, snippet, CASE WHEN detector = 'D2' THEN CASE WHEN final >= 0.8 THEN 'high' ELSE 'medium' END ELSE severity END AS severity,
+  round(final, 6)::DOUBLE AS confidence, label, reason FROM firsts
+UNION ALL SELECT 'D2', workspace, file, type, line, snippet, severity, confidence, label, NULL FROM ({" UNION ALL ".join(sql for k, i, sql in GROUPED if k == "D2" and i <= 1)})""")
+def v4_scan(spark, sf):
+    """Validation inside D2, D19, D21 and D22; the vector of a text is one of the given embeddings, by the text's hash."""
+    rows = tables(spark, sf, "embeddings")
+    known = rows.where("vec_id % 2 = 0").selectExpr(
+        "vec_id AS pattern_id", f"{KIND4.format('(vec_id div 2)')} AS finding_type", "label % 2 = 1 AS is_false_positive", "cast(embedding AS array<double>) AS embedding")
+    own = rows.where("vec_id % 2 = 1").selectExpr("vec_id div 2 AS r", "cast(embedding AS array<double>) AS embedding")
+    n = own.count()
+
+    def embed(found: DataFrame) -> DataFrame:
+        at = found.withColumn("r", F.expr(f"cast(conv(substr(md5(text), 1, 8), 16, 10) AS bigint) % {n}"))
+        return at.join(own, "r").drop("r")
+
+    found = EN.scan_validated(corpus(spark, sf), known, embed)
+    label = F.expr("coalesce(metadata['issue'], metadata['weak_cipher'], metadata['secret_type'], '')").alias("label")
+    return found.select("detector", *FINDING_COLUMNS, F.round("confidence", 6).alias("confidence"), label, "reason")
+
+
 # --- remediation ---------------------------------------------------------------------------------
 FIXABLE = ["D1", "D9"]
 FIX_FOUND = f"{O.HEAD},\n{O.TOOL},\nfound AS MATERIALIZED (\n{O.detector_union(FIXABLE)}\n)"
