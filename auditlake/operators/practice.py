@@ -70,6 +70,11 @@ def bit(flag: str, bits: str = "flags") -> str:
     return f"(({bits} & {1 << list(FILE_FLAGS).index(flag)}L) != 0L)"
 
 
+def flag(name: str) -> str:
+    """A flag of a workspace from the bits of its files together."""
+    return f"({bit(name)} OR {has_any(G.workspace_name(), NAME_FLAGS[name])})" if name in NAME_FLAGS else bit(name)
+
+
 def flags_of(files: DataFrame) -> DataFrame:
     """(workspace, path, flags) of every file."""
     return scanned(files, [], more={"flags": file_bits()}).drop("hits")
@@ -81,8 +86,7 @@ def workspace_flags(files: DataFrame, flags: list[str] | None = None, bits: Data
     flags = list(FILE_FLAGS) + SYMBOL_FLAGS if flags is None else flags
     by_file = [f for f in flags if f in FILE_FLAGS]
     out = (flags_of(files) if bits is None else bits).groupBy("workspace").agg(F.bit_or("flags").alias("flags"))
-    out = out.select("workspace", *(F.expr(
-        f"{bit(f)} OR {has_any(G.workspace_name(), NAME_FLAGS[f])}" if f in NAME_FLAGS else bit(f)).alias(f) for f in by_file))
+    out = out.select("workspace", *(F.expr(flag(f)).alias(f) for f in by_file))
     if set(flags) & set(SYMBOL_FLAGS):
         out = out.join(symbol_flags(files), "workspace", "left")
         out = out.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in SYMBOL_FLAGS})
@@ -128,15 +132,22 @@ def gaps_of(flags: DataFrame, ids: tuple[str, ...] = ("D39", "D40")) -> DataFram
     )
 
 
+LOCK_OF = "map(" + ", ".join(f"{lit(m)}, {lit(k)}" for m, k in N.LOCK_FILES.items()) + ")"
+
+
 def missing_locks(files: DataFrame) -> DataFrame:
     """Root manifests without their lock file: an anti join of path columns only."""
-    pairs = "map(" + ", ".join(f"{lit(m)}, {lit(k)}" for m, k in N.LOCK_FILES.items()) + ")"
     manifests = (
         files.filter(one_of("path", list(N.LOCK_FILES))).select("workspace", "path").distinct()
-        .withColumn("lock_file", F.expr(f"{pairs}[path]"))
+        .withColumn("lock_file", F.expr(f"{LOCK_OF}[path]"))
     )
     locks = files.filter(one_of("path", list(N.LOCK_FILES.values()))).select("workspace", F.col("path").alias("lock_file"))
-    return manifests.join(locks, ["workspace", "lock_file"], "left_anti").selectExpr(
+    return lock_findings(manifests.join(locks, ["workspace", "lock_file"], "left_anti"))
+
+
+def lock_findings(missing: DataFrame) -> DataFrame:
+    """Findings for (workspace, path, lock_file)."""
+    return missing.selectExpr(
         "workspace", "'D14' AS detector", "'missing_dependency_lock' AS type", "path AS file", "cast(NULL AS int) AS line",
         "concat('Missing ', lock_file, ' for ', path) AS snippet", "'low' AS severity", "0.8D AS confidence",
         "map('dependency_file', path, 'lock_file', lock_file, 'control_id', 'SOC2-CC8.1') AS metadata")

@@ -18,7 +18,7 @@ from ..operators.dims import select_controls
 from ..rules import dimensions as D, needles as N, practice as P, secrets as S
 from ..session import shared_dir, spread
 from ..sources import files as SF, reports as RP, sinks as SK
-from ..streaming.scan_stream import scan_stream
+from ..streaming.scan_stream import scan_stream, settled_findings
 from . import oracle as O
 from .corpus import corpus, tables
 from .scan import report_findings, report_tables, scan_workspaces
@@ -1106,6 +1106,18 @@ def m1(spark, sf):
     return spark.read.parquet(sink).select(*FINDING_COLUMNS, F.round("confidence", 6).alias("confidence"))
 
 
+@query("m1_stream_workspaces", ORACLES["d38_scan_findings"])
+def m1_workspaces(spark, sf):
+    """The corpus arrives as three files, one a micro-batch; all detectors, then what is settled over all of them."""
+    columns = "workspace STRING, path STRING, name STRING, ext STRING, content STRING"
+    source, state = landing(spark, "arrived"), landing(spark, "workspaces-state")
+    corpus(spark, sf).repartition(3, F.xxhash64("path", "content") % 3).write.parquet(source)
+    arriving = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
+    scan_stream(arriving, landing(spark, "workspaces"), state).awaitTermination()
+    label = F.expr("coalesce(metadata['issue'], metadata['weak_cipher'], metadata['secret_type'], '')").alias("label")
+    return settled_findings(spark, state).select("detector", *FINDING_COLUMNS, F.round("confidence", 6).alias("confidence"), label)
+
+
 @query("u1_python_symbols", f"""WITH {O.CORPUS} SELECT workspace, path, kind, symbol, lineno, nearby FROM every_file
 JOIN {SYMBOL_ROWS} ON seed = CASE WHEN {SYM} THEN 'sym' WHEN {SYM2} THEN 'sym2' END""")
 def u1(spark, sf):

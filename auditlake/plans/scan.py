@@ -16,14 +16,15 @@ from ..operators.states import report_states
 from ..session import durable
 
 
-def file_facts(files: DataFrame, validation: str = "disabled", extra: list[Piece] | None = None, excluded_names: tuple[str, ...] = ()) -> DataFrame:
+def file_facts(files: DataFrame, validation: str = "disabled", extra: list[Piece] | None = None, excluded_names: tuple[str, ...] = (),
+               ids: list[str] | None = None) -> DataFrame:
     """What one pass over the contents says of each file: (workspace, path, hits, name, flags, patterns).
 
     hits: of all per-file detectors; flags: bits of practices and workspace kinds; patterns: those of an ignore file.
     """
     skip = G.excluded_path("split(path, '/')", extra_names=excluded_names)
     patterns = f"CASE WHEN path = {lit(IGNORE_FILE)} THEN {PATTERNS} END"
-    return scanned(files, pieces_for(list(BUILDERS), validation) + list(extra or []), skip,
+    return scanned(files, pieces_for(list(BUILDERS) if ids is None else ids, validation) + list(extra or []), skip,
                    {"name": "name", "flags": file_bits(), "patterns": patterns})
 
 
@@ -41,14 +42,18 @@ def scan_workspaces(files: DataFrame, ignore: DataFrame | bool = False, validati
     if ignore is not False and ignore is not None:
         own = facts.where("patterns IS NOT NULL").select("workspace", F.explode("patterns").alias("pattern")).distinct()
         hit = apply_ignore(hit, own if ignore is True else ignore)
-    tools = facts.where(bit("security_tool")).select("workspace").distinct().withColumn("tool_readme", F.lit(True))
     return (
-        with_tools(rows_of(hit), tools)
+        with_tools(rows_of(hit), tools_of(facts))
         .unionByName(missing_locks(facts))
         .unionByName(practice_gaps(files, bits=facts))
     )
 
 
+def tools_of(flagged: DataFrame) -> DataFrame:
+    """Workspaces with the README of a security tool, from rows with ``flags``."""
+    return flagged.where(bit("security_tool")).select("workspace").distinct().withColumn("tool_readme", F.lit(True))
+
+
 def report_findings(files: DataFrame, ignore: DataFrame | bool = False, validation: str = "disabled") -> DataFrame:
     """Findings with controls, ids and hashes."""
     return finalize(scan_workspaces(files, ignore, validation))
