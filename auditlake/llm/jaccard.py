@@ -1,7 +1,7 @@
 """Operator 3, n-gram Jaccard join by adaptive multi-match prefixes.
 
 Each document is the set of its word n-grams. Documents with equal sets are one class; the join works on one
-representative per class. Tokens have one global order: tokens among a 2^20th or more of all (at most 2^20 of them, by
+representative per class. Tokens have one global order: tokens among a 2^22th or more of all (at most 2^22 of them, by
 counting) come last by their count, all others come first by hash. For a threshold t, two sets that link share at least
 m tokens of their prefixes of |x| - ceil(t |x|) + m tokens, for any m. Posting lists of the longest prefixes
 (m = ``LONGEST``) tell each document what its prefixes cost: with more tokens there are more postings to read, but
@@ -39,8 +39,8 @@ from .common import NOT_SPACE, batches, bit_array, chunks, column, ddl, in_bit_a
 LONGEST = 4
 #: cost of comparing two sets, in postings read
 COMPARE = 50.0
-#: a token counts as frequent from 1 / FREQUENT of all tokens on, so there are at most FREQUENT of them (16 MB)
-FREQUENT = 1 << 20
+#: a token counts as frequent from 1 / FREQUENT of all tokens on, so there are at most FREQUENT of them (64 MB)
+FREQUENT = 1 << 22
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
 SHORT, BLOCK = 16, 512
 SKETCH = 1024  # bits of a sketch at least
