@@ -53,10 +53,11 @@ def with_position(df: DataFrame, groups: list[str], order: list[Column], name: s
     )
 
 
-def report_order() -> list[Column]:
+def report_order(columns: list[str]) -> list[Column]:
     """File, line (none first), type, snippet; then the rest, so that equal keys are equal rows."""
+    detector = [F.col("detector")] if "detector" in columns else []
     return [F.col("file"), F.coalesce("line", F.lit(-1)), F.col("type"), F.col("snippet"),
-            F.col("severity"), F.col("confidence"), F.to_json("metadata")]
+            F.col("severity"), F.col("confidence"), *detector, F.to_json("metadata")]
 
 
 def finding_id(position: str) -> str:
@@ -64,7 +65,7 @@ def finding_id(position: str) -> str:
 
 
 def assign_ids(findings: DataFrame) -> DataFrame:
-    return with_position(findings, ["workspace"], report_order()).withColumn("id", F.expr(finding_id("position")))
+    return with_position(findings, ["workspace"], report_order(findings.columns)).withColumn("id", F.expr(finding_id("position")))
 
 
 def json_string(expr: str) -> str:

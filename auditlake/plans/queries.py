@@ -115,14 +115,24 @@ def a4(spark, sf):
     return SF.explode_lines(corpus(spark, sf)).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def few(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The findings of six detectors, for queries about sinks and documents that read them many times."""
     files = corpus(spark, sf)
     return files, DT.scan_files(files, BASE)
 
 
-FOUND = f"{O.HEAD},\n{O.TOOL},\nfound AS MATERIALIZED (\n{O.detector_union(BASE)}\n)"
+def everything(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All findings of all detectors under the ignore patterns."""
+    files = corpus(spark, sf)
+    return files, scan_workspaces(files, True)
+
+
 DIM_ROWS = [(t, c, k, e, f, d, x) for t, c, k, e, f, d, x in D.FINDING_TYPE_CONTROLS]
-ENRICHED = FOUND + f""",
+
+
+def enriched(found: str) -> str:
+    """Statement head: ``found`` and its controls."""
+    return found + f""",
 dim AS (SELECT * FROM {O.values(DIM_ROWS, "d(dtype, d_id, d_category, d_evidence, d_frameworks, d_description, d_explanation)")}),
 enriched AS MATERIALIZED (SELECT f.*, coalesce(d_frameworks, []) AS frameworks, coalesce(d_id, 'UNKNOWN') AS control_id,
   coalesce(d_category, 'Unknown') AS control_category, 'FAIL' AS status,
@@ -136,15 +146,21 @@ def js(expr: str) -> str:
     bs = "chr(92)"
     return (
         f"'\"' || coalesce(array_to_string(list_transform(string_split({expr}, ''), lambda c: CASE WHEN c = '\"' THEN {bs} || '\"' WHEN c = {bs} THEN {bs} || {bs} "
-        f"WHEN c = chr(9) THEN {bs} || 't' WHEN c >= ' ' AND c <= '~' THEN c ELSE {bs} || 'u' || lpad(lower(to_hex(unicode(c))), 4, '0') END), ''), '') || '\"'"
+        f"WHEN c = chr(8) THEN {bs} || 'b' WHEN c = chr(9) THEN {bs} || 't' WHEN c = chr(10) THEN {bs} || 'n' WHEN c = chr(12) THEN {bs} || 'f' WHEN c = chr(13) THEN {bs} || 'r' WHEN c >= ' ' AND c <= '~' THEN c ELSE {bs} || 'u' || lpad(lower(to_hex(unicode(c))), 4, '0') END), ''), '') || '\"'"
     )
 
 
-NUMBERED = ENRICHED + f""",
+def numbered(found: str, last: str = "label") -> str:
+    """Statement head: ``enriched`` with positions, ids and hashes. ``last``: what orders findings that are equal in all else."""
+    return enriched(found) + f""",
 numbered AS MATERIALIZED (SELECT *, 'F' || CASE WHEN position < 1000 THEN lpad(position::VARCHAR, 3, '0') ELSE position::VARCHAR END AS id,
   sha256('{{"confidence":' || confidence::VARCHAR || ',"file":' || {js('file')} || ',"line":' || coalesce(line::VARCHAR, 'null') || ',"severity":' || {js('severity')}
     || ',"snippet":' || {js('snippet')} || ',"type":' || {js('type')} || '}}') AS evidence_hash
-  FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY file, coalesce(line, -1), type, snippet, severity, confidence, label) AS position FROM enriched))"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY file, coalesce(line, -1), type, snippet, severity, confidence, {last}) AS position FROM enriched))"""
+
+
+FOUND = f"{O.HEAD},\n{O.TOOL},\nfound AS MATERIALIZED (\n{O.detector_union(BASE)}\n)"
+ENRICHED, NUMBERED = enriched(FOUND), numbered(FOUND)
 
 
 # --- gates -----------------------------------------------------------------------------------------
@@ -378,6 +394,17 @@ def d38_counts(spark, sf):
         F.count(F.lit(1)).alias("findings"), F.countDistinct("workspace", "file").alias("files"))
 
 
+ALL = f"""{O.HEAD_CTX},
+{O.TOOL}, {PATTERNS},
+found AS MATERIALIZED (SELECT * FROM (
+{_counted}
+) f WHERE EXISTS (SELECT 1 FROM kept_files k WHERE k.workspace = f.workspace AND k.path = f.file)
+UNION ALL SELECT 'D14', workspace, file, type, line, snippet, severity, confidence, label FROM ({O.detector_sql("D14")})
+UNION ALL SELECT 'D39', * FROM ({gap_rows("d39_dpdp_gaps")})
+UNION ALL SELECT 'D40', * FROM ({gap_rows("d40_gdpr_gaps")}))"""
+ALL_ENRICHED, ALL_NUMBERED = enriched(ALL), numbered(ALL, "detector, label")
+
+
 # --- system evidence ------------------------------------------------------------------------------
 def marks(pattern: str) -> str:
     """Rows (workspace, path, m, line_no, k) of every match, from marks put around the matches."""
@@ -447,23 +474,23 @@ def f8(spark, sf):
 
 
 # --- finalisation ---------------------------------------------------------------------------------
-@query("g1_enrich_controls", f"{ENRICHED} SELECT workspace, file, line, type, snippet, array_to_string(frameworks, ',') AS frameworks, control_id, control_category, status AS control_pass_fail_status, required_evidence_missing, auditor_explanation, control_state FROM enriched")
+@query("g1_enrich_controls", f"{ALL_ENRICHED} SELECT workspace, file, line, type, snippet, array_to_string(frameworks, ',') AS frameworks, control_id, control_category, status AS control_pass_fail_status, required_evidence_missing, auditor_explanation, control_state FROM enriched")
 def g1(spark, sf):
-    _, found = base(spark, sf)
+    _, found = everything(spark, sf)
     return FN.enrich_controls(found).select(
         "workspace", "file", "line", "type", "snippet", F.array_join("compliance_frameworks_affected", ",").alias("frameworks"),
         "control_id", "control_category", "control_pass_fail_status", "required_evidence_missing", "auditor_explanation", "control_state")
 
 
-@query("g2_assign_ids", f"{NUMBERED} SELECT workspace, id, position, file, line, type, snippet FROM numbered")
+@query("g2_assign_ids", f"{ALL_NUMBERED} SELECT workspace, id, position, file, line, type, snippet FROM numbered")
 def g2(spark, sf):
-    _, found = base(spark, sf)
+    _, found = everything(spark, sf)
     return FN.assign_ids(found).select("workspace", "id", "position", "file", "line", "type", "snippet")
 
 
-@query("g3_evidence_hash", f"{NUMBERED} SELECT workspace, file, line, type, evidence_hash FROM numbered")
+@query("g3_evidence_hash", f"{ALL_NUMBERED} SELECT workspace, file, line, type, evidence_hash FROM numbered")
 def g3(spark, sf):
-    _, found = base(spark, sf)
+    _, found = everything(spark, sf)
     return FN.evidence_hash(found).select("workspace", "file", "line", "type", "evidence_hash")
 
 
@@ -474,14 +501,14 @@ MERKLE = """tree AS (
   FROM (SELECT *, lead(node) OVER (PARTITION BY workspace ORDER BY i) AS nxt FROM tree WHERE n > 1) WHERE i % 2 = 0)"""
 
 
-@query("g4_merkle_root", f"{NUMBERED.replace('WITH ', 'WITH RECURSIVE ', 1)}, {MERKLE} SELECT workspace, lower(hex(node)) AS merkle_root FROM tree WHERE n = 1")
+@query("g4_merkle_root", f"{ALL_NUMBERED.replace('WITH ', 'WITH RECURSIVE ', 1)}, {MERKLE} SELECT workspace, lower(hex(node)) AS merkle_root FROM tree WHERE n = 1")
 def g4(spark, sf):
-    _, found = base(spark, sf)
+    _, found = everything(spark, sf)
     return FN.merkle_roots(FN.evidence_hash(FN.assign_ids(found)))
 
 
 def documents(spark: SparkSession, sf: str, part_rows: int = SK.PART_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files, found = base(spark, sf)
+    files, found = few(spark, sf)
     final = FN.finalize(found)
     return files, final, SK.report_documents(files, final, EV.collect_evidence(files), "2024-01-01T00:00:00+00:00", part_rows)
 
@@ -513,9 +540,9 @@ def g5(spark, sf):
     return FN.verify_merkle(docs).select("workspace", "valid", "message")
 
 
-@query("g6_severity_metrics", f"{FOUND} SELECT workspace, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, least(100, sum(CASE severity WHEN 'critical' THEN 30 WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END))::BIGINT AS risk_score FROM found GROUP BY workspace")
+@query("g6_severity_metrics", f"{ALL} SELECT workspace, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, least(100, sum(CASE severity WHEN 'critical' THEN 30 WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END))::BIGINT AS risk_score FROM found GROUP BY workspace")
 def g6(spark, sf):
-    _, found = base(spark, sf)
+    _, found = everything(spark, sf)
     return FN.severity_metrics(found).withColumn("risk_score", F.col("risk_score").cast("bigint"))
 
 
@@ -529,9 +556,9 @@ estates AS (SELECT p.workspace, p.control_id, CASE verification_method WHEN 'mac
 states AS MATERIALIZED (SELECT workspace, control_id, coalesce(e.state, f.state) AS state FROM fstates f FULL JOIN estates e USING (workspace, control_id))"""
 
 
-@query("g7_report_states", f"{ENRICHED}, {EVIDENCE_CTE}, {STATES_CTE} SELECT workspace, control_id, state FROM states")
+@query("g7_report_states", f"{ALL_ENRICHED}, {EVIDENCE_CTE}, {STATES_CTE} SELECT workspace, control_id, state FROM states")
 def g7(spark, sf):
-    files, found = base(spark, sf)
+    files, found = everything(spark, sf)
     return ST.report_states(FN.enrich_controls(found), EV.collect_evidence(files))
 
 
@@ -588,7 +615,7 @@ SELECT g.workspace, g.framework, g.control_id, g.verification_method, CASE WHEN
 FROM grid g LEFT JOIN seen s ON s.workspace = g.workspace AND s.framework = g.framework AND s.control_id = g.control_id
 LEFT JOIN att a ON a.framework = g.framework AND a.control_id = g.control_id LEFT JOIN open o ON o.workspace = g.workspace AND o.key = g.framework || '-' || g.control_id""")
 def g9(spark, sf):
-    files, found = base(spark, sf)
+    files, found = few(spark, sf)
     people = LG.human_attest(attestations(spark, sf), uploads(spark, sf))
     return ST.resolve_states(files, FN.enrich_controls(found), EV.collect_evidence(files), people, AS_OF)
 
@@ -599,7 +626,7 @@ STANDARDS = f"standards AS (SELECT workspace, list_sort(list_distinct(list_conca
 
 @query("g10_standards", f"{ENRICHED}, {STANDARDS} SELECT workspace, array_to_string(standards, ',') AS standards FROM standards")
 def g10(spark, sf):
-    _, found = base(spark, sf)
+    _, found = few(spark, sf)
     return FN.standards(FN.enrich_controls(found)).select("workspace", F.array_join("standards", ",").alias("standards"))
 
 
@@ -674,7 +701,7 @@ def a6(spark, sf):
 
 @query("a8_write_findings_csv", f"""{NUMBERED} SELECT id AS "ID", type AS "Type", file AS "File", CASE WHEN line IS NULL OR line = 0 THEN '' ELSE line::VARCHAR END AS "Line", severity AS "Severity", confidence::VARCHAR AS "Confidence", control_id AS "Control ID", control_category AS "Control Category", array_to_string(frameworks, ', ') AS "Compliance Frameworks" FROM numbered""")
 def a8(spark, sf):
-    _, found = base(spark, sf)
+    _, found = few(spark, sf)
     path = landing(spark, "findings")
     SK.write_findings_csv(FN.finalize(found), path)
     return spark.read.option("header", True).option("escape", '"').csv(path).na.fill("")
@@ -682,7 +709,7 @@ def a8(spark, sf):
 
 @query("a9_to_sarif", f"{NUMBERED} SELECT workspace, id, control_id AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'low' THEN 'note' ELSE 'warning' END AS level, CASE WHEN snippet = '' THEN type ELSE substring(snippet, 1, 500) END AS message, replace(file, chr(92), '/') AS uri, coalesce(nullif(line, 0), 1) AS start_line FROM numbered")
 def a9(spark, sf):
-    _, found = base(spark, sf)
+    _, found = few(spark, sf)
     return SK.sarif_results(FN.finalize(found)).filter("result IS NOT NULL").select(
         "workspace", "id", "rule_id", "level", "message", "uri", "start_line")
 
@@ -795,7 +822,7 @@ def h10(spark, sf):
 
 # --- roll-ups ------------------------------------------------------------------------------------
 def rollup_inputs(spark: SparkSession, sf: str):
-    files, found = base(spark, sf)
+    files, found = everything(spark, sf)
     return files, *report_tables(files, FN.enrich_controls(found))
 
 
@@ -803,7 +830,7 @@ SAT = "('VERIFIED_MACHINE', 'VERIFIED_SYSTEM', 'ATTESTED_HUMAN')"
 
 
 def coverage_sql(framework: str) -> str:
-    return f"""{ENRICHED}, {EVIDENCE_CTE}, {STATES_CTE}, {STANDARDS},
+    return f"""{ALL_ENRICHED}, {EVIDENCE_CTE}, {STATES_CTE}, {STANDARDS},
 parts AS (SELECT workspace, {framework} AS standard, (state IN {SAT})::INT AS ok FROM states JOIN standards USING (workspace) UNION ALL SELECT workspace, framework, 1 FROM proof
   UNION ALL SELECT workspace, unnest(frameworks), 0 FROM enriched WHERE workspace NOT IN (SELECT workspace FROM states UNION SELECT workspace FROM proof)),
 t AS (SELECT workspace, standard, count(*) AS total, sum(ok)::BIGINT AS satisfied FROM parts GROUP BY ALL),
@@ -823,7 +850,7 @@ def r1_normalised(spark, sf):
     return RU.framework_coverage(FN.standards(enriched), states, proof, enriched, normalised=True)
 
 
-@query("r2_readiness", f"""{ENRICHED}, {EVIDENCE_CTE}, {STATES_CTE},
+@query("r2_readiness", f"""{ALL_ENRICHED}, {EVIDENCE_CTE}, {STATES_CTE},
 s AS (SELECT workspace, state FROM states UNION ALL SELECT workspace, 'VERIFIED_SYSTEM' FROM proof UNION ALL SELECT workspace, 'MISSING_EVIDENCE' FROM enriched WHERE workspace NOT IN (SELECT workspace FROM states UNION SELECT workspace FROM proof)),
 c AS (SELECT workspace, {', '.join(f"count(state) FILTER (state = '{x}') AS {x.lower()}" for x in D.CONTROL_STATES)}, count(state) AS n, count(state) FILTER (state IN {SAT}) AS good FROM (SELECT DISTINCT workspace FROM every_file) LEFT JOIN s USING (workspace) GROUP BY workspace)
 SELECT * EXCLUDE (n, good), CASE WHEN n > 0 THEN floor(good * 100.0 / n + 0.5)::INT ELSE 0 END AS readiness_percent FROM c""")
@@ -833,18 +860,18 @@ def r2(spark, sf):
 
 
 def final(spark: SparkSession, sf: str) -> DataFrame:
-    return FN.finalize(base(spark, sf)[1])
+    return FN.finalize(everything(spark, sf)[1])
 
 
 METHOD = "CASE WHEN lower(control_category) LIKE '%system%' OR lower(control_category) LIKE '%config%' THEN 'system' ELSE 'machine' END"
 
 
-@query("r3_control_drilldown", f"{NUMBERED} SELECT workspace, control_id, framework, arg_min(control_category, position) AS control_category, arg_min(auditor_explanation, position) AS description, arg_min(evidence_hash, position) AS evidence_hash, 'MISSING_EVIDENCE' AS state, arg_min({METHOD}, position) AS verification_method, count(*) AS findings_count FROM (SELECT *, coalesce(frameworks[1], 'UNKNOWN') AS framework FROM numbered) GROUP BY workspace, control_id, framework")
+@query("r3_control_drilldown", f"{ALL_NUMBERED} SELECT workspace, control_id, framework, arg_min(control_category, position) AS control_category, arg_min(auditor_explanation, position) AS description, arg_min(evidence_hash, position) AS evidence_hash, 'MISSING_EVIDENCE' AS state, arg_min({METHOD}, position) AS verification_method, count(*) AS findings_count FROM (SELECT *, coalesce(frameworks[1], 'UNKNOWN') AS framework FROM numbered) GROUP BY workspace, control_id, framework")
 def r3(spark, sf):
     return RU.control_drilldown(final(spark, sf))
 
 
-@query("r3_control_members", f"{NUMBERED} SELECT workspace, control_id, coalesce(frameworks[1], 'UNKNOWN') AS framework, position, id, file, line, snippet, severity FROM numbered")
+@query("r3_control_members", f"{ALL_NUMBERED} SELECT workspace, control_id, coalesce(frameworks[1], 'UNKNOWN') AS framework, position, id, file, line, snippet, severity FROM numbered")
 def r3_members(spark, sf):
     return RU.control_members(final(spark, sf))
 
@@ -860,12 +887,12 @@ def some_passed(findings: DataFrame) -> DataFrame:
 STATE = f"CASE WHEN arg_min({PASSED}, position) THEN 'VERIFIED_MACHINE' ELSE 'MISSING_EVIDENCE' END"
 
 
-@query("r4_control_evidence_view", f"{NUMBERED} SELECT workspace, control_id, array_to_string(frameworks, ',') AS frameworks, coalesce(min(frameworks[1]), 'UNKNOWN') AS framework, arg_min(control_category, position) AS control_category, {STATE} AS state, arg_min({PASSED}, position) AS evidence_present, count(*) AS findings_count FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')")
+@query("r4_control_evidence_view", f"{ALL_NUMBERED} SELECT workspace, control_id, array_to_string(frameworks, ',') AS frameworks, coalesce(min(frameworks[1]), 'UNKNOWN') AS framework, arg_min(control_category, position) AS control_category, {STATE} AS state, arg_min({PASSED}, position) AS evidence_present, count(*) AS findings_count FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')")
 def r4(spark, sf):
     return RU.control_evidence_view(some_passed(final(spark, sf)))
 
 
-@query("r4_control_state_tallies", f"{NUMBERED}, v AS (SELECT workspace, {STATE} AS state FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')) SELECT workspace, count(*) FILTER (state = 'VERIFIED_MACHINE') AS VERIFIED_MACHINE, 0::BIGINT AS VERIFIED_SYSTEM, 0::BIGINT AS ATTESTED_HUMAN, count(*) FILTER (state = 'MISSING_EVIDENCE') AS MISSING_EVIDENCE, 0::BIGINT AS EXPIRED_EVIDENCE FROM v GROUP BY workspace")
+@query("r4_control_state_tallies", f"{ALL_NUMBERED}, v AS (SELECT workspace, {STATE} AS state FROM numbered GROUP BY workspace, control_id, array_to_string(frameworks, ',')) SELECT workspace, count(*) FILTER (state = 'VERIFIED_MACHINE') AS VERIFIED_MACHINE, 0::BIGINT AS VERIFIED_SYSTEM, 0::BIGINT AS ATTESTED_HUMAN, count(*) FILTER (state = 'MISSING_EVIDENCE') AS MISSING_EVIDENCE, 0::BIGINT AS EXPIRED_EVIDENCE FROM v GROUP BY workspace")
 def r4_tallies(spark, sf):
     return RU.control_state_tallies(RU.control_evidence_view(some_passed(final(spark, sf))))
 
@@ -873,25 +900,25 @@ def r4_tallies(spark, sf):
 RATE = f"cast(round(100.0 * count(*) FILTER ({PASSED}) / count(*)) AS INT)"
 
 
-@query("r5_compliance_summary", f"{ENRICHED} SELECT e.workspace, count(*) FILTER (NOT {PASSED.replace('workspace', 'e.workspace')}) AS control_failures, count(*) FILTER ({PASSED.replace('workspace', 'e.workspace')}) AS controls_verified, {RATE.replace('workspace', 'e.workspace')} AS pass_rate, max(coalesce(n, 0)) AS frameworks_covered, count(*) AS evidence_gaps, CASE WHEN {RATE.replace('workspace', 'e.workspace')} >= 80 THEN 'Audit Ready' ELSE 'Evidence Review Required' END AS audit_status FROM enriched e LEFT JOIN (SELECT workspace, count(DISTINCT f) AS n FROM (SELECT workspace, unnest(frameworks) AS f FROM enriched) GROUP BY 1) u USING (workspace) GROUP BY e.workspace")
+@query("r5_compliance_summary", f"{ALL_ENRICHED} SELECT e.workspace, count(*) FILTER (NOT {PASSED.replace('workspace', 'e.workspace')}) AS control_failures, count(*) FILTER ({PASSED.replace('workspace', 'e.workspace')}) AS controls_verified, {RATE.replace('workspace', 'e.workspace')} AS pass_rate, max(coalesce(n, 0)) AS frameworks_covered, count(*) AS evidence_gaps, CASE WHEN {RATE.replace('workspace', 'e.workspace')} >= 80 THEN 'Audit Ready' ELSE 'Evidence Review Required' END AS audit_status FROM enriched e LEFT JOIN (SELECT workspace, count(DISTINCT f) AS n FROM (SELECT workspace, unnest(frameworks) AS f FROM enriched) GROUP BY 1) u USING (workspace) GROUP BY e.workspace")
 def r5(spark, sf):
-    return RU.compliance_summary(some_passed(FN.enrich_controls(base(spark, sf)[1])))
+    return RU.compliance_summary(some_passed(FN.enrich_controls(everything(spark, sf)[1])))
 
 
 @query("r6_severity_histogram", f"{FOUND}, b AS (SELECT * FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low')) AS t(severity)) SELECT w.workspace, b.severity, count(f.workspace) AS findings FROM (SELECT DISTINCT workspace FROM found) w CROSS JOIN b LEFT JOIN found f ON f.workspace = w.workspace AND f.severity = lower(b.severity) GROUP BY w.workspace, b.severity")
 def r6(spark, sf):
-    return RU.severity_histogram(base(spark, sf)[1])
+    return RU.severity_histogram(few(spark, sf)[1])
 
 
 @query("r7_framework_order", f"{ENRICHED}, u AS (SELECT workspace, unnest(frameworks) AS framework FROM enriched UNION ALL SELECT workspace, 'OTHER' FROM enriched) SELECT workspace, framework, count(*) AS findings, coalesce(list_position({ALL_FRAMEWORKS}, framework), 8)::INT AS rank FROM u GROUP BY workspace, framework")
 def r7(spark, sf):
-    found = FN.enrich_controls(base(spark, sf)[1])
+    found = FN.enrich_controls(few(spark, sf)[1])
     names = found.select("workspace", F.explode(F.expr("concat(compliance_frameworks_affected, array('OTHER'))")).alias("framework"))
     return names.groupBy("workspace", "framework").agg(F.count(F.lit(1)).alias("findings")).withColumn(
         "rank", F.expr(f"cast({RU.framework_rank()} AS int)"))
 
 
-@query("r8_findings_preview", f"{NUMBERED} SELECT workspace, id, file, line, type, severity FROM numbered WHERE position <= 6")
+@query("r8_findings_preview", f"{ALL_NUMBERED} SELECT workspace, id, file, line, type, severity FROM numbered WHERE position <= 6")
 def r8(spark, sf):
     return RU.findings_preview(final(spark, sf)).select("workspace", "id", "file", "line", "type", "severity")
 
@@ -1145,7 +1172,7 @@ def u3(spark, sf):
 
 
 # --- flagship ------------------------------------------------------------------------------------
-@query("flagship_secret_report", f"{NUMBERED.replace(O.detector_union(BASE), O.detector_union(['D5']))}, m AS (SELECT workspace, count(*) AS findings, least(100, count(*) * 20)::BIGINT AS risk_score FROM numbered GROUP BY 1) SELECT n.workspace, id, file, line, snippet, control_id, findings, risk_score FROM numbered n JOIN m USING (workspace)")
+@query("flagship_secret_report", f"{numbered(FOUND.replace(O.detector_union(BASE), O.detector_union(['D5'])))}, m AS (SELECT workspace, count(*) AS findings, least(100, count(*) * 20)::BIGINT AS risk_score FROM numbered GROUP BY 1) SELECT n.workspace, id, file, line, snippet, control_id, findings, risk_score FROM numbered n JOIN m USING (workspace)")
 def flagship(spark, sf):
     """Secrets in configuration files with control, id and the workspace's risk score."""
     found = FN.finalize(DT.scan_files(corpus(spark, sf), ["D5"]))
@@ -1153,7 +1180,8 @@ def flagship(spark, sf):
     return found.join(metrics, "workspace").select("workspace", "id", "file", "line", "snippet", "control_id", "findings", "risk_score")
 
 
-@query("full_report_findings")
+@query("full_report_findings", f"""{ALL_NUMBERED} SELECT workspace, detector, type, file, line, snippet, severity, round(confidence, 6) AS confidence, frameworks AS compliance_frameworks_affected,
+control_id, control_category, status AS control_pass_fail_status, required_evidence_missing, auditor_explanation, control_state, position, id, evidence_hash FROM numbered""")
 def full_report(spark, sf):
     files = corpus(spark, sf)
-    return report_findings(files, True).drop("metadata")
+    return report_findings(files, True).drop("metadata").withColumn("confidence", F.round("confidence", 6))
