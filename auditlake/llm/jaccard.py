@@ -14,7 +14,7 @@ compared further. That keeps every component exact: a pair left out lies in one
 block each component of a block proposes its nearest neighbour, for a few rounds; what is then still apart in any list is
 compared in full, by blocks, in tasks that give back links alone. Documents of a list that share an earlier long list have met there.
 
-Texts move late: a set's sketch is the parity of its tokens in at least two bits a token (a power of two). Folded to the
+Texts move late: a set's sketch is the parity of its tokens in at least one bit a token (a power of two). Folded to the
 same length, two sketches differ in no more bits than their sets do in tokens, so pairs whose sketches differ in too many
 bits can't link and need no text. A bit array of fixed size
 over the ids that do need their texts keeps most other texts out of the exchange.
@@ -43,7 +43,7 @@ COMPARE = 50.0
 FREQUENT = 1 << 22
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
 SHORT, BLOCK = 16, 512
-SKETCH = 1024  # bits of a sketch at least
+SKETCH = 256  # bits of a sketch at least
 NEIGHBOURS = 2
 #: bits of the array over ids: 16 MB
 BITS = 1 << 27
@@ -82,7 +82,7 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    bits = max(SKETCH, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
+    bits = max(SKETCH, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
     return np.packbits(np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
