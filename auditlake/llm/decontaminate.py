@@ -162,9 +162,10 @@ def covered(spans: DataFrame, key: str = "id") -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
-    """Per document: id, n_words, n_hit (words inside shared windows), items (sorted ids as text), contaminated.
+    """Per document: id, n_words, n_hit (words inside shared windows), items (sorted ids as text), contaminated, n_places.
 
-    Contaminated: some word is hit, and hit words are a twentieth of all words at least, both counted over all rows of the id.
+    Words and hits are counted over all rows of the id. Contaminated: some word is hit, and hit words are a twentieth of all words at
+    least. n_places: places that are hit in some row of the id.
     """
     counts, spans, items = contaminated_spans(docs, benchmark, **columns)
     spans = durable(spans)
@@ -182,11 +183,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> Data
         .union(listed.select("id", none.cast("long"), none.cast("long"), "items"))
         .groupBy(F.col("id").alias("hit_id")).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n_hit", "n_hit_rows", "items")))
     )
-    hit_rows = F.coalesce("n_hit_rows", F.lit(0))
+    hit_rows = F.coalesce("n_hit_rows", F.lit(0).cast("long"))
     return counts.join(hits, F.col("id").eqNullSafe(F.col("hit_id")), "left").select(
-        "id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        "id", "n_words", hit_rows.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((hit_rows > 0) & (20 * hit_rows >= F.col("n_words"))).alias("contaminated"))
+        ((hit_rows > 0) & (20 * hit_rows >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_hit", F.lit(0)).alias("n_places"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **columns: str) -> DataFrame:

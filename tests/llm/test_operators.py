@@ -79,9 +79,9 @@ def test_contamination_of_empty_tables(spark):
     none, one = frame(spark, []), frame(spark, [(1, "a b")])
     items = frame(spark, [(1, "a b")], "item_id BIGINT, text STRING")
     assert DC.contamination(none, items).collect() == [] and DC.decontaminate(none, items).collect() == []
-    assert [tuple(r) for r in DC.contamination(one, frame(spark, [], "item_id BIGINT, text STRING")).collect()] == [(1, 2, 0, [], False)]
+    assert [tuple(r) for r in DC.contamination(one, frame(spark, [], "item_id BIGINT, text STRING")).collect()] == [(1, 2, 0, [], False, 0)]
     same = DC.contamination(frame(spark, [(1, "a b"), (1, "a b"), (None, "c")]), items).collect()
-    assert sorted((str(r["id"]), r.n_words, r.n_hit) for r in same)[0] == ("1", 4, 2) and len(same) == 2
+    assert sorted((str(r["id"]), r.n_words, r.n_hit, r.n_places) for r in same)[0] == ("1", 4, 4, 2) and len(same) == 2
 
 
 def test_repeated_rows_do_not_hide_contamination(spark, words):
@@ -94,6 +94,7 @@ def test_repeated_rows_do_not_hide_contamination(spark, words):
     docs = frame(spark, rows).repartition(5)
     got = {r["id"]: r for r in DC.contamination(docs, items).collect()}
     assert {i for i, r in got.items() if r.contaminated} == {1, 2, 5, None}
+    assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got.values()) and got[1].n_hit == 32
     assert got[None]["items"] == ["1"] and got[5]["items"] == ["1", "2"] and got[2].n_words == 21 * 16
     assert {r.doc_id for r in DC.decontaminate(docs, items).collect()} == {3, 4}
 
