@@ -59,13 +59,18 @@ def fold_of(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def in_fold(modulus: int, fold: int):
+    """Whether the id is in a fold; a null id is in none."""
+    return F.coalesce(fold_of(modulus) == fold, F.lit(False)).alias("held_out")
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = documents(spark, sf_dir)
     model = TX.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return TX.score_documents(only(docs, doc_id="doc_id", text="text"), model).select(
-        "doc_id", (fold_of(TX.FOLDS) == TX.HELD_OUT).alias("held_out"), F.col("tox_score").alias("score"),
+        "doc_id", in_fold(TX.FOLDS, TX.HELD_OUT), F.col("tox_score").alias("score"),
         F.expr("int(tox_score >= 0.5)").alias("predicted"))
 
 
@@ -119,7 +124,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = LI.fit(docs.where(fold_of(LI.FOLDS) != LI.HELD_OUT))
     return LI.identify(only(docs, doc_id="doc_id", text="text"), model).select(
-        "doc_id", (fold_of(LI.FOLDS) == LI.HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+        "doc_id", in_fold(LI.FOLDS, LI.HELD_OUT), "lang_pred", F.col("lang_score").alias("score"))
 
 
 @query("op2_suffix_dedup", r"""

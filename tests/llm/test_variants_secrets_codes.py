@@ -294,3 +294,10 @@ def test_registered_queries(spark):
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in QUERIES["op11_spelling"](spark, sf).collect()}
     assert got == formed(counted([(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]))
     assert json.dumps(sorted(got)) != "[]"
+
+
+def test_null_ids_are_in_no_fold(spark):
+    from auditlake.llm.queries import in_fold
+    ids = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,), (5,), (6,)], "doc_id BIGINT")
+    got = {r.doc_id: r.held_out for r in ids.select("doc_id", in_fold(3, 1)).collect()}
+    assert got == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in got} and True in got.values()
