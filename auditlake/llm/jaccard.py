@@ -14,9 +14,10 @@ compared further. That keeps every component exact: a pair left out lies in one
 block each component of a block proposes its nearest neighbour, for a few rounds; what is then still apart in any list is
 compared in full, by blocks, in tasks that give back links alone. Documents of a list that share an earlier long list have met there.
 
-Texts move late: a set's sketch is the parity of its tokens in at least one bit a token (a power of two). Folded to the
+Texts move late: a set's sketch is the parity of its tokens in at least two bits a token (a power of two). Folded to the
 same length, two sketches differ in no more bits than their sets do in tokens, so pairs whose sketches differ in too many
-bits can't link and need no text. A bit array of fixed size
+bits can't link and need no text. Of the pairs left each document's nearest one is compared first; of the others only
+those that lie in different components then. So texts move in proportion to documents, not to pairs. A bit array of fixed size
 over the ids that do need their texts keeps most other texts out of the exchange.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing. Texts of fewer than n words have one
@@ -43,7 +44,7 @@ COMPARE = 50.0
 FREQUENT = 1 << 22
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
 SHORT, BLOCK = 16, 512
-SKETCH = 256  # bits of a sketch at least
+SKETCH = 1024  # bits of a sketch at least
 NEIGHBOURS = 2
 #: bits of the array over ids: 16 MB
 BITS = 1 << 27
@@ -53,6 +54,7 @@ MET = pa.schema([("token", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("
 POSTINGS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
 NEAR = pa.schema([("comp", pa.int64()), ("differ", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+CAN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("differ", pa.int64())])
 
 
 def token_sets(texts: pa.Array, n: int):
@@ -82,7 +84,7 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    bits = max(SKETCH, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
+    bits = max(SKETCH, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SKETCH
     return np.packbits(np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -169,12 +171,12 @@ def _may_link(differ: np.ndarray, both: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def _compare_sketches(t: Fraction):
-    """Tasks' function: pairs that can link."""
+    """Tasks' function: pairs that can link, and the bits in which their sketches differ."""
     def run(it):
         for batch in batches(it):
             differ = np.array([_differ(x, y) for x, y in zip(column(batch, "sketch_a").to_pylist(), column(batch, "sketch_b").to_pylist(), strict=True)], np.int64)
             good = _may_link(differ, column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy(), t)
-            yield rows(LINKS, a=column(batch, "a"), b=column(batch, "b")).filter(pa.array(good))
+            yield rows(CAN, a=column(batch, "a"), b=column(batch, "b"), differ=differ).filter(pa.array(good))
     return run
 
 
@@ -331,7 +333,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     sketches = documents.where("n > 0").select("id", "n", "sketch")
     sketch_of = lambda side: sketches.select(*(F.col(c).alias(new) for c, new in (("id", side), ("n", f"n_{side}"), ("sketch", f"sketch_{side}"))))
     pairs = pairs.union(stars).where("a <> b").distinct().join(sketch_of("a"), "a").join(sketch_of("b"), "b")
-    pairs = durable(pairs.mapInArrow(_compare_sketches(t), ddl(LINKS)).distinct())
+    pairs = durable(pairs.mapInArrow(_compare_sketches(t), ddl(CAN)).groupBy("a", "b").agg(F.min("differ").alias("differ")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         bitmap = spark.sparkContext.broadcast(bit_array(ids, "id", BITS))
@@ -342,7 +344,14 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         one, other = (texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
         return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, t), ddl(LINKS))
 
-    links = durable(checked(pairs))
+    of_node = pairs.select(F.col("a").alias("node"), "differ", "a", "b").union(pairs.select(F.col("b"), "differ", "a", "b"))
+    nearest = durable(of_node.groupBy("node").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    links = durable(checked(nearest))
+    comp_of = lambda label, side: label.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
+    label = components(links)
+    rest = pairs.join(comp_of(label, "a"), "a", "left").join(comp_of(label, "b"), "b", "left").where(~F.col("comp_a").eqNullSafe(F.col("comp_b")) | F.col("comp_a").isNull())
+    rest = durable(rest.select("a", "b").join(nearest, ["a", "b"], "left_anti"))
+    links = durable(links.union(checked(rest)))
     lists = durable(
         many.groupBy("token", "id").agg(F.count("*").alias("rows")).withColumn("first", F.min("token").over(Window.partitionBy("id")))
         .withColumn("all", F.count("*").over(of_token)).drop("rows"))
