@@ -12,12 +12,12 @@ from ..functions import gates as G
 from ..functions.text import java, lit, near, split_lines
 from ..operators import (
     detectors as DT, ensemble as EN, evidence as EV, finalize as FN, ignore as IG, ledger as LG, practice as PR, remediate as RM,
-    rollups as RU, states as ST, symbols as SY, user_rules as UR, validate as VA,
+    rollups as RU, roots as RO, states as ST, symbols as SY, user_rules as UR, validate as VA,
 )
 from ..operators.dims import select_controls
 from ..rules import dimensions as D, needles as N, practice as P, secrets as S
-from ..session import shared_dir, spread
-from ..sources import files as SF, reports as RP, sinks as SK
+from ..session import durable, shared_dir, spread
+from ..sources import files as SF, ledger as LS, reports as RP, sinks as SK
 from ..streaming.scan_stream import scan_stream, settled_findings
 from . import oracle as O
 from .corpus import corpus, tables
@@ -507,6 +507,18 @@ def g4(spark, sf):
     return FN.merkle_roots(FN.evidence_hash(FN.assign_ids(found)))
 
 
+@query("g4_growing_roots", ORACLES["g4_merkle_root"])
+def g4_growing(spark, sf):
+    """The same roots from three batches: the first 5 findings of each workspace, the next 35, and all others."""
+    _, found = everything(spark, sf)
+    leaves = durable(FN.evidence_hash(FN.assign_ids(found)).select("workspace", "position", "evidence_hash"))
+    state = RO.no_roots(spark)
+    for first, last in ((1, 5), (6, 40), (41, None)):
+        batch = leaves.where(F.col("position") >= first) if last is None else leaves.where(F.col("position").between(first, last))
+        state = durable(RO.append_leaves(state, batch.withColumn("position", F.col("position") - (first - 1))))
+    return RO.state_roots(state)
+
+
 def documents(spark: SparkSession, sf: str, part_rows: int = SK.PART_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     files, found = few(spark, sf)
     final = FN.finalize(found)
@@ -741,9 +753,9 @@ def h3(spark, sf):
 def a10(spark, sf):
     path = landing(spark, "ledger")
     rows = LG.record_attestation(requests(spark, sf)).drop("id")
-    SK.append_ledger(spark, rows, path)
-    SK.append_ledger(spark, rows, path)
-    return spark.read.parquet(path).agg(
+    LS.append_ledger(spark, rows, path)
+    LS.append_ledger(spark, rows, path)
+    return LS.read_ledger(spark, path).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("first_id"),
         F.max("id").alias("last_id"), F.countDistinct("merkle_root").alias("roots"))
 
@@ -788,6 +800,21 @@ def h5(spark, sf):
         f"{stamp('attested_at')} AS attested_at", "message")
 
 
+@query("h5_verify_stored", ORACLES["h5_auditor_verify"])
+def h5_stored(spark, sf):
+    """The same against a stored ledger of two appends, ids of the orders kept as a column."""
+    asked = tables(spark, sf, "customer").selectExpr(
+        "c_custkey", "upper(sha2(cast(c_custkey AS string), 256)) AS merkle_root",
+        "sha2(CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END, 256) AS public_key_hex")
+    path, rows = landing(spark, "ledger"), LG.record_attestation(requests(spark, sf)).withColumnRenamed("id", "order_id")
+    for part in (0, 1):
+        LS.append_ledger(spark, rows.where(f"order_id % 2 = {part}"), path, 1)
+    stored = LS.asked_rows(asked, spark, path).drop("id").withColumnRenamed("order_id", "id")
+    return LG.auditor_verify(asked, stored).selectExpr(
+        "c_custkey", "verified", "attest_id", "array_join(frameworks_covered, ',') AS frameworks", "control_coverage_percent AS coverage",
+        f"{stamp('attested_at')} AS attested_at", "message")
+
+
 @query("h6_human_attest", f"{ATTEST} SELECT request_id, control_id, framework, role, accepted, missing, evidence_hash, attestation_id, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at FROM human")
 def h6(spark, sf):
     return LG.human_attest(attestations(spark, sf), uploads(spark, sf)).selectExpr(

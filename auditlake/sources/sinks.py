@@ -1,12 +1,11 @@
-"""Sinks: report documents, CSV, SARIF results and the append-only ledger."""
+"""Sinks: report documents, CSV and SARIF results. The ledger is in ``ledger``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.evidence import ORDER
 from ..operators.finalize import EMPTY_ROOT, merkle_roots, severity_metrics, standards, with_position
-from ..operators.ledger import numbered
 from ..operators.states import report_states, states_map
 
 PART_ROWS = 10_000
@@ -100,14 +99,3 @@ def sarif_results(findings: DataFrame) -> DataFrame:
         "'properties', named_struct('confidence', confidence, 'compliance_frameworks', frameworks)))"
     )
     return rows.withColumn("result", F.expr(result))
-
-
-def append_ledger(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append attestations; ids continue after the highest one there, duplicates are allowed.
-
-    Meant for one writer at a time, as any id sequence is.
-    """
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    last = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) if there else 0
-    numbered(rows, last).write.mode("append").parquet(path)

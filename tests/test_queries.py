@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "a1_read_files",
     "d2_code_secrets", "d3_php_array_secrets", "d8_cloud_secrets", "d18_injection", "d22_xss", "d24_cookies", "d38_scan_findings", "d26_auth_security",
-    "b2_ignore_patterns", "b7_is_test_data", "e5_portability_by_route", "e3_consent_by_symbol", "e6_portability_by_symbol", "e7_access_logging_by_symbol", "e11_erasure_by_symbol", "d39_dpdp_gaps", "u1_python_symbols", "f7_collect_evidence", "g4_merkle_root", "g5_verify_merkle", "g11_scan_statistics", "a11_validate_report", "g7_report_states",
+    "b2_ignore_patterns", "b7_is_test_data", "e5_portability_by_route", "e3_consent_by_symbol", "e6_portability_by_symbol", "e7_access_logging_by_symbol", "e11_erasure_by_symbol", "d39_dpdp_gaps", "u1_python_symbols", "f7_collect_evidence", "g4_merkle_root", "g4_growing_roots", "h5_verify_stored", "a10_append_ledger", "g5_verify_merkle", "g11_scan_statistics", "a11_validate_report", "g7_report_states",
     "h6_human_attest", "r1_framework_coverage", "v3_decide", "p4_fix_catalogue", "m1_stream_scan", "flagship_secret_report",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from auditlake import schemas
 from auditlake.operators import ledger as LG, rollups as RU, states as ST
-from auditlake.sources import sinks as SK
 
 ENRICHED = (
     "workspace STRING, type STRING, file STRING, line INT, snippet STRING, severity STRING, control_id STRING, "
@@ -103,15 +102,6 @@ def test_listing_and_verification(spark):
     assert [r.id for r in RU.newest(ledger(spark), 2).collect()] == [2, 3]
 
 
-def test_append_keeps_duplicates_and_numbers_on(spark, tmp_path):
-    path = str(tmp_path / "ledger")
-    rows = ledger(spark).drop("id")
-    SK.append_ledger(spark, rows, path)
-    SK.append_ledger(spark, rows, path)
-    got = sorted((r.id, r.merkle_root) for r in spark.read.parquet(path).collect())
-    assert [i for i, _ in got] == [1, 2, 3, 4, 5, 6] and [m for _, m in got] == ["aa", "aa", "bb"] * 2
-
-
 def test_human_attestation(spark):
     ts = dt.datetime(2024, 2, 28, 12, 0, 0, 5000)
     asked = spark.createDataFrame([
