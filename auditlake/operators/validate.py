@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import gates as G
 from ..functions.text import lit
+from ..session import durable
 
 TOP = 3
 WEIGHTS = [0.6, 0.3, 0.1]  # fixed value
 BLOCK_BYTES = 64 << 20
+PIVOTS = 64
+PIVOT_BYTES = 64 << 20
+#: angles are computed to about 1e-8
+SLACK = 1e-6
 
 
 def with_heuristic(findings: DataFrame, context: str = "context", path: str = "file") -> DataFrame:
@@ -42,14 +47,130 @@ def _compare(findings: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _angles(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Angles of unit rows to unit centres; a zero row is at a right angle to all, as its similarity of zero says."""
+    return np.arccos(np.clip(rows @ centres.T, -1.0, 1.0))
+
+
+def pivots(patterns: DataFrame, count: int) -> dict[str, np.ndarray]:
+    """Up to ``count`` patterns of each type, those with the smallest hashes of their ids, as unit rows."""
+    order = Window.partitionBy("finding_type").orderBy(F.xxhash64("pattern_id"), "pattern_id")
+    first = (
+        patterns.select("finding_type", "pattern_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= count)
+        .join(patterns.select("finding_type", "pattern_id", "embedding"), ["finding_type", "pattern_id"]).select("finding_type", "r", "embedding")
+    )
+    by_type: dict[str, list] = {}
+    for kind, _, embedding in sorted(map(tuple, first.collect()), key=lambda r: r[:2]):
+        by_type.setdefault(kind, []).append(embedding)
+    return {kind: _unit(np.array(rows, "float64")) for kind, rows in by_type.items()}
+
+
+def _placed(rows: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
+    """Rows with the number of their type's nearest pivot and the angle to it."""
+    def place(batches):
+        for batch in batches:
+            batch = batch[batch["finding_type"].isin(list(centres))].reset_index(drop=True)
+            batch["pivot"], batch["angle"] = 0, 0.0
+            for kind, at in batch.groupby("finding_type").groups.items():
+                angles = _angles(_unit(np.stack(batch.loc[at, "embedding"].to_list()).astype("float64")), centres[kind])
+                batch.loc[at, "pivot"], batch.loc[at, "angle"] = angles.argmin(axis=1), angles.min(axis=1)
+            yield batch.astype({"pivot": "int32"})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(place, f"{fields}, pivot int, angle double")
+
+
+def pivot_pairs(findings: DataFrame, patterns: DataFrame, centres: dict[str, np.ndarray], block_bytes: int) -> DataFrame:
+    """All pairs of blocks of placed findings and patterns per label class, and whether one has to be compared (``kept``).
+
+    By the triangle inequality the angle of a finding and a pattern lies within the two radii of the angle of their
+    pivots. Three patterns of some blocks are certain to reach a similarity; a block whose best cannot reach it is left out.
+    """
+    def blocks(df: DataFrame, *more: str) -> DataFrame:
+        size = F.sum(F.size("embedding").cast("long")) * 8
+        return df.groupBy("finding_type", F.col("pivot"), *more).agg(
+            F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1), F.ceil(size / block_bytes)).alias("subs"))
+
+    apart = pd.DataFrame([(kind, i, j, float(a)) for kind, rows in centres.items() for i, line in enumerate(_angles(rows, rows)) for j, a in enumerate(line)],
+                         columns=["finding_type", "f_pivot", "p_pivot", "apart"])
+    between = findings.sparkSession.createDataFrame(apart, "finding_type STRING, f_pivot INT, p_pivot INT, apart DOUBLE")
+    mine = blocks(findings).selectExpr("finding_type", "pivot AS f_pivot", "radius AS f_radius", "subs AS f_subs")
+    theirs = blocks(patterns, "is_fp").selectExpr("finding_type", "pivot AS p_pivot", "is_fp", "radius AS p_radius", "n", "subs AS p_subs")
+    seen = Window.partitionBy("finding_type", "f_pivot", "is_fp")
+    return (
+        between.join(mine, ["finding_type", "f_pivot"]).join(theirs, ["finding_type", "p_pivot"])
+        .withColumn("same", F.expr("IF(f_pivot = p_pivot, 0D, apart)"))
+        .withColumn("certain", F.expr(f"cos(least(pi(), same + f_radius + p_radius + {SLACK}D))"))
+        .withColumn("best", F.expr(f"cos(greatest(0D, same - f_radius - p_radius - {SLACK}D))"))
+        .withColumn("reached", F.sum("n").over(seen.orderBy(F.desc("certain"), "p_pivot")))
+        .withColumn("third", F.max(F.expr(f"CASE WHEN reached >= {TOP} THEN certain END")).over(seen))
+        .select("finding_type", "f_pivot", "f_subs", "p_pivot", "p_subs", "is_fp", F.expr("coalesce(best >= third, true)").alias("kept"))
+    )
+
+
+def _compare_class(findings: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
+    """Best similarities of one block of findings in one block of patterns of one label class."""
+    if not len(findings) or not len(patterns):
+        return pd.DataFrame({"finding_id": [], "is_fp": [], "top": []})
+    mine, theirs = (_unit(np.stack(t["embedding"].to_list()).astype("float64")) for t in (findings, patterns))
+    return pd.DataFrame({"finding_id": findings["finding_id"], "is_fp": bool(patterns["is_fp"].iloc[0]), "top": _best(mine @ theirs.T)})
+
+
+def _topk_pruned(findings: DataFrame, patterns: DataFrame, count: int, block_bytes: int) -> DataFrame:
+    """(finding_id, fp_top, real_top) by way of pivots."""
+    centres = pivots(patterns.where("embedding IS NOT NULL"), count)
+    left = durable(_placed(findings.select("finding_id", "finding_type", "embedding").where("embedding IS NOT NULL"), centres))
+    right = durable(_placed(patterns.selectExpr("pattern_id", "finding_type", "coalesce(is_false_positive, false) AS is_fp", "embedding").where("embedding IS NOT NULL"), centres))
+    pairs = durable(pivot_pairs(left, right, centres, block_bytes).where("kept"))
+    keys = ["finding_type", "f_pivot", "p_pivot", "is_fp", "f_sub", "p_sub"]
+    f_rows = (
+        left.withColumnRenamed("pivot", "f_pivot").join(pairs, ["finding_type", "f_pivot"])
+        .withColumn("f_sub", F.expr("pmod(xxhash64(finding_id), f_subs)")).withColumn("p_sub", F.explode(F.expr("sequence(0L, p_subs - 1)")))
+        .select(*keys, "finding_id", "embedding")
+    )
+    p_rows = (
+        right.withColumnRenamed("pivot", "p_pivot").join(pairs, ["finding_type", "p_pivot", "is_fp"])
+        .withColumn("p_sub", F.expr("pmod(xxhash64(pattern_id), p_subs)")).withColumn("f_sub", F.explode(F.expr("sequence(0L, f_subs - 1)")))
+        .select(*keys, "embedding")
+    )
+    kind = findings.schema["finding_id"].dataType.simpleString()
+    best = lambda flag: F.expr(
+        f"slice(sort_array(flatten(collect_list(CASE WHEN {flag} THEN top END)), false), 1, {TOP})")
+    return (
+        f_rows.toDF(*f_rows.columns).groupBy(*keys).cogroup(p_rows.toDF(*p_rows.columns).groupBy(*keys)).applyInPandas(_compare_class, f"finding_id {kind}, is_fp boolean, top array<double>")
+        .groupBy("finding_id").agg(best("is_fp").alias("fp_top"), best("NOT is_fp").alias("real_top"))
+    )
+
+
+def pivot_count(patterns: DataFrame, block_bytes: int) -> int:
+    """Four pivots for each block of the largest type, ``PIVOTS`` at most; one where a type is one block, or where the
+    pivots of all types would not fit ``PIVOT_BYTES``."""
+    size = F.size("embedding").cast("long") * 8
+    by_type = patterns.where("embedding IS NOT NULL").groupBy("finding_type").agg(F.sum(size).alias("bytes"), F.max(size).alias("row"))
+    most, row, types = by_type.agg(F.max("bytes"), F.max("row"), F.count(F.lit(1))).first()
+    if not most or most <= block_bytes:
+        return 1
+    return max(1, min(PIVOTS, 4 * -(-most // block_bytes), PIVOT_BYTES // (row * types)))
+
+
 def topk(findings: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Three best similarities per label class among patterns of the finding's type.
 
     findings: (finding_id, finding_type, embedding), ids unique; patterns: (pattern_id, finding_type,
-    is_false_positive, embedding). Both sides of a type are cut into blocks of a bounded size, and each pair of blocks
-    is compared in one task: a type with a third of all rows is many tasks, and any library size gives the exact
-    result. The best three of each block are merged per finding.
+    is_false_positive, embedding). Both sides of a type are cut into blocks of a bounded size, and pairs of blocks
+    are compared in tasks: a type with a third of all rows is many tasks, and any library size gives the exact
+    result. Where the patterns of a type are several blocks, blocks are the neighbourhoods of pivots, and pairs that
+    cannot hold one of the three best are left out (``pivot_pairs``). The best three of each block are merged per finding.
     """
+    count = pivot_count(patterns, block_bytes)
+    top = _topk_pruned(findings, patterns, count, block_bytes) if count > 1 else _topk_all(findings, patterns, block_bytes)
+    none = F.array().cast("array<double>")
+    kept = findings.drop("fp_top", "real_top")
+    return kept.join(top, "finding_id", "left").withColumns({c: F.coalesce(c, none) for c in ("fp_top", "real_top")}).select(*kept.columns, "fp_top", "real_top")
+
+
+def _topk_all(findings: DataFrame, patterns: DataFrame, block_bytes: int) -> DataFrame:
+    """(finding_id, fp_top, real_top) from all pairs of blocks."""
     def blocks(df: DataFrame, name: str) -> DataFrame:
         size = F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)) * 8
         return df.groupBy("finding_type").agg(F.greatest(F.lit(1), F.ceil(size / block_bytes)).alias(name))
@@ -70,14 +191,11 @@ def topk(findings: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTE
         .select(*keys, "is_false_positive", "embedding")
     )
     kind = findings.schema["finding_id"].dataType.simpleString()
-    top = (
+    return (
         left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys))
         .applyInPandas(_compare, f"finding_id {kind}, fp_top array<double>, real_top array<double>")
         .groupBy("finding_id").agg(*(F.expr(f"slice(sort_array(flatten(collect_list({c})), false), 1, {TOP})").alias(c) for c in ("fp_top", "real_top")))
     )
-    none = F.array().cast("array<double>")
-    kept = findings.drop("fp_top", "real_top")
-    return kept.join(top, "finding_id", "left").withColumns({c: F.coalesce(c, none) for c in ("fp_top", "real_top")}).select(*kept.columns, "fp_top", "real_top")
 
 
 def topk_ensemble(findings: DataFrame, patterns: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -9,6 +9,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import lit, split_lines
+from ..session import durable
 
 # everything from the last dot, if that dot is neither first nor last in the name
 SUFFIX = r"^.+(\.[^.]+)$"
@@ -29,34 +30,48 @@ def utf8_text(raw: str) -> Column:
 
 
 def _open(root: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(root) if "://" in root else (arrow_fs.LocalFileSystem(), root)
+    """File system and path of a root; ``s3a`` is Hadoop's name for ``s3``."""
+    return arrow_fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1)) if "://" in root else (arrow_fs.LocalFileSystem(), root)
 
 
-def _passed_over(part: str) -> bool:
-    """Names Spark's file index leaves out."""
-    hidden = (part.startswith("_") and "=" not in part) or part.startswith(".") or part.endswith("._COPYING_")
-    return hidden and not part.startswith(("_metadata", "_common_metadata"))
+ENTRY = "path STRING, folder BOOLEAN, size BIGINT"
+READ_BYTES = 128 << 20
 
 
-def hidden_files(spark: SparkSession, root: str) -> DataFrame:
-    """Dot and underscore files, which file sources pass over but a scan needs (``.env``, ``.github``).
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of all files below ``root``, dot and underscore files included, paths relative to it.
 
-    The driver lists the top level only. Tasks list the folders below it, and the paths are spread
-    again before any content is read.
+    The driver lists the root alone. Each round lists the folders of one depth in tasks, one folder level a row, and
+    spreads the folders found over tasks again, so a workspace with a third of all folders is no task of its own.
     """
     store, base = _open(root)
     base = base.rstrip("/")
-    tops = [(i.path, i.type == arrow_fs.FileType.Directory) for i in store.get_file_info(arrow_fs.FileSelector(base))]
-    if not tops:
-        return spark.createDataFrame([], "path STRING, content BINARY")
+
+    def entries(where: arrow_fs.FileSystem, folder: str) -> list[tuple[str, bool, int]]:
+        found = where.get_file_info(arrow_fs.FileSelector(folder))
+        return [(i.path[len(base) + 1:], i.type == arrow_fs.FileType.Directory, i.size or 0) for i in found]
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, _ = _open(root)
         for batch in batches:
-            for top, folder in zip(batch["top"], batch["folder"]):
-                found = where.get_file_info(arrow_fs.FileSelector(top, recursive=True)) if folder else where.get_file_info([top])
-                paths = [i.path[len(base) + 1:] for i in found if i.type == arrow_fs.FileType.File]
-                yield pd.DataFrame({"path": [p for p in paths if any(map(_passed_over, p.split("/")))]}, dtype="object")
+            for folder in batch["path"]:
+                yield pd.DataFrame(entries(where, f"{base}/{folder}"), columns=["path", "folder", "size"]).astype({"folder": bool, "size": "int64"})
+
+    level = spark.createDataFrame(entries(store, base), ENTRY)
+    files = level.where("NOT folder")
+    while True:
+        folders = level.where("folder")
+        count = folders.count()
+        if not count:
+            return files.select("path", "size")
+        tasks = min(count, 4 * spark.sparkContext.defaultParallelism)
+        level = durable(folders.repartition(tasks).mapInPandas(listed, ENTRY))
+        files = files.unionByName(level.where("NOT folder"))
+
+
+def tree_contents(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of all files below ``root``; paths are spread before any content is read, one file at a time."""
+    base = _open(root)[1].rstrip("/")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, _ = _open(root)
@@ -65,18 +80,16 @@ def hidden_files(spark: SparkSession, root: str) -> DataFrame:
                 with where.open_input_stream(f"{base}/{path}") as stream:
                     yield pd.DataFrame({"path": [path], "content": [stream.read()]})
 
-    folders = spark.createDataFrame(tops, "top STRING, folder BOOLEAN").repartition("top")
-    paths = folders.mapInPandas(listed, "path STRING").repartition("path")
-    return paths.mapInPandas(read, "path STRING, content BINARY")
+    paths = durable(list_tree(spark, root))
+    total = paths.agg(F.sum("size")).first()[0] or 0
+    # a number of its own: adaptive execution would judge the partitions by the size of the paths
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    return paths.select("path").repartition(tasks, "path").mapInPandas(read, "path STRING, content BINARY")
 
 
 def read_files(spark: SparkSession, root: str, workspace: str | None = None) -> DataFrame:
     """Read a tree. One workspace per top folder unless a name for the whole tree is given."""
-    base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    relative = F.expr(f"substring(path, locate({lit(base)}, path) + {len(base)})")
-    every = raw.withColumn("path", relative).unionByName(hidden_files(spark, root))
-    files = every.select("path", utf8_text("content").alias("content"))
+    files = tree_contents(spark, root).select("path", utf8_text("content").alias("content"))
     if workspace is not None:
         return path_attributes(files.withColumn("workspace", F.lit(workspace)))
     return path_attributes(files.selectExpr(

@@ -8,13 +8,14 @@ import json
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import evidence as EV, finalize as FN, ignore as IG, remediate as RM, symbols as SY, validate as VA
 from auditlake.operators.detectors import scan_files
 from auditlake.plans.corpus import HEX40, SEEDS
 from auditlake.plans.scan import scan_workspaces
-from auditlake.sources import reports as RP, sinks as SK
+from auditlake.sources import files as SF, reports as RP, sinks as SK
 from auditlake.sources.files import files_from_table, read_files
 from auditlake.streaming.scan_stream import scan_stream
 
@@ -258,3 +259,45 @@ def test_unreadable_files_are_passed_over(files_of):
     assert scan_workspaces(files, IG.ignore_patterns(files)).filter("detector = 'D5'").count() == 1
     stats = FN.scan_statistics(files, scan_workspaces(files)).first()
     assert (stats.files_scanned, stats.files_unreadable) == (4, 3)
+
+
+def test_tree_is_listed_level_by_level(spark, tmp_path, monkeypatch):
+    places = ["top.txt", "w/.env", "w/a/b/c/d/deep.py", "w/a/_x/y.txt", "w/a/b/.github/ci.yml", *(f"v{i}/f{i}.txt" for i in range(30))]
+    for place in places:
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text(place)
+    (tmp_path / "w" / "empty").mkdir()
+    got = {r.path: r.size for r in SF.list_tree(spark, str(tmp_path)).collect()}
+    assert got == {p: len(p) for p in places}
+    calls = []
+    real = SF.arrow_fs.FileSelector
+    monkeypatch.setattr(SF.arrow_fs, "FileSelector", lambda *a, **k: calls.append((a, k)) or real(*a, **k))
+    assert SF.tree_contents(spark, str(tmp_path)).count() == len(places)
+    assert len(calls) == 1 and not calls[0][1]  # the driver lists the root alone, tasks one level a call
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert SF.read_files(spark, str(empty)).count() == 0
+
+
+def test_pivots_leave_out_most_pairs_and_no_result(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    near = lambda n: [(centres[i % 12] + rng.normal(scale=0.02, size=16)).tolist() for i in range(n)]
+    known = [(i, "ab"[i % 5 == 0], i % 3 == 0, e) for i, e in enumerate(near(600))] + [(900, "a", None, [0.0] * 16), (901, "a", True, None)]
+    asked = [(i, "abz"[min(i % 7, 2) if i % 7 < 3 else 0], e) for i, e in enumerate(near(120))] + [(500, "a", [0.0] * 16), (501, "a", None)]
+    patterns = spark.createDataFrame(known, "pattern_id INT, finding_type STRING, is_false_positive BOOLEAN, embedding ARRAY<DOUBLE>")
+    findings = spark.createDataFrame(asked, "finding_id INT, finding_type STRING, embedding ARRAY<DOUBLE>")
+    block = 4_000
+    assert VA.pivot_count(patterns, block) == VA.PIVOTS
+    unit = lambda e: np.array(e) / (np.linalg.norm(e) or 1)
+    got = {r.finding_id: r for r in VA.topk(findings, patterns, block).collect()}
+    assert len(got) == len(asked)
+    for i, kind, e in asked:
+        for column, flag in (("fp_top", True), ("real_top", False)):
+            want = sorted((float(unit(e) @ unit(p)) for _, k, fp, p in known if e and p and k == kind and bool(fp) == flag), reverse=True)[:3]
+            assert list(got[i][column]) == pytest.approx(want, abs=1e-12)
+    with_vector = patterns.where("embedding IS NOT NULL").withColumnRenamed("is_false_positive", "is_fp").fillna(False)
+    pivots = VA.pivots(with_vector, VA.PIVOTS)
+    pairs = VA.pivot_pairs(VA._placed(findings.where("embedding IS NOT NULL"), pivots), VA._placed(with_vector, pivots), pivots, block).collect()
+    compared = sum(r.f_subs * r.p_subs for r in pairs if r.kept)
+    assert 0 < compared < 0.5 * sum(r.f_subs * r.p_subs for r in pairs)
