@@ -10,6 +10,9 @@ from collections import Counter
 from fractions import Fraction
 from math import log10
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +276,22 @@ def test_quality_verdict_follows_trusted_text(spark, words):
     assert len(kept & {i for i, _ in good}) >= 295 and not kept & {i for i, _ in bad}
 
 
+def test_quality_counts_every_trusted_document(spark):
+    n = 21_000
+    texts = [f"w{i % 97} v{i % 89} u{i % 83}" for i in range(n)]
+    rest = [zlib.crc32(str(i).encode()) % QU.FOLDS % 5 != QU.THRESHOLD_FOLD for i in range(n)]
+    counts = next(QU._count([pa.RecordBatch.from_pydict({"text": pa.array(texts), "trusted": pa.array(rest)})]))
+    raw, trusted = np.zeros(1 << QU.BITS), np.zeros(1 << QU.BITS)
+    raw[counts["bucket"].to_numpy()], trusted[counts["bucket"].to_numpy()] = counts["raw"].to_numpy(), counts["trusted"].to_numpy()
+    base = (raw + QU.PRIOR) / (raw + QU.PRIOR).sum()
+    weight = len(raw) * QU.PRIOR
+    want = np.log((trusted + weight * base) / (trusted.sum() + weight)) - np.log(base)
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(n), "text": texts}))
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": range(n), "quality": [1] * n}))
+    model = QU.fit(docs, labels)
+    assert np.allclose(model.ratio, want, rtol=0, atol=1e-12)
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 def test_language_model(spark, words, monkeypatch):
     monkeypatch.setattr(ME, "FREQUENT", 40)  # most words go through the join
