@@ -95,3 +95,38 @@ def test_every_rule_agrees_with_python(spark):
                     needed = T.required_literals(pattern)
                     assert needed is None or any(n in lines[row.i].lower() for n in needed), (pattern, lines[row.i])
     assert hits > 500
+
+
+def test_a_match_holds_the_punctuation_its_pattern_needs():
+    import re
+    from auditlake.functions.text import ODD_CASE, required_marks
+    from auditlake.operators.detect import FILE_COLUMNS, LineRules, LineValues, line_match
+    from auditlake.operators.detectors import BUILDERS, pieces_for
+    from auditlake.plans.corpus import SEEDS
+
+    assert required_marks(r"pass\s*[:=]\s*['\"]([^'\"]{3,})['\"]") == [[":", "="], ['"', "'"]]
+    assert required_marks(r"(?:a\(|b)x?(c\.)+[^=]=*") == [["."]]
+    lines = [line for seed in SEEDS for line in seed.head.split("\n")]
+    pieces = [p for p in pieces_for(list(BUILDERS), "disabled") if isinstance(p, (LineRules, LineValues))]
+    patterns = {r for p in pieces for r in ([r for r, _ in p.rules] if isinstance(p, LineRules) else p.patterns)}
+    seen = 0
+    for pattern in patterns:
+        for line in lines:
+            if re.search(pattern, line, re.IGNORECASE):
+                seen += 1
+                assert all(any(mark in line for mark in marks) for marks in required_marks(pattern)), (pattern, line)
+    assert seen > 100
+    assert line_match([r"pass\s*="]).startswith("((((contains(lines[no - 1], '='))) AND ")
+    # no pattern over whole contents goes before the literals
+    assert "RLIKE" not in FILE_COLUMNS["odd_case"] and len(ODD_CASE) == 4
+
+
+def test_rules_over_files_do_not_look_at_files_that_they_exclude(spark):
+    """Spark computes conditions that two rules share beforehand; a pattern over whole contents must not be among them."""
+    from auditlake.operators.detect import FileRule, hit, metadata
+
+    row = hit("D0", "t", "NULL", "'s'", "'low'", "0.5D", metadata({}))
+    sql = [FileRule("ext = '.x'", "assert_true(content = 'good') IS NULL", row).hits("") for _ in range(2)]
+    files = spark.createDataFrame([(".y", "bad"), (".x", "good")], "ext STRING, content STRING").repartition(1)
+    got = files.selectExpr("ext", f"size(concat(coalesce({sql[0]}, array()), coalesce({sql[1]}, array()))) AS n").collect()
+    assert {r.ext: r.n for r in got} == {".y": 0, ".x": 2}
