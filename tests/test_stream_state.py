@@ -76,3 +76,14 @@ def test_states_merge(spark):
     frame = lambda r: spark.createDataFrame(r, SS.STATE)
     got = {r.workspace: (r.flags, r.symbols, sorted(r.patterns), sorted(r.manifests), sorted(r.locks)) for r in SS.merged(frame(rows), frame(new).drop("batch")).collect()}
     assert got == {"a": (5, 2, ["x", "y"], ["go.mod"], ["go.sum"]), "b": (2, 1, [], [], ["go.sum"]), "c": (0, 0, [], [], [])}
+
+
+def test_a_batch_of_the_corpus_is_as_many_files_as_the_corpus_has_splits(spark, files_of, tmp_path):
+    from auditlake.plans.queries import write_batches
+
+    files = files_of(*[("w", f"{n}.conf", f"password = {n}") for n in range(400)]).repartition(5)
+    assert write_batches(files, str(tmp_path / "in"), 3) == 5
+    written = spark.read.parquet(str(tmp_path / "in"))
+    parts = [n for n in os.listdir(tmp_path / "in") if n.endswith(".parquet")]
+    assert len(parts) == 15 and sorted(written.select("path").toPandas()["path"]) == sorted(f"{n}.conf" for n in range(400))
+    assert max(r["count"] for r in written.groupBy("_metadata.file_path").count().collect()) < 80  # a third of all before
