@@ -32,7 +32,7 @@ def numbered(rows: DataFrame, start: int = 0) -> DataFrame:
     """Consecutive ledger ids after ``start``, in order of creation."""
     keyed = rows.withColumn("_all", F.lit(0))
     order = [F.col("created_at"), F.col("merkle_root"), F.col("public_key_hex")]
-    return with_position(keyed, ["_all"], order, "id").withColumn("id", F.col("id") + start).drop("_all")
+    return with_position(keyed, ["_all"], order, "id", cut=False, few=True).withColumn("id", F.col("id") + start).drop("_all")
 
 
 def list_attestations(ledger: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

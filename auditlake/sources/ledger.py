@@ -112,7 +112,8 @@ def append_ledger(spark: SparkSession, rows: DataFrame, path: str, digits: int =
     become visible all at once. Ids of a writer that fails stay unused. Roots and keys are stored in lower case. Without
     rows nothing is written, and the range is empty. All blocks of a ledger share one number of digits.
     """
-    fixed = durable(numbered(rows.withColumns({c: F.lower(c) for c in ("merkle_root", "public_key_hex")})))
+    # their order is written down by ``numbered``; all after it is a projection
+    fixed = numbered(rows.withColumns({c: F.lower(c) for c in ("merkle_root", "public_key_hex")}))
     count = fixed.count()
     if not count:
         return 1, 0

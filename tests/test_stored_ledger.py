@@ -120,3 +120,23 @@ def test_growing_roots_equal_full_folds(spark):
     same = RO.append_leaves(state, leaves.limit(0))
     assert dict(RO.state_roots(same).collect()) == dict(want.collect())
     assert RO.append_leaves(RO.no_roots(spark), leaves.limit(0)).count() == 0
+
+
+def test_an_append_writes_its_rows_down_once_before_the_ledger(spark, tmp_path, monkeypatch):
+    from auditlake.operators import finalize as FN
+    from auditlake.sources import ledger as LS
+
+    cuts, real = [], FN.durable
+
+    def counted(df):
+        cuts.append(df.columns)
+        return real(df)
+
+    for module in (FN, LS):
+        monkeypatch.setattr(module, "durable", counted)
+    rows = spark.range(500).selectExpr("sha2(cast(id % 90 AS string), 256) AS merkle_root", "sha2('k', 256) AS public_key_hex",
+                                       "timestamp_seconds(id % 7) AS created_at").repartition(5)
+    path = str(tmp_path / "ledger")
+    assert LS.append_ledger(spark, rows, path) == (1, 500) and LS.append_ledger(spark, rows, path) == (501, 1000)
+    assert len(cuts) == 2  # three an append before
+    assert sorted(r.id for r in LS.read_ledger(spark, path).select("id").collect()) == list(range(1, 1001))
