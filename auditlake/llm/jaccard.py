@@ -1,7 +1,7 @@
 """Operator 3, n-gram Jaccard join by adaptive multi-match prefixes.
 
 Each document is the set of its word n-grams. Documents with equal sets are one class; the join works on one
-representative per class. Tokens have one global order: tokens among a 2^22th or more of all (at most 2^22 of them, by
+representative per class. Tokens have one global order: the most frequent tokens (about ``FREQUENT`` at most, by
 counting) come last by their count, all others come first by hash. For a threshold t, two sets that link share at least
 m tokens of their prefixes of |x| - ceil(t |x|) + m tokens, for any m. Posting lists of the longest prefixes
 (m = ``LONGEST``) tell each document what its prefixes cost: with more tokens there are more postings to read, but
@@ -39,8 +39,10 @@ from .common import NOT_SPACE, batches, bit_array, chunks, column, ddl, in_bit_a
 LONGEST = 4
 #: cost of comparing two sets, in postings read
 COMPARE = 50.0
-#: a token counts as frequent from 1 / FREQUENT of all tokens on, so there are at most FREQUENT of them (64 MB)
-FREQUENT = 1 << 22
+#: about so many tokens at most are sent to the driver and to tasks with their counts (32 MB)
+FREQUENT = 1 << 21
+#: one token in so many tells which counts are sent
+SAMPLED = 64
 #: longer posting lists are compared as stars and blocks, shorter ones pair by pair
 SHORT, BLOCK = 16, 512
 SKETCH = 1024  # bits of a sketch at least
@@ -101,10 +103,10 @@ def _differ(a: bytes, b: bytes) -> int:
 
 
 def _summaries(n: int):
-    """Tasks' function: id, set size and signature of each text; and counts of the tokens that are frequent in the task."""
-    def frequent(held: list, total: int):
+    """Tasks' function: id, set size and signature of each text; and counts of the tokens that many sets in the task have."""
+    def frequent(held: list):
         tokens, count = np.unique(np.concatenate(held), return_counts=True)
-        take = count >= max(2, total // FREQUENT)
+        take = count > 1
         tokens, count = tokens[take], count[take]
         none = pa.nulls(len(tokens))
         return rows(SETS, id=none, n=none, s=none, s2=none, sketch=none, token=tokens.view(np.int64), count=count.astype(np.int64))
@@ -124,17 +126,33 @@ def _summaries(n: int):
             none = pa.nulls(len(sizes))
             yield rows(SETS, id=column(batch, "id"), n=sizes, s=first, s2=second, sketch=pa.array(sketches, pa.binary()), token=none, count=none)
             if total >= FLUSH:
-                yield frequent(held, total)
+                yield frequent(held)
                 held, total = [], 0
         if total:
-            yield frequent(held, total)
+            yield frequent(held)
     return run
 
 
+def least_count(counts: DataFrame, total: int) -> int:
+    """The least count from which on about ``FREQUENT`` tokens of ``counts`` (token, count) remain, by their hashes' sample. ``total``: of all tokens."""
+    most = total // FREQUENT + 1  # fewer than FREQUENT tokens make up this share each
+    found = (
+        counts.where(F.pmod("token", F.lit(SAMPLED)) == 0).groupBy("token").agg(F.sum("count").alias("count"))
+        .groupBy(F.least("count", F.lit(most)).alias("count")).agg(F.count("*").alias("tokens")).collect()
+    )
+    least, tokens = max(2, most), 0
+    for row in sorted(found, reverse=True):
+        tokens += row.tokens * SAMPLED
+        if tokens > FREQUENT:
+            return least
+        least = min(least, row["count"])
+    return 2
+
+
 def _prefixes(n: int, t: Fraction, frequent):
     """Tasks' function: the longest prefix of each set, as postings."""
     def run(it):
-        known, rank = frequent.value
+        known, counts, bits = frequent.value
         for batch in batches(it):
             out = []
             for at, tokens in enumerate(token_sets(column(batch, "text"), n)):
@@ -142,12 +160,14 @@ def _prefixes(n: int, t: Fraction, frequent):
                 if not size:
                     continue
                 length = min(size, size - -(-size * t.numerator // t.denominator) + LONGEST)
-                key = tokens >> np.uint64(1)
+                count = np.zeros(size, np.int64)
                 if len(known):
-                    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    often = known[place] == tokens
-                    key[often] = np.uint64(1 << 63) + rank[place[often]]
-                order = np.argsort(key, kind="stable")[:length]
+                    maybe = np.flatnonzero(in_bit_array(bits, tokens))
+                    sought = tokens[maybe].view(np.int64)
+                    place = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+                    often = known[place] == sought
+                    count[maybe[often]] = counts[place[often]]
+                order = np.argsort(count, kind="stable")[:length]  # tokens are in order themselves
                 out.append((at, size, _signature(tokens)[0], tokens[order]))
             if out:
                 lengths = np.array([len(x[3]) for x in out])
@@ -291,15 +311,14 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     summary = durable(docs.mapInArrow(_summaries(n), ddl(SETS)))
     documents = summary.where("token IS NULL").select("id", "n", "s", "s2", "sketch")
     total = documents.agg(F.sum("n").alias("n")).first().n or 0
-    often = (
-        summary.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
-        .where(F.col("count") >= max(2, total // FREQUENT)).toArrow()  # at most FREQUENT tokens make up this share each
-    )
-    token, count = often["token"].to_numpy().view(np.uint64), often["count"].to_numpy()
-    by_token, by_count = np.argsort(token), np.lexsort((token, count))
-    rank = np.empty(len(token), np.uint64)
-    rank[by_count] = np.arange(len(token), dtype=np.uint64)
-    frequent = spark.sparkContext.broadcast((token[by_token], rank[by_token]))
+    counts = summary.where("token IS NOT NULL").select("token", "count")
+    often = counts.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= least_count(counts, total)).toArrow()
+    by_token = np.argsort(often["token"].to_numpy())
+    known, counted = (often[c].to_numpy()[by_token] for c in ("token", "count"))
+    marks = np.zeros(FREQUENT * 16, bool)
+    marks[known % len(marks)] = True
+    frequent = spark.sparkContext.broadcast((known, counted, np.packbits(marks, bitorder="little")))
+    del often, marks
 
     # postings: one for each class of equal sets, in one exchange by token
     of_token = Window.partitionBy("token")
@@ -346,6 +365,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     lists = durable(
         many.groupBy("token", "id").agg(F.count("*").alias("rows")).withColumn("first", F.min("token").over(Window.partitionBy("id")))
         .withColumn("all", F.count("*").over(of_token)).drop("rows"))
+    sketches = durable(sketches.join(lists.select("id").distinct(), "id", "left_semi"))  # they move once, not in each round
     wide = lists.where(F.col("all") > BLOCK)
     for _ in range(0 if wide.isEmpty() else NEIGHBOURS):
         near = _blocks(wide, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_neighbours(t), ddl(NEAR))

@@ -221,6 +221,24 @@ def test_jaccard_components(spark, words, monkeypatch, n, threshold):
     assert got == linked(rows, n, Fraction(threshold))
 
 
+def test_jaccard_orders_tokens_below_an_even_share_by_count(spark, monkeypatch):
+    """As many counts are used as fit: also those of tokens that are rarer than one in ``FREQUENT`` of all."""
+    monkeypatch.setattr(JC, "FREQUENT", 64)
+    known, build = [], JC._prefixes
+    monkeypatch.setattr(JC, "_prefixes", lambda n, t, frequent: known.append(frequent.value) or build(n, t, frequent))
+    rows = [(i, " ".join([f"own{i}x{k}" for k in range(40)] + [f"shared{i % 10}"] * (i < 200))) for i in range(300)]
+    got = {r["id"]: r["component"] for r in JC.near_duplicates(frame(spark, rows), n=1, threshold="0.9").collect()}
+    assert got == {i: i for i in range(300)}
+    assert len(known[0][0]) == 10 and max(known[0][1]) <= 20  # an even share of the 12,200 tokens is 190
+
+
+def test_jaccard_least_count_stays_within_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(JC, "FREQUENT", 640)
+    counts = spark.sql("SELECT token, 2 + token div 6400 AS count FROM (SELECT id AS token FROM range(64000))")
+    assert JC.least_count(counts, 10**9) == 10**9 // 640 + 1
+    assert JC.least_count(counts.where("token % 640 < 64 AND token % 64 = 0"), 10**6) == 11
+
+
 def test_jaccard_of_small_sets(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e f g"), (3, "p q r s"), (4, "p q r s t")]  # 3 of 5 and 2 of 3 shared
     got = {r["id"]: (r["size"], r["component"]) for r in JC.near_duplicates(frame(spark, rows), n=3, threshold="0.6").collect()}
