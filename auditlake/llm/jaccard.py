@@ -50,6 +50,8 @@ NEIGHBOURS = 2
 #: bits of the array over ids: 16 MB
 BITS = 1 << 27
 FLUSH = 1 << 22
+#: a durable step has a partition for so many rows (``compact``)
+ROWS = 1 << 15
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 MET = pa.schema([("token", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("comp", pa.int64())])
 POSTINGS = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
@@ -287,17 +289,28 @@ def _compare_block(n: int, t: Fraction):
     return run
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` made durable, in as few partitions as its rows fill.
+
+    Each task of a step leaves files in every exchange; with a task for each shuffle partition, small steps leave more in
+    files that are almost empty than the large ones leave in rows.
+    """
+    df = durable(df)
+    count = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+    return df.coalesce(max(1, -(-count // ROWS)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of ``links`` (a, b). Labels move along links and jump."""
-    links = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+    links = compact(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    few = links.rdd.getNumPartitions()  # no step has more rows than two for each link
+    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+    label = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).coalesce(few))
     while True:
-        label = durable(label)
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        moved = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new"))
+        near = both.join(label.withColumnRenamed("node", "b"), "b").coalesce(few).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        moved = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new")).coalesce(few)
         jump = moved.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        moved = durable(moved.join(jump, "new").select("node", "comp", "further"))
+        moved = durable(moved.join(jump, "new").select("node", "comp", "further").coalesce(few))
         if moved.where("further <> comp").isEmpty():
             return label
         label = moved.select("node", F.col("further").alias("comp"))
@@ -331,7 +344,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     cost = [(F.sum(F.when((F.col("place") < shortest + m - 1) & (overlap >= m), F.col("df") - 1)) * (1 + COMPARE / m)) for m in range(1, LONGEST + 1)]
     matches = postings.groupBy("id", "s").agg(F.array(*cost).alias("cost")).select(
         "id", "s", F.array_position("cost", F.array_min(F.filter("cost", lambda c: c.isNotNull()))).cast("int").alias("m"))
-    chosen = durable(
+    chosen = compact(
         postings.join(matches, ["id", "s"]).where((F.col("m") > 0) & (F.col("place") < shortest + F.col("m") - 1))
         .withColumn("df", F.count("*").over(of_token)).where("df > 1").select("token", "id", "s", "n", "m", "df", "copies"))
 
@@ -350,7 +363,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
     sketches = documents.where("n > 0").select("id", "n", "sketch")
     sketch_of = lambda side: sketches.select(*(F.col(c).alias(new) for c, new in (("id", side), ("n", f"n_{side}"), ("sketch", f"sketch_{side}"))))
     pairs = pairs.union(stars).where("a <> b").distinct().join(sketch_of("a"), "a").join(sketch_of("b"), "b")
-    pairs = durable(pairs.mapInArrow(_compare_sketches(t), ddl(LINKS)).distinct())
+    pairs = compact(pairs.mapInArrow(_compare_sketches(t), ddl(LINKS)).distinct())
 
     def texts_of(ids: DataFrame) -> DataFrame:
         bitmap = spark.sparkContext.broadcast(bit_array(ids, "id", BITS))
@@ -361,21 +374,21 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_c
         one, other = (texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
         return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(n, t), ddl(LINKS))
 
-    links = durable(checked(pairs))
-    lists = durable(
+    links = compact(checked(pairs))
+    lists = compact(
         many.groupBy("token", "id").agg(F.count("*").alias("rows")).withColumn("first", F.min("token").over(Window.partitionBy("id")))
         .withColumn("all", F.count("*").over(of_token)).drop("rows"))
     sketches = durable(sketches.join(lists.select("id").distinct(), "id", "left_semi"))  # they move once, not in each round
     wide = lists.where(F.col("all") > BLOCK)
     for _ in range(0 if wide.isEmpty() else NEIGHBOURS):
         near = _blocks(wide, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_neighbours(t), ddl(NEAR))
-        near = durable(near.groupBy("comp").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-        links = durable(links.union(checked(near)))
-    left_over = durable(_blocks(lists, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)))
+        near = compact(near.groupBy("comp").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        links = compact(links.union(checked(near)))
+    left_over = compact(_blocks(lists, components(links), sketches).groupBy("token", "i", "j").applyInArrow(_sketch_block(t), ddl(MET)))
     more = left_over.join(texts_of(left_over), "id").groupBy("token", "i", "j").applyInArrow(_compare_block(n, t), ddl(LINKS))
     label = components(links.union(more))
 
-    classes = durable(documents.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("class")))
+    classes = compact(documents.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("class")))
     member = (
         documents.where("n > 0").join(classes, ["s", "s2", "n"]).join(label.withColumnRenamed("node", "class"), "class", "left")
         .select("id", "n", F.coalesce("comp", "class").alias("comp"))
@@ -392,7 +405,7 @@ def _blocks(lists: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFram
     Documents outside a list's largest group meet all others of the list. A group is a component, or the documents
     whose first long list is another, earlier one, where they have met.
     """
-    apart = durable(lists.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    apart = compact(lists.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     group = lambda kind, name: apart.groupBy("token", F.lit(kind).alias("kind"), F.col(name).alias("group")).agg(F.count("*").alias("size"), F.first("all").alias("of"))
     largest = (
         group(0, "comp").union(group(1, "first").where(F.col("group") < F.col("token")))
@@ -410,7 +423,7 @@ def _blocks(lists: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFram
             .otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")))))
         .select("token", "id", "comp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
     )
-    return few.union(met).join(sketches, "id")
+    return few.union(met).repartition("id").join(sketches, "id")  # one row of a list may have become many
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: str) -> DataFrame:

@@ -257,6 +257,26 @@ def test_components_of_a_long_path(spark):
     assert {r.comp for r in JC.components(links).collect()} == {0}
 
 
+@pytest.mark.parametrize("per_part, parts", [(1 << 15, 1), (20, 3)])
+def test_components_of_few_links_take_few_partitions(spark, monkeypatch, per_part, parts):
+    """A step of a few rows leaves no file for each of many shuffle partitions in every exchange."""
+    monkeypatch.setattr(JC, "ROWS", per_part, raising=False)
+    steps, held = [], JC.durable
+    monkeypatch.setattr(JC, "durable", lambda df: steps.append(df.rdd.getNumPartitions()) or held(df))
+    many = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        links = spark.range(60).selectExpr("id - id % 6 AS a", "id AS b").union(spark.sql("SELECT 0L AS a, 59L AS b"))
+        got = {r.node: r.comp for r in JC.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i > 53 else i - i % 6 for i in range(60)}
+    assert len(steps) > 2 and max(steps[1:]) <= parts
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 def plain_rules(t):
     t = t or ""
