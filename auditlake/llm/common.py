@@ -187,6 +187,11 @@ def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)
 
 
+def pieces(it: Iterable[pa.RecordBatch], size: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``size`` rows; what is made of a piece is small, though the batch it is cut from may not be."""
+    return (b.slice(at, size) for b in it for at in range(0, b.num_rows, size))
+
+
 def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The top ``bits`` bits of each hash."""
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import durable
-from .common import NOT_SPACE, batches, bit_array, chunks, column, ddl, in_bit_array, mix, only, part, rows, running
+from .common import NOT_SPACE, batches, bit_array, chunks, column, ddl, in_bit_array, mix, only, part, pieces, rows, running
 
 #: prefixes are lengthened to at most so many required matches
 LONGEST = 4
@@ -49,7 +49,10 @@ SKETCH = 1024  # bits of a sketch at least
 NEIGHBOURS = 2
 #: bits of the array over ids: 16 MB
 BITS = 1 << 27
-FLUSH = 1 << 22
+#: tokens of a task whose counts are taken at a time (32 MB), and how many of them leave a task at a time
+FLUSH, SENT = 1 << 22, 1 << 16
+#: columns of a block's matrix that are multiplied at a time (16 MB)
+COLUMNS = 1 << 12
 #: a durable step has a partition for so many rows (``compact``)
 ROWS = 1 << 15
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
@@ -106,16 +109,20 @@ def _differ(a: bytes, b: bytes) -> int:
 
 def _summaries(n: int):
     """Tasks' function: id, set size and signature of each text; and counts of the tokens that many sets in the task have."""
-    def frequent(held: list):
-        tokens, count = np.unique(np.concatenate(held), return_counts=True)
-        take = count > 1
-        tokens, count = tokens[take], count[take]
-        none = pa.nulls(len(tokens))
-        return rows(SETS, id=none, n=none, s=none, s2=none, sketch=none, token=tokens.view(np.int64), count=count.astype(np.int64))
+    def frequent(held: np.ndarray):
+        held.sort()
+        again = np.zeros(len(held) + 1, bool)
+        again[1:-1] = held[1:] == held[:-1]
+        edges = np.flatnonzero(again[1:] != again[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        for at in range(0, len(starts), SENT):
+            first, last = starts[at : at + SENT], ends[at : at + SENT]
+            none = pa.nulls(len(first))
+            yield rows(SETS, id=none, n=none, s=none, s2=none, sketch=none, token=held[first].view(np.int64), count=last - first + 1)
 
     def run(it):
-        held, total = [], 0
-        for batch in batches(it):
+        held, total = np.empty(FLUSH, np.uint64), 0
+        for batch in pieces(it):
             sizes, first, second, sketches = [], [], [], []
             for tokens in token_sets(column(batch, "text"), n):
                 sizes.append(len(tokens))
@@ -123,15 +130,15 @@ def _summaries(n: int):
                 first.append(a)
                 second.append(b)
                 sketches.append(_sketch(tokens))
-                held.append(tokens)
-                total += len(tokens)
+                if total + len(tokens) > FLUSH:
+                    yield from frequent(held[:total])
+                    total = 0
+                if len(tokens) <= FLUSH:  # a set's tokens are distinct; alone they would all count once
+                    held[total : total + len(tokens)] = tokens
+                    total += len(tokens)
             none = pa.nulls(len(sizes))
             yield rows(SETS, id=column(batch, "id"), n=sizes, s=first, s2=second, sketch=pa.array(sketches, pa.binary()), token=none, count=none)
-            if total >= FLUSH:
-                yield frequent(held)
-                held, total = [], 0
-        if total:
-            yield frequent(held)
+        yield from frequent(held[:total])
     return run
 
 
@@ -155,7 +162,7 @@ def _prefixes(n: int, t: Fraction, frequent):
     """Tasks' function: the longest prefix of each set, as postings."""
     def run(it):
         known, counts, bits = frequent.value
-        for batch in batches(it):
+        for batch in pieces(it):
             out = []
             for at, tokens in enumerate(token_sets(column(batch, "text"), n)):
                 size = len(tokens)
@@ -193,7 +200,7 @@ def _may_link(differ: np.ndarray, both: np.ndarray, t: Fraction) -> np.ndarray:
 def _compare_sketches(t: Fraction):
     """Tasks' function: pairs that can link."""
     def run(it):
-        for batch in batches(it):
+        for batch in pieces(it):
             differ = np.array([_differ(x, y) for x, y in zip(column(batch, "sketch_a").to_pylist(), column(batch, "sketch_b").to_pylist(), strict=True)], np.int64)
             good = _may_link(differ, column(batch, "n_a").to_numpy() + column(batch, "n_b").to_numpy(), t)
             yield rows(LINKS, a=column(batch, "a"), b=column(batch, "b")).filter(pa.array(good))
@@ -251,7 +258,7 @@ def _wanted(ids):
 def _compare(n: int, t: Fraction):
     """Tasks' function: pairs whose sets link."""
     def run(it):
-        for batch in batches(it):
+        for batch in pieces(it):
             good = [_linked(x, y, t) for x, y in zip(token_sets(column(batch, "text_a"), n), token_sets(column(batch, "text_b"), n), strict=True)]
             yield rows(LINKS, a=column(batch, "a"), b=column(batch, "b")).filter(pa.array(good))
     return run
@@ -267,10 +274,15 @@ def _compare_block(n: int, t: Fraction):
         owner = np.repeat(np.arange(len(sets)), sizes)
         shared = np.bincount(at, minlength=len(tokens)) > 1
         column_of = np.cumsum(shared) - 1
-        take = shared[at]
-        incidence = np.zeros((len(sets), int(shared.sum())), np.float32)
-        incidence[owner[take], column_of[at[take]]] = 1
-        common = np.rint(incidence @ incidence.T).astype(np.int64)
+        take = np.flatnonzero(shared[at])
+        take = take[np.argsort(at[take], kind="stable")]
+        owner, place = owner[take], column_of[at[take]]
+        common = np.zeros((len(sets), len(sets)), np.int64)
+        for left in range(0, int(shared.sum()), COLUMNS):
+            here = slice(*np.searchsorted(place, (left, left + COLUMNS)))
+            incidence = np.zeros((len(sets), COLUMNS), np.float32)
+            incidence[owner[here], place[here] - left] = 1
+            common += np.rint(incidence @ incidence.T).astype(np.int64)
         union = sizes[:, None] + sizes[None, :] - common
         root = {c: c for c in comps.tolist()}
 

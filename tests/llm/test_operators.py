@@ -277,6 +277,35 @@ def test_components_of_few_links_take_few_partitions(spark, monkeypatch, per_par
     assert len(steps) > 2 and max(steps[1:]) <= parts
 
 
+def test_jaccard_tasks_hold_a_piece_of_a_batch(monkeypatch):
+    """What a task makes of an Arrow batch does not grow with the batch; counts are taken in one place and leave in parts."""
+    monkeypatch.setattr(JC, "FLUSH", 1 << 18)
+    texts = [" ".join(f"w{i % 3000}x{k}" for k in range(60)) for i in range(6000)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(6000), pa.int64()), "text": texts})
+    out = list(JC._summaries(3)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 1 << 16
+    sets = pa.Table.from_batches(out).to_pandas()
+    assert sets["token"].isna().sum() == 6000 and set(sets["n"].dropna()) == {58}
+    assert sets["count"].sum() == 2 * sets["token"].notna().sum() > 0
+    # no part of a set is counted twice, and one larger than what is counted at a time is left out of the counts alone
+    monkeypatch.setattr(JC, "FLUSH", 50)
+    assert pa.Table.from_batches(JC._summaries(3)(iter([batch.slice(0, 3)]))).to_pandas()["token"].isna().all()
+
+
+def test_jaccard_block_is_multiplied_in_tiles(words, monkeypatch):
+    rng = random.Random(8)
+    docs = [text(rng, words, 80) for _ in range(6)]
+    docs = [" ".join(d.split()[: 80 - k]) for d in docs for k in range(4)]
+    block = pa.table({"id": pa.array(range(24), pa.int64()), "comp": pa.array(range(24), pa.int64()), "text": docs})
+    whole = JC._compare_block(3, Fraction("0.9"))(block)
+    monkeypatch.setattr(JC, "COLUMNS", 7)
+    assert JC._compare_block(3, Fraction("0.9"))(block).equals(whole) and len(whole) == 18
+    shapes, zeros = [], np.zeros
+    monkeypatch.setattr(JC.np, "zeros", lambda shape, *a, **k: shapes.append(shape) or zeros(shape, *a, **k))
+    JC._compare_block(3, Fraction("0.9"))(block)
+    assert max(s[1] for s in shapes if isinstance(s, tuple)) <= 24
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 def plain_rules(t):
     t = t or ""
