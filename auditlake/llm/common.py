@@ -7,6 +7,8 @@ operations per byte, whatever the number of words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -187,9 +189,22 @@ def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)
 
 
+def give_back() -> None:
+    """Return free memory to the system. A Python worker goes on to other tasks and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(it: Iterable[pa.RecordBatch], size: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``size`` rows; what is made of a piece is small, though the batch it is cut from may not be."""
-    return (b.slice(at, size) for b in it for at in range(0, b.num_rows, size))
+    give_back()
+    batch = None
+    for batch in it:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+    del batch
+    give_back()
 
 
 def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:

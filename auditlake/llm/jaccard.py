@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import durable
-from .common import NOT_SPACE, batches, bit_array, chunks, column, ddl, in_bit_array, mix, only, part, pieces, rows, running
+from .common import NOT_SPACE, bit_array, chunks, column, ddl, in_bit_array, mix, only, part, pieces, rows, running
 
 #: prefixes are lengthened to at most so many required matches
 LONGEST = 4
@@ -250,7 +250,7 @@ def _sketch_block(t: Fraction):
 def _wanted(ids):
     """Tasks' function: the rows whose ids the bit array may hold."""
     def run(it):
-        for batch in batches(it):
+        for batch in pieces(it):
             yield batch.filter(pa.array(in_bit_array(ids.value, column(batch, "id").to_numpy())))
     return run
 

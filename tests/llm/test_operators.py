@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.llm import classifier as CL, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
+from auditlake.llm import classifier as CL, common as CO, decontaminate as DC, jaccard as JC, language as LI, maxent as ME, mixing as MX, pii as PI, quality as QU, suffixes as SX, toxicity as TX
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -292,6 +292,17 @@ def test_jaccard_tasks_hold_a_piece_of_a_batch(monkeypatch):
     assert pa.Table.from_batches(JC._summaries(3)(iter([batch.slice(0, 3)]))).to_pandas()["token"].isna().all()
 
 
+def test_jaccard_tasks_give_memory_back(monkeypatch):
+    """A worker that goes on to another task does not keep what an earlier one has freed."""
+    calls = []
+    monkeypatch.setattr(CO, "give_back", lambda: calls.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2], pa.int64()), "text": ["a b c d", None]})
+    for it in ([], [batch], [batch, batch.slice(0, 0), batch]):
+        calls.clear()
+        assert sum(b["id"].is_valid().to_pylist().count(True) for b in JC._summaries(3)(iter(it))) == sum(b.num_rows for b in it)
+        assert len(calls) == 2
+
+
 def test_jaccard_block_is_multiplied_in_tiles(words, monkeypatch):
     rng = random.Random(8)
     docs = [text(rng, words, 80) for _ in range(6)]
